@@ -168,3 +168,68 @@ def local_forest(n: int, i: np.ndarray, j: np.ndarray, low: np.ndarray | None =
 
 def column(values: list, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
+
+
+class Blocks:
+    """Documents in blocks by a hash of their id, for operators that need several looks at a text.
+
+    `rows` has `_block`, `i` (the id), `t` (the text in UTF-8) and the other columns under names of its own, so no
+    column of the documents can clash. Each look at the rows is a grouping by `_block` of the same plan, hence Spark
+    shuffles the texts once. A block's content, and so all that is derived from it, depends on the documents alone.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, blocks_per_partition: int = 2):
+        spark = docs.sparkSession
+        self.buckets, self.names, self.types, self.id_col, self.text_col = n_parts(spark), docs.columns, docs.schema, id_col, text_col
+        self.blocks = self.buckets * blocks_per_partition
+        self.inner = {n: "i" if n == id_col else "t" if n == text_col else f"c{k}" for k, n in enumerate(docs.columns)}
+        own = docs.select(*(F.col(f"`{n}`").cast("binary" if n == text_col else self.types[n].dataType).alias(x) for n, x in self.inner.items()))
+        self.rows = with_block(own, "i", own.columns, self.blocks)
+        self.inner_types = [(x, "binary" if n == text_col else self.types[n].dataType.simpleString()) for n, x in self.inner.items()]
+
+    def __getstate__(self) -> dict:
+        """What functions on executors need of it."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("rows", "types")}
+
+    def ask(self, f, schema: str, replies: DataFrame | None = None) -> DataFrame:
+        """f(table[, replies of the block]) of each block, where replies has `_block`."""
+        groups = self.rows.groupBy("_block")
+        if replies is None:
+            return groups.applyInArrow(f, schema)
+        return groups.cogroup(replies.groupBy("_block")).applyInArrow(f, schema)
+
+    def answer(self, asked: DataFrame, f) -> DataFrame:
+        """asked: (bucket, block, payload). f(payloads of a bucket) gives a reply for each. (_block, bucket, kind, reply)"""
+
+        def by_whole_bucket(batches):
+            held = {}
+            for batch in batches:
+                for bucket, block, kind, payload in zip(*(batch[n].to_pylist() for n in ("bucket", "block", "kind", "payload")), strict=True):
+                    held.setdefault((kind, bucket), []).append((block, payload))
+            for (kind, bucket), own in held.items():
+                replies = f(kind, [unpack(p) for _, p in own])
+                yield pa.record_batch({"_block": pa.array([b for b, _ in own], pa.int32()), "bucket": pa.array([bucket] * len(own), pa.int32()), "kind": pa.array([kind] * len(own), pa.int32()), "reply": pa.array([pack(*r) for r in replies], pa.binary())})
+
+        return asked.repartition(self.buckets, "bucket").mapInArrow(by_whole_bucket, "_block int, bucket int, kind int, reply binary")
+
+    ASKED = "bucket int, block int, kind int, payload binary"
+
+    def requests(self, block: int, kinds: list[tuple[int, np.ndarray, tuple[np.ndarray, ...]]]) -> pa.Table:
+        """Requests of one block: for each kind, sorted keys and what goes with each key."""
+        out = []
+        for kind, keys, along in kinds:
+            out += [(bucket, block, kind, pack(deltas(keys[a:b]), *(x[a:b] for x in along))) for bucket, a, b in by_bucket(keys, self.buckets)]
+        return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate((("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())))})
+
+    @staticmethod
+    def replies(table: pa.Table, kind: int) -> list[list[np.ndarray]]:
+        """The replies of a kind in the order of their buckets, that is of their keys."""
+        rows = sorted((b, r) for b, k, r in zip(*(table[n].to_pylist() for n in ("bucket", "kind", "reply")), strict=True) if k == kind)
+        return [unpack(r) for _, r in rows]
+
+    def restore(self, out: DataFrame, *more: str) -> DataFrame:
+        """The documents' columns under their own names and order, then more."""
+        return out.select(*(F.col(x).cast(self.types[n].dataType).alias(n) for n, x in self.inner.items()), *more)
+
+    def schema(self, more: str) -> str:
+        return ", ".join(f"{x} {t}" for x, t in self.inner_types) + (f", {more}" if more else "")

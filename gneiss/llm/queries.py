@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from gneiss.llm.bpe import op1_bpe
+from gneiss.llm.substrings import OP2_SQL, op2_substrings
 
-QUERIES = {f.__name__: f for f in (op1_bpe,)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_substrings)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_substrings": OP2_SQL}
