@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from gneiss.llm.bpe import op1_bpe
+from gneiss.llm.simhash import op10_simhash
 from gneiss.llm.substrings import OP2_SQL, op2_substrings
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_substrings)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_substrings, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {"op2_substrings": OP2_SQL}
