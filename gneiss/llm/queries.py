@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from gneiss.llm.bpe import op1_bpe
 from gneiss.llm.packing import op8_packing
+from gneiss.llm.quality import OP5_SQL, op5_quality
 from gneiss.llm.simhash import op10_simhash
 from gneiss.llm.substrings import OP2_SQL, op2_substrings
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_substrings, op8_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_substrings, op5_quality, op8_packing, op10_simhash)}
 
-ORACLE_SQL: dict[str, str] = {"op2_substrings": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_substrings": OP2_SQL, "op5_quality": OP5_SQL}
