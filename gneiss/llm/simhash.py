@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import SALTS, components, local_forest, look_up, n_parts, salt
+from gneiss.llm.common import SALTS, components, local_forest, look_up, n_parts, salt, staged
 
 #: A fingerprint's 64 bits fall into this many parts; a tile holds the fingerprints whose parts have the same bit counts.
 PARTS = 4
@@ -155,7 +155,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: s
     Equal fingerprints are one node, so copies cost nothing in the comparison. Rows without an id get the component of
     their fingerprint and don't name one; a component of such rows alone is null. Repeated ids give a row each.
     """
-    own = fingerprints(docs, shingle, id_col, text_col).withColumnRenamed(id_col, "_id")
+    own = staged(fingerprints(docs, shingle, id_col, text_col).withColumnRenamed(id_col, "_id"), "fingerprints")
     by_salt = own.groupBy("fingerprint", salt("_id").alias("_salt")).agg(F.min("_id").alias("low"))
     distinct = by_salt.groupBy("fingerprint").agg(F.min("low").alias("low"))
     found = components(near_links(distinct, radius))
