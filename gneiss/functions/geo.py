@@ -15,10 +15,15 @@ LAT_LIMIT, LON_LIMIT, STEPS = 85.05112878, 180.0, 26
 BASE32 = "0123456789bcdefghjkmnpqrstuvwxyz"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), where value is computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def spread(c: Column) -> Column:
     """The low 32 bits of a whole number, a zero bit before each."""
     for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
+        c = let(c, lambda x: x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask)))  # noqa: B023
     return c
 
 
@@ -26,7 +31,7 @@ def squeezed(c: Column) -> Column:
     """The even bits of a whole number, side by side."""
     c = c.bitwiseAND(F.lit(0x5555555555555555))
     for shift, mask in ((1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF)):
-        c = c.bitwiseOR(F.shiftrightunsigned(c, shift)).bitwiseAND(F.lit(mask))
+        c = let(c, lambda x: x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask)))
     return c
 
 
@@ -49,11 +54,15 @@ def position(bits: Column) -> Column:
 
 def geohash(bits: Column) -> Column:
     """GEOHASH: 11 letters of the usual geohash of the decoded place, the last one `0` as there are only 52 bits."""
-    p = position(bits)
-    lat = F.least(F.floor((p["lat"] + 90) / 180 * (1 << STEPS)).cast("long"), F.lit((1 << STEPS) - 1))
-    own = F.shiftleft(spread(cell(p["lon"], LON_LIMIT)), 1).bitwiseOR(spread(lat))
-    letters = [F.substring(F.lit(BASE32), F.shiftrightunsigned(own, 52 - 5 * (k + 1)).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1)) for k in range(10)]
-    return F.concat(*letters, F.lit("0"))
+
+    def of_place(p: Column) -> Column:
+        lat = F.least(F.floor((p["lat"] + 90) / 180 * (1 << STEPS)).cast("long"), F.lit((1 << STEPS) - 1))
+        return F.shiftleft(spread(cell(p["lon"], LON_LIMIT)), 1).bitwiseOR(spread(lat))
+
+    def letters(own: Column) -> Column:
+        return F.concat(*(F.substring(F.lit(BASE32), F.shiftrightunsigned(own, 52 - 5 * (k + 1)).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1)) for k in range(10)), F.lit("0"))
+
+    return let(let(position(bits), of_place), letters)
 
 
 def distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column, unit: str = "m") -> Column:

@@ -33,9 +33,9 @@ def union(sets: list[DataFrame], weights: list[float] | None = None, aggregate:
 
 def inter(sets: list[DataFrame], weights: list[float] | None = None, aggregate: str = "sum") -> DataFrame:
     """ZINTER: the same for members of all sets."""
-    own = weighted(sets, weights).groupBy("member").agg(no_nan(AGGREGATES[aggregate]("score")).alias("score"), F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("_set"))).alias("_in"))
-    if len(sets) > 63:
-        raise ValueError("63 sets at most")
+    own = weighted(sets, weights).groupBy("member").agg(no_nan(AGGREGATES[aggregate]("score")).alias("score"), F.bit_or(F.pow(F.lit(2), F.col("_set")).cast("long")).alias("_in"))
+    if len(sets) > 52:
+        raise ValueError("52 sets at most")
     return own.where(F.col("_in") == (1 << len(sets)) - 1).select("member", "score")
 
 
