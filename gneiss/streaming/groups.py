@@ -54,10 +54,15 @@ class ConsumerGroup:
         return xack(self.deliveries(), self._table("acks", "ms long, seq long"))
 
 
+def watched(rows: DataFrame, time: str, late: str) -> DataFrame:
+    """A stream with a watermark on an instant; a table as it is."""
+    return rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if rows.isStreaming else rows
+
+
 def windowed(rows: DataFrame, time: str, keys: list[str], width: str, slide: str | None = None, late: str = "10 minutes", value: str | None = None) -> DataFrame:
     """Counts, and sums of a value, by time window and keys; rows later than the watermark are left out of a stream.
     The same function serves a stream and a table."""
-    own = rows.withWatermark(time, late) if rows.isStreaming else rows
+    own = watched(rows, time, late)
     frame = F.window(time, width, slide) if slide else F.window(time, width)
     aggs = [F.count("*").alias("n"), *([F.sum(value).alias("total")] if value else [])]
     out = own.groupBy(frame.alias("w"), *keys).agg(*aggs)
@@ -66,6 +71,6 @@ def windowed(rows: DataFrame, time: str, keys: list[str], width: str, slide: str
 
 def sessions(rows: DataFrame, time: str, key: str, gap: str, late: str = "10 minutes") -> DataFrame:
     """(key, start, end, n): stretches of a key's rows without a gap."""
-    own = rows.withWatermark(time, late) if rows.isStreaming else rows
+    own = watched(rows, time, late)
     out = own.groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n"))
     return out.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
