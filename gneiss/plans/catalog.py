@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import json
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 from gneiss.operators import vectors
 from gneiss.plans.ddl import DdlError, TableSpec, parse_ddl, to_ddl
 from gneiss.plans.filters import parse_filter, segment_part, select_list, to_column
-from gneiss.sources.rows import fitted, from_text, read_files, segment_id
+from gneiss.sources.rows import fitted, from_text, read_files, segment_id, to_markdown
 
 
 class CatalogError(KeyError):
@@ -73,7 +74,7 @@ class Catalog:
     # Rows in
 
     def _add(self, spec: TableSpec, rows: DataFrame) -> dict:
-        path = f"{self.root}/{spec.name}-{uuid.uuid4().hex}"
+        began, path = time.monotonic(), f"{self.root}/{spec.name}-{uuid.uuid4().hex}"
         seen = f"rows-{uuid.uuid4().hex}"
         from pyspark.sql import Observation
 
@@ -85,13 +86,20 @@ class Catalog:
             write = write.partitionBy(*(f"_segment_{k}" for k in range(len(spec.segment_columns))))
         write.parquet(path)
         self.parts[spec.name] = [*self.parts[spec.name], path]
-        return {"inserted_row_count": watch.get["n"], "schema": spec.schema.simpleString()}
+        return {"inserted_row_count": watch.get["n"], "schema": spec.schema.simpleString(), "elapsed_time": time.monotonic() - began}
 
     def insert(self, name: str, *texts: str) -> dict:
         """Rows as text; see from_text."""
         spec = self.spec(name)
         return self._add(spec, from_text(spec, self.spark.createDataFrame([(t,) for t in texts], "value string")))
 
+    def insert_json(self, name: str, *texts: str) -> dict:
+        """Rows as JSON objects, found by name; missing columns are null."""
+        spec = self.spec(name)
+        loose = T.StructType([T.StructField(f.name, f.dataType, True) for f in spec.schema])
+        parsed = self.spark.createDataFrame([(t,) for t in texts], "value string").select(F.from_json("value", loose, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+        return self._add(spec, fitted(spec, parsed, by_name=True))
+
     def batch_insert(self, name: str, rows: DataFrame) -> dict:
         """Rows by position, each to the segment of its own values."""
         spec = self.spec(name)
@@ -132,6 +140,10 @@ class Catalog:
             rows = rows.where(to_column(e, spec.schema))
         return rows.select(*(f"`{c}`" for c in columns))
 
+    def debug_scan(self, name: str, projection: str = "*", filter: str | None = None) -> str:
+        """The rows of a scan as a text table; for what fits a screen."""
+        return to_markdown(self.scan(name, projection, filter))
+
     def segments(self, name: str, filter: str | None = None) -> DataFrame:
         """The segment ids that hold rows, or of these the ones that a filter cannot rule out."""
         spec = self.spec(name)

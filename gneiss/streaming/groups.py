@@ -54,6 +54,23 @@ class ConsumerGroup:
         return xack(self.deliveries(), self._table("acks", "ms long, seq long"))
 
 
+    def consumers(self) -> DataFrame:
+        """XINFO CONSUMERS: (consumer, pending, last_delivered_at)."""
+        own = self.deliveries().groupBy("consumer").agg(F.max("delivered_at").alias("last_delivered_at"))
+        left = self.pending().groupBy("consumer").agg(F.count("*").alias("pending"))
+        return own.join(left, "consumer", "left").select("consumer", F.coalesce("pending", F.lit(0)).alias("pending"), "last_delivered_at")
+
+    def lag(self) -> int:
+        """XINFO GROUPS: entries of the log that no consumer was given yet."""
+        given = self.deliveries().select(*ID)
+        return self.spark.read.schema(self.schema).parquet(self.source).select(*ID).join(given, ID, "left_anti").count()
+
+    def destroy(self) -> bool:
+        """XGROUP DESTROY: the group's place, deliveries and acknowledgements go; the log stays."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def watched(rows: DataFrame, time: str, late: str) -> DataFrame:
     """A stream with a watermark on an instant; a table as it is."""
     return rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if rows.isStreaming else rows

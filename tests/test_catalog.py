@@ -60,6 +60,8 @@ def test_scan(filled):
     assert filled.scan("t", "*", "id\x1eisnotnull").count() == 2
     assert [tuple(r) for r in filled.scan("t", "name, id", "id\x1e1\x1e<").collect()] == [("John", 0)]
     assert filled.scan("t", "name", "id > 5").count() == 0
+    assert filled.insert_json("t", '{"id": 6, "name": "Ann", "attributes": [], "feature": [0, 1]}')["inserted_row_count"] == 1
+    assert filled.debug_scan("t", "name", "id > 5").splitlines()[-1] == "| Ann |"
     plan = filled.scan("t", "name", "id = 1")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(_segment_0" in plan
 

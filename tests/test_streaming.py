@@ -39,6 +39,8 @@ def test_consumer_group(spark, tmp_path):
     assert again.read("c2", now=20) == 1 and again.read("c2", now=30) == 0
     group.ack(spark.createDataFrame([(1, 0)], "ms long, seq long"))
     assert sorted((r["ms"], r["consumer"]) for r in again.pending().collect()) == [(2, "c1"), (3, "c2")]
+    assert {(r["consumer"], r["pending"]) for r in again.consumers().collect()} == {("c1", 1), ("c2", 1)}
+    assert again.lag() == 0 and again.destroy() and again.lag() == 3
 
 
 def test_windows_of_a_stream_are_those_of_the_table(spark, sf, tmp_path):
