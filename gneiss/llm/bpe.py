@@ -72,11 +72,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             for word in set(cut((text.as_py() or b"").decode("utf-8", "replace"))):
                 words[word]
         ordered, _, buckets = words.in_order(blocks.buckets)
-        out = []
+        out = {}
         for bucket, a, b in buckets:
             raw = [w.encode() for w in ordered[a:b]]
-            out.append((bucket, block, 0, pack(np.array([len(x) for x in raw], np.uint32), np.frombuffer(b"".join(raw), np.uint8))))
-        return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate((("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())))})
+            out[bucket] = [(0, pack(np.array([len(x) for x in raw], np.uint32), np.frombuffer(b"".join(raw), np.uint8)))]
+        return Blocks.table(out, block)
 
     def encode_words(kind: int, asked: list[list[np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
         encode_piece, known, out = piece_encoder(ranks_path, pattern), {}, []

@@ -33,7 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/gneiss-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/gneiss-{what}-{uuid.uuid4().hex}"
+    worker_cache().setdefault("paths", []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what this process has staged in the shared folder. Only when no result that was made from it is read any
+    more; operators can't know when that is."""
+    for path in worker_cache().pop("paths", []):
+        own = spark._jvm.org.apache.hadoop.fs.Path(path)
+        own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
 
 
 def staged(df: DataFrame, what: str) -> DataFrame:
@@ -195,13 +205,13 @@ class Blocks:
 
     `rows` has `_block`, `i` (the id), `t` (the text in UTF-8) and the other columns under names of its own, so no
     column of the documents can clash. Each look at the rows is a grouping by `_block` of the same plan, hence Spark
-    shuffles the texts once. A block's content, and so all that is derived from it, depends on the documents alone.
+    shuffles the texts once. There are blocks_per_partition blocks, and a third of a bucket, to each shuffle partition. A block's content, and so all that is derived from it, depends on the documents alone.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, blocks_per_partition: int = 2):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, blocks_per_partition: int = 3):
         spark = docs.sparkSession
-        self.buckets, self.names, self.types, self.id_col, self.text_col = n_parts(spark), docs.columns, docs.schema, id_col, text_col
-        self.blocks = self.buckets * blocks_per_partition
+        self.names, self.types, self.id_col, self.text_col = docs.columns, docs.schema, id_col, text_col
+        self.buckets, self.blocks = -(-n_parts(spark) // 3), n_parts(spark) * blocks_per_partition
         self.inner = {n: "i" if n == id_col else "t" if n == text_col else f"c{k}" for k, n in enumerate(docs.columns)}
         own = docs.select(*(F.col(f"`{n}`").cast("binary" if n == text_col else self.types[n].dataType).alias(x) for n, x in self.inner.items()))
         self.rows = with_block(own, "i", own.columns, self.blocks).mapInArrow(chunks, "_block int, chunk binary")
@@ -219,33 +229,46 @@ class Blocks:
         return groups.cogroup(replies.groupBy("_block")).applyInArrow(lambda key, t, r: f(key[0].as_py(), joined(t), r), schema)
 
     def answer(self, asked: DataFrame, f) -> DataFrame:
-        """asked: (bucket, block, payload). f(payloads of a bucket) gives a reply for each. (_block, bucket, kind, reply)"""
+        """asked: requests. f(kind, arrays of each block that asks) gives each block's reply. (_block, bucket, kinds, replies)"""
 
         def by_whole_bucket(batches):
             held = {}
             for batch in batches:
-                for bucket, block, kind, payload in zip(*(batch[n].to_pylist() for n in ("bucket", "block", "kind", "payload")), strict=True):
-                    held.setdefault((kind, bucket), []).append((block, payload))
-            for (kind, bucket), own in held.items():
-                replies = f(kind, [unpack(p) for _, p in own])
-                yield pa.record_batch({"_block": pa.array([b for b, _ in own], pa.int32()), "bucket": pa.array([bucket] * len(own), pa.int32()), "kind": pa.array([kind] * len(own), pa.int32()), "reply": pa.array([pack(*r) for r in replies], pa.binary())})
-
-        return asked.repartition(self.buckets, "bucket").mapInArrow(by_whole_bucket, "_block int, bucket int, kind int, reply binary")
+                for bucket, block, kinds, payloads in zip(*(batch[n].to_pylist() for n in ("bucket", "block", "kinds", "payloads")), strict=True):
+                    for kind, payload in zip(kinds, payloads, strict=True):
+                        held.setdefault(bucket, {}).setdefault(kind, []).append((block, payload))
+            for bucket in list(held):
+                replies = {}
+                for kind, own in held.pop(bucket).items():
+                    for (block, _), reply in zip(own, f(kind, [unpack(p) for _, p in own]), strict=True):
+                        replies.setdefault(block, []).append((kind, pack(*reply)))
+                out = list(replies.items())
+                yield pa.record_batch({"_block": pa.array([b for b, _ in out], pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32()), "kinds": pa.array([[k for k, _ in own] for _, own in out], pa.list_(pa.int32())), "replies": pa.array([[r for _, r in own] for _, own in out], pa.list_(pa.binary()))})
+
+        return asked.repartitionById(self.buckets, F.col("bucket")).mapInArrow(by_whole_bucket, self.REPLIED)
+
+    ASKED = "bucket int, block int, kinds array<int>, payloads array<binary>"
+    REPLIED = "_block int, bucket int, kinds array<int>, replies array<binary>"
 
-    ASKED = "bucket int, block int, kind int, payload binary"
+    @staticmethod
+    def table(rows: dict[int, list[tuple[int, bytes]]], block: int) -> pa.Table:
+        """Requests of one block: what it asks each bucket, all kinds in one row."""
+        own = sorted(rows.items())
+        return pa.table({"bucket": pa.array([b for b, _ in own], pa.int32()), "block": pa.array([block] * len(own), pa.int32()), "kinds": pa.array([[k for k, _ in x] for _, x in own], pa.list_(pa.int32())), "payloads": pa.array([[p for _, p in x] for _, x in own], pa.list_(pa.binary()))})
 
     def requests(self, block: int, kinds: list[tuple[int, np.ndarray, tuple[np.ndarray, ...]]]) -> pa.Table:
         """Requests of one block: for each kind, sorted keys and what goes with each key."""
-        out = []
+        out = {}
         for kind, keys, along in kinds:
-            out += [(bucket, block, kind, pack(deltas(keys[a:b]), *(x[a:b] for x in along))) for bucket, a, b in by_bucket(keys, self.buckets)]
-        return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate((("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())))})
+            for bucket, a, b in by_bucket(keys, self.buckets):
+                out.setdefault(bucket, []).append((kind, pack(deltas(keys[a:b]), *(x[a:b] for x in along))))
+        return self.table(out, block)
 
     @staticmethod
     def replies(table: pa.Table, kind: int) -> list[list[np.ndarray]]:
         """The replies of a kind in the order of their buckets, that is of their keys."""
-        rows = sorted((b, r) for b, k, r in zip(*(table[n].to_pylist() for n in ("bucket", "kind", "reply")), strict=True) if k == kind)
-        return [unpack(r) for _, r in rows]
+        rows = [(b, r) for b, kinds, replies in zip(*(table[n].to_pylist() for n in ("bucket", "kinds", "replies")), strict=True) for k, r in zip(kinds, replies, strict=True) if k == kind]
+        return [unpack(r) for _, r in sorted(rows)]
 
     def restore(self, out: DataFrame, *more: str) -> DataFrame:
         """The documents' columns under their own names and order, then more."""

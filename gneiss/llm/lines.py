@@ -172,7 +172,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", te
     the earliest is told: minima only, never pairs, so a template with very many fillings is no group to compare. 5.
     The line goes to the block of the earlier one, which verifies the edit distance. 6. Lines are cut from the texts.
     """
-    blocks = Blocks(docs, id_col, text_col, blocks_per_partition=4)
+    blocks = Blocks(docs, id_col, text_col)
     buckets, n_blocks = blocks.buckets, blocks.blocks
 
     def first(block: int, table: pa.Table) -> pa.Table:
@@ -261,7 +261,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", te
                 own[0].append(r["doc"])
                 own[1].append(r["line"])
         homes = list(out)
-        return pa.table({"_block": pa.array(homes, pa.int32()), "bucket": pa.array([block] * len(homes), pa.int32()), "kind": pa.array([DROP + 1] * len(homes), pa.int32()), "reply": pa.array([pack(np.array(d, np.int64), np.array(n, np.int32)) for d, n in out.values()], pa.binary())})
+        found = [[pack(np.array(d, np.int64), np.array(n, np.int32))] for d, n in out.values()]
+        return pa.table({"_block": pa.array(homes, pa.int32()), "bucket": pa.array([block] * len(homes), pa.int32()), "kinds": pa.array([[DROP + 1]] * len(homes), pa.list_(pa.int32())), "replies": pa.array(found, pa.list_(pa.binary()))})
 
     def cut(block: int, table: pa.Table, replies: pa.Table) -> pa.Table:
         lines = Lines(table, min_chars)
@@ -289,7 +290,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", te
     one = blocks.answer(blocks.ask(first, Blocks.ASKED), meet)
     two = blocks.answer(blocks.ask(second, Blocks.ASKED, one), meet)
     found = blocks.ask(match, "_block int, home int, kept_doc long, kept_line int, doc long, line int, text string", one.union(two))
-    verified = blocks.ask(verify, "_block int, bucket int, kind int, reply binary", found)
+    verified = blocks.ask(verify, Blocks.REPLIED, found)
     out = blocks.ask(cut, blocks.schema("n_lines long, n_removed_lines long"), one.union(verified))
     return blocks.restore(out, "n_lines", "n_removed_lines")
 

@@ -100,7 +100,7 @@ class Windows:
         return key[first], more[first], which, low
 
 
-def dedup_substrings(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", keep_space: bool = True) -> DataFrame:
     """The documents' rows and columns, the text without repeated passages, and n_words and n_removed (long).
 
     A word goes if a window of min_words consecutive words covers it whose words also stand in a row with a smaller id.
@@ -110,7 +110,8 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id
     for each key and block however often it occurs, and the bucket sends back what the block needs to know, so copies
     and passages in very many documents cost one entry a block.
 
-    Words are split at ASCII white space. White space between kept words stays as it is. Null texts stay null and have
+    Words are split at ASCII white space. White space between kept words stays as it is, or becomes one space each
+    without keep_space. Null texts stay null and have
     no words; rows without an id stay whole and are no witnesses; rows with equal ids don't witness against each other.
     """
     blocks = Blocks(docs, id_col, text_col)
@@ -172,7 +173,9 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id
             own = gone[at : at + size]
             at += size
             removed.append(int(own.sum()))
-            texts.append(without(text, own) if removed[-1] else text)
+            if text is not None and not keep_space:
+                text = b" ".join(w for w, no in zip(text.split(), own.tolist(), strict=True) if not no)
+            texts.append(without(text, own) if removed[-1] and keep_space else text)
         return pa.table({**{n: table[n] for n in table.column_names if n != "t"}, "t": pa.array(texts, pa.binary()), "n_words": pa.array(windows.sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64())}).select([x for x, _ in blocks.inner_types] + ["n_words", "n_removed"])
 
     half = blocks.answer(blocks.ask(first, Blocks.ASKED), shared)
@@ -210,8 +213,8 @@ def split(values: np.ndarray, asked: list[list[np.ndarray]], f) -> list[tuple[np
 
 def op2_substrings(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    kept = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), "^ | $", "")
-    return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+    out = dedup_substrings(docs, keep_space=False)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 OP2_SQL = r"""

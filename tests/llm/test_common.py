@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from gneiss.llm.common import components, local_forest, look_up, pack, unpack
+from gneiss.llm.common import components, local_forest, look_up, pack, release, staged, unpack
 
 
 def roots(edges):
@@ -45,3 +45,15 @@ def test_look_up(spark):
     table = spark.createDataFrame([(0, "hot"), (350, "one"), (999, "none")], "key long, v string")
     out = look_up(rows, "key", table, "id").collect()
     assert len(out) == 401 and sum(r["v"] == "hot" for r in out) == 300 and sum(r["v"] == "one" for r in out) == 1
+
+
+def test_release(spark):
+    df = staged(spark.range(3), "test")
+    assert df.count() == 3
+    release(spark)
+    spark.catalog.clearCache()
+    try:
+        left = df.count()
+    except Exception:
+        left = 0
+    assert left == 0
