@@ -80,7 +80,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     removed = lines.join(frequent, ["_host", "line", "_salt"]).groupBy("_key", "_id").agg(F.sum("n").alias("_removed"))
     copies = marked.groupBy("_key", "_id").agg(F.count("*").alias("_copies"))
     removed = removed.join(copies, (removed["_key"] == copies["_key"]) & removed["_id"].eqNullSafe(copies["_id"]), "left").select(removed["_key"], removed["_id"], (F.col("_removed") / F.col("_copies")).cast("long").alias("_removed"))
-    rules = marked.select("_d", "_id", "_key", text_rules(F.col("_text")).alias("_r"))
+    # As the output of a generator the rules are computed once: filters on them are not taken below it, nor are they inlined.
+    rules = marked.select("_d", "_id", "_key", F.explode(F.array(text_rules(F.col("_text")))).alias("_r"))
     both = rules.join(removed, (rules["_key"] == removed["_key"]) & rules["_id"].eqNullSafe(removed["_id"]), "left")
     failed = (F.col("_r.n_words") < min_words) | (100 * F.col("_r.n_repeat_words") > max_repeat_percent * F.col("_r.n_words"))
     gone = F.coalesce("_removed", F.lit(0).cast("long"))
