@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -23,6 +24,8 @@ ARC_VERSIONS = {1: "1 0", 2: "2 0"}
 WARC_VERSION = "WARC/1.1"
 END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: How archives are written: gzip at its fastest.
+COMPRESSED = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 100
 
@@ -125,7 +128,7 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
             yield pa.record_batch({"value": pa.array(out, pa.string())})
 
     own = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
-    own.mapInArrow(records, "value string").write.option("lineSep", "\n").text(path)
+    own.mapInArrow(records, "value string").write.options(**COMPRESSED, lineSep="\n").text(path)
 
 
 def files(spark, path: str) -> DataFrame:
@@ -133,99 +136,111 @@ def files(spark, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def read_arc(spark, path: str) -> DataFrame:
-    """(url, ip, date, kind, version, head, payload, payload_digest): the records of ARC files."""
+def content_of(path: str, data: bytes) -> bytes:
+    return gzip.decompress(data) if path.endswith(".gz") else data
 
-    def parse(batches):
-        for batch in batches:
-            for data in batch["content"]:
-                for record in parse_arc(data.as_py()):
-                    head, body = http_parts(record["content"])
-                    row = (record["URL"], record["IP-address"], record["Archive-date"], record["Content-type"], record["version"], head, body, hashlib.sha256(body).hexdigest())
-                    yield pa.record_batch([pa.array([x]) for x in row[:4]] + [pa.array([row[4]], pa.int32()), pa.array([row[5]], pa.binary()), pa.array([row[6]], pa.binary()), pa.array([row[7]])], names=["url", "ip", "date", "kind", "version", "head", "payload", "payload_digest"])
-
-    return files(spark, path).mapInArrow(batched(parse), "url string, ip string, date string, kind string, version int, head binary, payload binary, payload_digest string")
 
-
-def batched(parse, rows: int = 256):
-    """Joins the single-row batches of a parser."""
+def rows_of(parse, schema: pa.Schema, rows: int = 256):
+    """A function from batches of files to batches of what parse finds in each file."""
 
     def run(batches):
         held = []
-        for one in parse(batches):
-            held.append(one)
-            if len(held) == rows:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held = []
+        for batch in batches:
+            for path, data in zip(batch["path"].to_pylist(), batch["content"], strict=True):
+                for row in parse(content_of(path, data.as_py())):
+                    held.append(row)
+                    if len(held) == rows:
+                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], names=schema.names)
+                        held = []
         if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], names=schema.names)
 
     return run
 
 
+ARC_SCHEMA = pa.schema({"url": pa.string(), "ip": pa.string(), "date": pa.string(), "kind": pa.string(), "version": pa.int32(), "page": pa.int64(), "size": pa.int64(), "payload_digest": pa.string(), "content": pa.binary()})
+
+
+def read_arc(spark, path: str, packed: bool = False) -> DataFrame:
+    """(url, ip, date, kind, version, page, size, payload_digest, content): the records of ARC files; content is the HTTP
+    response, as a zstd frame if packed, page its X-Page-Id, size and payload_digest those of its body."""
+
+    def parse(data: bytes):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress if packed else bytes
+        for r in parse_arc(data):
+            head, body = http_parts(r["content"])
+            page = re.search(rb"(?i)\r\nX-Page-Id: ?(-?\d+)", head)
+            yield (r["URL"], r["IP-address"], r["Archive-date"], r["Content-type"], r["version"], int(page[1]) if page else None, len(body), hashlib.sha256(body).hexdigest(), pack(r["content"]))
+
+    return files(spark, path).mapInArrow(rows_of(parse, ARC_SCHEMA), "url string, ip string, date string, kind string, version int, page long, size long, payload_digest string, content binary")
+
+
 def arc_to_warc(arc: DataFrame, path: str) -> None:
-    """Writes the WARC equivalents of ARC records (the columns of read_arc).
+    """Writes the WARC equivalents of ARC records (the columns of read_arc, packed).
 
     The record id, date, types and digests, which ARC lacks, are made from the record. Of records with equal payloads
     of at least LEAST_REVISIT bytes the one with the smallest X-Page-Id stays a response, and the others become
     revisits that refer to it and keep the HTTP header alone. Digests are grouped before the shuffle and joined
-    by several tasks for a digest, so a payload in very many records is no task's alone.
+    by several tasks for a digest, so a payload in very many records is no task's alone. Records without a page id come
+    after all others.
     """
-    page = F.regexp_extract(F.decode("head", "UTF-8"), r"(?i)\r\nX-Page-Id: ?(-?\d+)", 1)
-    rows = arc.withColumn("page", F.when(page != "", page.cast("long"))).withColumn("size", F.octet_length("payload"))
-    slim = rows.where(F.col("size") >= LEAST_REVISIT).select("payload_digest", "page", "url", "date")
-    firsts = slim.groupBy("payload_digest").agg(F.min(F.struct("page", "url", "date")).alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "first")
-    marked = look_up(rows, "payload_digest", firsts, "page")
+    slim = arc.where(F.col("size") >= LEAST_REVISIT).select("payload_digest", "page", "url", "date")
+    firsts = slim.groupBy("payload_digest").agg(F.min(F.struct(F.col("page").isNull().alias("none"), "page", "url", "date")).alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "first")
+    marked = look_up(arc, "payload_digest", firsts, "page")
 
     def records(batches):
+        import zstandard
+
+        unpacked = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 date, first = warc_date(r["date"]), r["first"]
                 revisit = first is not None and r["size"] >= LEAST_REVISIT and first["page"] != r["page"]
-                block = r["head"] if revisit else r["head"] + r["payload"]
+                whole = unpacked(r["content"])
+                block = http_parts(whole)[0] if revisit else whole
                 head = [WARC_VERSION, f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {warc_id(r['url'], r['date'], str(r['page']), r['payload_digest'])}", f"WARC-Date: {date}", f"WARC-Target-URI: {r['url']}", f"WARC-IP-Address: {r['ip']}", "Content-Type: application/http; msgtype=response", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", f"WARC-Payload-Digest: sha256:{r['payload_digest']}", f"Content-Length: {len(block)}"]
                 if revisit:
                     head += [f"WARC-Refers-To: {warc_id(first['url'], first['date'], str(first['page']), r['payload_digest'])}", f"WARC-Refers-To-Target-URI: {first['url']}", f"WARC-Refers-To-Date: {warc_date(first['date'])}", f"WARC-Profile: {REVISIT_PROFILE}", f"X-Refers-To-Page-Id: {first['page']}"]
                 out.append("\r\n".join(head) + END + block.decode())
             yield pa.record_batch({"value": pa.array(out, pa.string())})
 
-    marked.select("url", "ip", "date", "head", "payload", "payload_digest", "page", "size", "first").mapInArrow(records, "value string").write.option("lineSep", END).text(path)
+    marked.select("url", "ip", "date", "content", "payload_digest", "page", "size", "first").mapInArrow(records, "value string").write.options(**COMPRESSED, lineSep=END).text(path)
 
 
-def read_warc(spark, path: str) -> DataFrame:
+WARC_SCHEMA = pa.schema({"record_id": pa.string(), "record_type": pa.string(), "url": pa.string(), "date": pa.string(), "page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()})
+
+
+def read_warc(spark, path: str, payloads: bool = True) -> DataFrame:
     """(record_id, record_type, url, date, page_id, payload_bytes, payload_digest, refers_to, payload): the records of
-    WARC files; a revisit has no payload, and its length is that of its HTTP header."""
+    WARC files; a revisit has no payload, and its length is that of its HTTP header. Every payload is checked against its
+    digest; without payloads the column is null."""
 
-    def parse(batches):
-        names = ["record_id", "record_type", "url", "date", "page_id", "payload_bytes", "payload_digest", "refers_to", "payload"]
-        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-        for batch in batches:
-            for data in batch["content"]:
-                for h, block in parse_warc(data.as_py()):
-                    head, body = http_parts(block)
-                    http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
-                    whole = h["warc-type"] == "response"
-                    if whole and hashlib.sha256(body).hexdigest() != h["warc-payload-digest"].removeprefix("sha256:"):
-                        raise ValueError(f"the payload of {h['warc-record-id']} isn't what its digest says")
-                    refers = h.get("x-refers-to-page-id")
-                    row = (h["warc-record-id"], h["warc-type"], h["warc-target-uri"], h["warc-date"], int(http["x-page-id"]) if http.get("x-page-id") else None, len(body) if whole else int(http["content-length"]), h["warc-payload-digest"].removeprefix("sha256:"), int(refers) if refers and refers != "None" else None, body if whole else None)
-                    yield pa.record_batch([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=names)
+    def parse(data: bytes):
+        for h, block in parse_warc(data):
+            head, body = http_parts(block)
+            http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
+            whole, digest, refers = h["warc-type"] == "response", h["warc-payload-digest"].removeprefix("sha256:"), h.get("x-refers-to-page-id")
+            if whole and hashlib.sha256(body).hexdigest() != digest:
+                raise ValueError(f"the payload of {h['warc-record-id']} isn't what its digest says")
+            yield (h["warc-record-id"], h["warc-type"], h["warc-target-uri"], h["warc-date"], int(http["x-page-id"]) if http.get("x-page-id") else None, len(body) if whole else int(http["content-length"]), digest, int(refers) if refers and refers != "None" else None, body if whole and payloads else None)
 
-    return files(spark, path).mapInArrow(batched(parse), "record_id string, record_type string, url string, date string, page_id long, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    return files(spark, path).mapInArrow(rows_of(parse, WARC_SCHEMA), "record_id string, record_type string, url string, date string, page_id long, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
-def convert_pages(pages: DataFrame, **columns: str) -> DataFrame:
+def convert_pages(pages: DataFrame, payloads: bool = True, **columns: str) -> DataFrame:
     """Pages to ARC files, these to WARC files, and what read_warc finds in them. The files are in the shared folder."""
     spark = pages.sparkSession
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
     write_arc(pages, arc, **columns)
-    arc_to_warc(read_arc(spark, arc), warc)
-    return read_warc(spark, warc)
+    arc_to_warc(read_arc(spark, arc, packed=True), warc)
+    return read_warc(spark, warc, payloads)
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
-    out = convert_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    out = convert_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), payloads=False)
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
