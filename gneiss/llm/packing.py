@@ -55,8 +55,8 @@ def id_encoder(path: str, pattern: str):
 class Plan:
     """Runs of bins with the same contents: lists of (bins, [(length, times), ...])."""
 
-    def __init__(self, counts: dict[int, int], size: int, groups: int = 512, small: int | None = None):
-        self.size, self.small = size, size // 16 if small is None else small
+    def __init__(self, counts: dict[int, int], size: int, groups: int = 1024, small: int | None = None):
+        self.size, self.small = size, size // 4 if small is None else small
         large = sorted(((n, c) for n, c in counts.items() if n > self.small), reverse=True)
         self.runs: list[tuple[int, list[tuple[int, int]]]] = []
         self._large(large, groups)
@@ -184,12 +184,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, size: int, end_id
     return own.mapInArrow(cut, f"_id {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, _part int, _rank long")
 
 
-def pack_best_fit(docs: DataFrame, tokenizer_path: str, pattern: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", groups: int = 512) -> DataFrame:
+def pack_best_fit(docs: DataFrame, tokenizer_path: str, pattern: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", groups: int = 1024) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset): where each piece of each document goes.
 
     Documents are their ids and end_id; only those longer than size are cut, the first piece being the short one. The
     plan needs the number of pieces of each length only, so at most `size` numbers come to the driver whatever the
-    corpus: lengths over size / 16 are rounded up in groups of equal cardinality, configurations of these few sizes
+    corpus: lengths over size / 4 are rounded up in groups of equal cardinality, configurations of these few sizes
     fill bins, documents of the group take the places, and shorter ones go where they fit best. The plan's rows are
     bounded by size and groups and are joined as a broadcast. A piece's rank among the pieces of its length is its rank
     within the task that made it and the number that earlier tasks made: no window ever holds the pieces of a length.
