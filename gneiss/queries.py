@@ -401,3 +401,121 @@ def eval_script(t: Tables) -> DataFrame:
 
 query("eval_script", "SELECT s_suppkey, round(s_acctbal * 2 + s_nationkey, 4) AS v FROM supplier", eval_script)
 query("rank_within_group", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::INTEGER AS r FROM orders QUALIFY r <= 3", lambda t: t.orders.withColumn("r", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))).where("r <= 3").select("o_custkey", "o_orderkey", "r"))
+
+# The catalog, files, snapshots and streams
+
+
+def folder(t: Tables) -> str:
+    """A new folder in shared storage."""
+    import uuid
+
+    from gneiss.plans.catalog import Catalog
+
+    return f"{Catalog(t.spark).root}/gneiss-query-{uuid.uuid4().hex}"
+
+
+NATIONS = "CREATE TABLE nations (n_nationkey INT, n_name TEXT, n_regionkey INT) WITH (segment_id_info='[n_regionkey]')"
+
+
+def imported(t: Tables, form: str) -> DataFrame:
+    from gneiss.plans.catalog import Catalog
+
+    catalog, path = Catalog(t.spark), folder(t)
+    catalog.create(NATIONS)
+    write = t.nation.write.option("header", "true")
+    {"parquet": write.parquet, "json": write.json, "csv": write.csv}[form](path)
+    catalog.import_files("nations", path, form)
+    return catalog.table("nations")
+
+
+def snapshot(t: Tables) -> DataFrame:
+    from gneiss.plans.catalog import Catalog
+
+    first, second, path = Catalog(t.spark), Catalog(t.spark), folder(t)
+    first.create(NATIONS)
+    first.batch_insert("nations", t.nation)
+    first.save(path)
+    second.load(path)
+    return second.scan("nations", "*", "n_regionkey < 3 AND n_name IS NOT NULL")
+
+
+def described(t: Tables) -> DataFrame:
+    from gneiss.plans.catalog import Catalog
+
+    catalog = Catalog(t.spark)
+    catalog.create(NATIONS)
+    return catalog.describe("nations").select("position", "name", "type", "nullable", "is_segment")
+
+
+def listed(t: Tables) -> DataFrame:
+    from gneiss.plans.catalog import Catalog
+
+    catalog = Catalog(t.spark)
+    for name in ("b", "a", "gone"):
+        catalog.create(f"CREATE TABLE {name} (id INT)")
+    catalog.drop("gone")
+    return catalog.list_tables()
+
+
+def ddl_of(t: Tables) -> DataFrame:
+    from gneiss.plans.catalog import Catalog
+
+    return t.spark.createDataFrame([(Catalog(t.spark).ddl_of_parquet("nation", f"{t.sf_dir}/nation.parquet"),)], "ddl string")
+
+
+def batch_of_table(t: Tables) -> DataFrame:
+    from gneiss.plans.catalog import Catalog
+
+    catalog, queries_ = Catalog(t.spark), five(t)
+    catalog.create(f"CREATE TABLE vectors (vec_id BIGINT, embedding FLOAT[{len(queries_[0][1])}], label INT) WITH (ann_column_id='1', index_space='ipspace')")
+    catalog.batch_insert("vectors", t.embeddings)
+    return catalog.batch_ann("vectors", 5, [q for _, q in sorted(queries_)], projection="vec_id")
+
+
+def streamed(t: Tables, rows: DataFrame, mode: str = "complete") -> DataFrame:
+    """What a streaming query has written when it has taken all there is."""
+    path = folder(t)
+    query_ = rows.writeStream.outputMode(mode).foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out")).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query_.awaitTermination()
+    return t.spark.read.parquet(f"{path}/out")
+
+
+def stream_of(t: Tables, name: str) -> DataFrame:
+    """A table's file as a stream of the files in the folder that have its name."""
+    return t.spark.readStream.schema(getattr(t, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.sf_dir)
+
+
+def group_read(t: Tables) -> DataFrame:
+    """A log that two consumers of a group read by turns, with clicks acknowledged: what is pending."""
+    from gneiss.streaming.groups import ConsumerGroup
+
+    path, rows = folder(t), log(t).select("ms", "seq", "event_type")
+    rows.where("seq % 2 = 0").write.parquet(f"{path}/log")
+    group = ConsumerGroup(t.spark, f"{path}/log", rows.schema, f"{path}/group")
+    group.read("a", now=1)
+    rows.where("seq % 2 = 1").write.mode("append").parquet(f"{path}/log")
+    group.read("b", now=2)
+    group.ack(rows.where("event_type = 'click'"))
+    return group.pending().select("ms", "seq", "consumer")
+
+
+query("catalog_list", "SELECT * FROM (VALUES ('a'), ('b')) t(name)", listed)
+query("catalog_describe", "SELECT * FROM (VALUES (0, 'n_nationkey', 'int', false, false), (1, 'n_name', 'string', false, false), (2, 'n_regionkey', 'int', false, true)) t(position, name, type, nullable, is_segment)", described)
+query("catalog_ddl_of_parquet", "SELECT 'CREATE TABLE nation (n_nationkey INT, n_name TEXT, n_regionkey INT) WITH ( ... write metadata ... );' AS ddl", ddl_of)
+for _form in ("parquet", "json", "csv"):
+    query(f"import_{_form}", "SELECT * FROM nation", lambda t, form=_form: imported(t, form))
+query("snapshot_load", "SELECT * FROM nation WHERE n_regionkey < 3", snapshot)
+query("catalog_batch_ann", f"SELECT qid, rank, vec_id, distance FROM ({batch_sql(IP)})", lambda t: rounded(batch_of_table(t), "qid", "rank", "vec_id"))
+query("stream_window_counts", "SELECT time_bucket(INTERVAL 1 day, ts) AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL", lambda t: streamed(t, windowed(stream_of(t, "events"), "ts", ["event_type"], "1 day", late="60 days")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n"))
+query("stream_hincrby", "SELECT user_id, event_type, count(*)::BIGINT AS value FROM events GROUP BY ALL", lambda t: streamed(t, counters.incr(stream_of(t, "events"), ["user_id", "event_type"])))
+query("stream_group_pending", f"SELECT ms, seq, CASE WHEN seq % 2 = 0 THEN 'a' ELSE 'b' END AS consumer FROM {LOG} WHERE event_type <> 'click'", group_read)
+query("xclaim", f"SELECT ms, seq, CASE WHEN user_id % 2 = 0 AND {FROM} - ms >= 86400000 THEN 'c9' ELSE 'c' || (user_id % 3) END AS consumer FROM {LOG} WHERE ms < {FROM} AND event_type <> 'click'", lambda t: logs.xclaim(pending(t), log(t).where("user_id % 2 = 0"), "c9", FROM, 86400000).select("ms", "seq", "consumer"))
+query("keys_expire", "SELECT c_name AS key, (CASE WHEN c_custkey % 2 = 0 THEN c_custkey * 3600 - 360000 WHEN c_custkey < 10 THEN 60 ELSE -1 END)::BIGINT AS ttl FROM customer", lambda t: keys.ttl(keys.expire(space(t), t.customer.where("c_custkey < 10").select(F.col("c_name").alias("key")), F.lit("2023-11-19 02:14:20").cast("timestamp"), only="nx"), "2023-11-19 02:13:20"))
+query("set_union_store", "SELECT DISTINCT o_custkey AS member FROM orders WHERE o_orderstatus IN ('F', 'P')", lambda t: stored(t, sets.union(customers(t, "F"), customers(t, "P"))))
+
+
+def stored(t: Tables, df: DataFrame) -> DataFrame:
+    """The STORE forms: a result is written, and is a table like any other."""
+    path = folder(t)
+    df.write.parquet(path)
+    return t.spark.read.parquet(path)
