@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import new_path
+from gneiss.llm.common import new_path, small, staged
 from gneiss.llm.lines import dedup_lines
 from gneiss.llm.packing import pack_best_fit
 from gneiss.llm.quality import quality_rules
@@ -31,7 +31,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id; documents without an id stay."""
     groups = simhash_groups(docs.select("doc_id", "text"))
-    return docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    gone = small(staged(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies"))
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gneiss.llm.common import Blocks, pack, worker_cache
+from gneiss.llm.common import Blocks, by_bucket, pack, worker_cache
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -39,16 +39,16 @@ class Words(dict):
         self[word] = n = len(self)
         return n
 
-    def in_order(self, buckets: int) -> tuple[list[str], np.ndarray, list[tuple[int, int, int]]]:
-        """The words by bucket, then by their letters; the numbers they have here; (bucket, from, to)."""
-        import xxhash
 
-        words, width = list(self), (1 << 64) // buckets + 1
-        bucket = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) // width for w in words), np.int64, len(words))
-        order = sorted(range(len(words)), key=words.__getitem__)
-        order = np.array(order, np.int64)[np.argsort(bucket[order], kind="stable")] if words else np.zeros(0, np.int64)
-        at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-        return [words[k] for k in order.tolist()], order, list(zip(bucket[order][at].tolist(), at.tolist(), [*at[1:].tolist(), len(words)], strict=True))
+def in_order(words: list[str], buckets: int) -> tuple[list[str], np.ndarray, list[tuple[int, int, int]]]:
+    """Different words by their hash; their places before; (bucket, from, to). The order depends on the words alone."""
+    import xxhash
+
+    keys = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    order = np.argsort(keys, kind="stable")
+    if (np.diff(keys[order]) == 0).any():
+        order = np.array(sorted(order.tolist(), key=lambda k: (keys[k], words[k])), np.int64)
+    return [words[k] for k in order.tolist()], order, by_bucket(keys[order], buckets)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", blocks_per_partition: int = 3) -> DataFrame:
@@ -67,11 +67,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def words_of(block: int, table: pa.Table) -> pa.Table:
         import regex
 
-        cut, words = regex.compile(pattern).findall, Words()
+        cut, words = regex.compile(pattern).findall, set()
         for text in table["t"]:
-            for word in set(cut((text.as_py() or b"").decode("utf-8", "replace"))):
-                words[word]
-        ordered, _, buckets = words.in_order(blocks.buckets)
+            words.update(cut((text.as_py() or b"").decode("utf-8", "replace")))
+        ordered, _, buckets = in_order(list(words), blocks.buckets)
         out = {}
         for bucket, a, b in buckets:
             raw = [w.encode() for w in ordered[a:b]]
@@ -98,7 +97,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         for text in table["t"]:
             own = cut((text.as_py() or b"").decode("utf-8", "replace"))
             places.append(np.fromiter(map(words.__getitem__, own), np.uint32, len(own)))
-        _, order, _ = words.in_order(blocks.buckets)
+        _, order, _ = in_order(list(words), blocks.buckets)
         order, ids_of, at = order.tolist(), [b""] * len(words), 0
         for counts, ids in Blocks.replies(replies, 0):
             raw, ends = ids.tobytes(), (np.cumsum(counts, dtype=np.int64) * 4).tolist()
@@ -125,9 +124,27 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", to: str =
     names = encoded.columns
 
     def join_table(batches):
-        table = {v: k for k, v in ranks_of(ranks_path).items()}.__getitem__
+        ranks = ranks_of(ranks_path)
+        known = sorted((i, token) for token, i in ranks.items())
+        size, start = np.zeros(known[-1][0] + 1, np.int64), np.zeros(known[-1][0] + 1, np.int64)
+        at = np.array([i for i, _ in known])
+        size[at] = [len(token) for _, token in known]
+        start[at] = np.cumsum(size[at]) - size[at]
+        letters, missing = np.frombuffer(b"".join(token for _, token in known), np.uint8), size == 0
+
+        def text_of(raw: bytes) -> bytes:
+            ids, out = np.frombuffer(raw, "<u4"), []
+            if len(ids) and (int(ids.max()) >= len(size) or missing[ids].any()):
+                raise ValueError("an id is not in the vocabulary")
+            for k in range(0, len(ids), 1 << 18):
+                own = ids[k : k + (1 << 18)]
+                n = size[own]
+                ends = np.cumsum(n)
+                out.append(letters[np.arange(ends[-1]) + np.repeat(start[own] - ends + n, n)].tobytes())
+            return b"".join(out)
+
         for batch in batches:
-            out = [b"".join(map(table, np.frombuffer(x or b"", "<u4").tolist())) for x in batch[ids_col].to_pylist()]
+            out = [text_of(x or b"") for x in batch[ids_col].to_pylist()]
             yield pa.record_batch([*(batch[n] for n in names), pa.array(out, pa.binary())], names=[*names, to])
 
     return encoded.mapInArrow(join_table, schema)

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Distinct copies of a key's lookup row, so that a hot key is looked up by this many tasks.
 SALTS = 32
+#: Most rows of a narrow table that are sent to all executors; beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +55,23 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A staged, narrow table as a broadcast if it has few rows, which are counted; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def trimmed(table: pa.Table) -> pa.Table:
+    """Gives memory that the process has freed back to the system: idle workers hold theirs beside those at work."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this C library
+    return table
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python process, whatever function asks for it."""
     return builtins.__dict__.setdefault("_gneiss_cache", {})
@@ -205,13 +224,13 @@ class Blocks:
 
     `rows` has `_block`, `i` (the id), `t` (the text in UTF-8) and the other columns under names of its own, so no
     column of the documents can clash. Each look at the rows is a grouping by `_block` of the same plan, hence Spark
-    shuffles the texts once. There are blocks_per_partition blocks, and a third of a bucket, to each shuffle partition. A block's content, and so all that is derived from it, depends on the documents alone.
+    shuffles the texts once. There are blocks_per_partition blocks, and a fourth of a bucket, to each shuffle partition. A block's content, and so all that is derived from it, depends on the documents alone.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, blocks_per_partition: int = 3):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, blocks_per_partition: int = 4):
         spark = docs.sparkSession
         self.names, self.types, self.id_col, self.text_col = docs.columns, docs.schema, id_col, text_col
-        self.buckets, self.blocks = -(-n_parts(spark) // 3), n_parts(spark) * blocks_per_partition
+        self.buckets, self.blocks = -(-n_parts(spark) // 4), n_parts(spark) * blocks_per_partition
         self.inner = {n: "i" if n == id_col else "t" if n == text_col else f"c{k}" for k, n in enumerate(docs.columns)}
         own = docs.select(*(F.col(f"`{n}`").cast("binary" if n == text_col else self.types[n].dataType).alias(x) for n, x in self.inner.items()))
         self.rows = with_block(own, "i", own.columns, self.blocks).mapInArrow(chunks, "_block int, chunk binary")
@@ -225,8 +244,8 @@ class Blocks:
         """f(number, rows[, replies]) of each block, where replies has `_block`."""
         groups = self.rows.groupBy("_block")
         if replies is None:
-            return groups.applyInArrow(lambda key, t: f(key[0].as_py(), joined(t)), schema)
-        return groups.cogroup(replies.groupBy("_block")).applyInArrow(lambda key, t, r: f(key[0].as_py(), joined(t), r), schema)
+            return groups.applyInArrow(lambda key, t: trimmed(f(key[0].as_py(), joined(t))), schema)
+        return groups.cogroup(replies.groupBy("_block")).applyInArrow(lambda key, t, r: trimmed(f(key[0].as_py(), joined(t), r)), schema)
 
     def answer(self, asked: DataFrame, f) -> DataFrame:
         """asked: requests. f(kind, arrays of each block that asks) gives each block's reply. (_block, bucket, kinds, replies)"""

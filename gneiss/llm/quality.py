@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import SALTS
+from gneiss.llm.common import SALTS, small, staged
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
@@ -67,7 +67,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     line that stands in more than min_texts and more than max_share of the different texts of its host is removed, and
     a document of whose words less than min_left are left is rejected, so kept is false. Null hosts are one host. A
     null text has no words and fails. Line counts cover all documents; per host and line they are summed before and
-    after the shuffle, and a frequent line is joined by SALTS tasks. The documents' own columns keep their names.
+    after the shuffle, and a frequent line is joined by SALTS tasks. Documents that lose words are joined as a broadcast
+    up to a counted number of rows, by a shuffle beyond. The documents' own columns keep their names.
     """
     marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_d"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit("")).alias("_host"), F.col(f"`{host_col}`").isNull().alias("_no_host"))
     marked = marked.withColumn("_key", F.xxhash64("_id", "_text")).withColumn("_host", F.struct("_no_host", "_host"))
@@ -80,6 +81,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     removed = lines.join(frequent, ["_host", "line", "_salt"]).groupBy("_key", "_id").agg(F.sum("n").alias("_removed"))
     copies = marked.groupBy("_key", "_id").agg(F.count("*").alias("_copies"))
     removed = removed.join(copies, (removed["_key"] == copies["_key"]) & removed["_id"].eqNullSafe(copies["_id"]), "left").select(removed["_key"], removed["_id"], (F.col("_removed") / F.col("_copies")).cast("long").alias("_removed"))
+    removed = small(staged(removed, "removed"))
     # As the output of a generator the rules are computed once: filters on them are not taken below it, nor are they inlined.
     rules = marked.select("_d", "_id", "_key", F.explode(F.array(text_rules(F.col("_text")))).alias("_r"))
     both = rules.join(removed, (rules["_key"] == removed["_key"]) & rules["_id"].eqNullSafe(removed["_id"]), "left")
