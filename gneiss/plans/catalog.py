@@ -178,8 +178,9 @@ class Catalog:
             vector = [float(x) for x in vector.split(",")]
         column = self._column(spec, len(vector))
         rows = self._searched(spec, filter, filter_mode)
-        out = vectors.ann(rows, vector, k, column, spec.metric, spec.schema.names[0])
-        return out.select(*(f"`{c}`" for c in self._results(spec, projection)))
+        names = self._results(spec, projection)
+        out = vectors.ann(self._needed(spec, rows, names), vector, k, column, spec.metric, spec.schema.names[0])
+        return out.select(*(f"`{c}`" for c in names))
 
     def batch_ann(self, name: str, k: int, queries: list[list[float]], ef: int | None = None, projection: str = "*", filter: str | None = None, filter_mode: str = "rows") -> DataFrame:
         """For each query its k nearest rows: qid from 0, rank, the columns, distance."""
@@ -187,8 +188,15 @@ class Catalog:
         if not queries or len({len(q) for q in queries}) != 1:
             raise ValueError("there are queries, of one length")
         column = self._column(spec, len(queries[0]))
-        out = vectors.batch_ann(self._searched(spec, filter, filter_mode), list(enumerate(queries)), k, column, spec.metric, spec.schema.names[0])
-        return out.select("qid", "rank", *(f"`{c}`" for c in self._results(spec, projection)))
+        names = self._results(spec, projection)
+        rows = self._needed(spec, self._searched(spec, filter, filter_mode), names)
+        out = vectors.batch_ann(rows, list(enumerate(queries)), k, column, spec.metric, spec.schema.names[0])
+        return out.select("qid", "rank", *(f"`{c}`" for c in names))
+
+    def _needed(self, spec: TableSpec, rows: DataFrame, names: list[str]) -> DataFrame:
+        """The columns that a search and its result need; the others aren't read."""
+        need = {*names, spec.ann_column, spec.schema.names[0]}
+        return rows.select(*(f"`{c}`" for c in spec.schema.names if c in need))
 
     def _results(self, spec: TableSpec, projection: str) -> list[str]:
         out = select_list(projection, [*spec.schema.names, "distance"])
