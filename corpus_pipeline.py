@@ -13,14 +13,18 @@ from gneiss.llm.simhash import simhash_groups
 from gneiss.llm.substrings import dedup_substrings
 
 
+def columns(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
+
 def as_documents(out: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of documents, n_chars after what was cut."""
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(columns(docs))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, as they are. Empty input gives empty output, here and below."""
-    return quality_rules(docs).where("kept").select(docs.columns)
+    return quality_rules(docs).where("kept").select(columns(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +36,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id; documents without an id stay."""
     groups = simhash_groups(docs.select("doc_id", "text"))
     gone = small(staged(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies"))
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(columns(docs))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

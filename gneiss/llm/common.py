@@ -119,10 +119,10 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_block(docs: DataFrame, id_col: str, columns: list[str], blocks: int) -> DataFrame:
-    """The columns and `_block`, a hash of the id: the unit that later stages meet in. Null ids have blocks by all columns."""
-    key = F.when(F.col(id_col).isNull(), F.xxhash64(*columns)).otherwise(F.xxhash64(id_col))
-    return docs.select((F.pmod(key, F.lit(blocks))).cast("int").alias("_block"), *columns)
+def with_block(docs: DataFrame, id_col: str, text_col: str, blocks: int) -> DataFrame:
+    """The columns after `_block`, a hash of the id: the unit that later stages meet in. Null ids have blocks by their text."""
+    key = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(id_col))
+    return docs.select(F.pmod(key, F.lit(blocks)).cast("int").alias("_block"), "*")
 
 
 def by_bucket(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
@@ -233,7 +233,7 @@ class Blocks:
         self.buckets, self.blocks = -(-n_parts(spark) // 4), n_parts(spark) * blocks_per_partition
         self.inner = {n: "i" if n == id_col else "t" if n == text_col else f"c{k}" for k, n in enumerate(docs.columns)}
         own = docs.select(*(F.col(f"`{n}`").cast("binary" if n == text_col else self.types[n].dataType).alias(x) for n, x in self.inner.items()))
-        self.rows = with_block(own, "i", own.columns, self.blocks).mapInArrow(chunks, "_block int, chunk binary")
+        self.rows = with_block(own, "i", "t", self.blocks).mapInArrow(chunks, "_block int, chunk binary")
         self.inner_types = [(x, "binary" if n == text_col else self.types[n].dataType.simpleString()) for n, x in self.inner.items()]
 
     def __getstate__(self) -> dict:

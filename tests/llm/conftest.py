@@ -8,8 +8,8 @@ def documents(spark):
     """Rows (doc_id, text) as documents with more columns, some with names that the operators use themselves."""
 
     def make(rows):
-        full = [(i, t, "en", "host", len(t or ""), 1, "x") for i, t in rows]
-        return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, _block int, bucket string")
+        full = [(i, t, "en", "host", len(t or ""), 1, "x", {"a": 1.5}) for i, t in rows]
+        return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, _block int, bucket string, `od.d` map<string,double>")
 
     return make
 
