@@ -60,7 +60,7 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def trimmed(table: pa.Table) -> pa.Table:
+def trimmed(table):
     """Gives memory that the process has freed back to the system: idle workers hold theirs beside those at work."""
     import ctypes
 
@@ -224,13 +224,14 @@ class Blocks:
 
     `rows` has `_block`, `i` (the id), `t` (the text in UTF-8) and the other columns under names of its own, so no
     column of the documents can clash. Each look at the rows is a grouping by `_block` of the same plan, hence Spark
-    shuffles the texts once. There are blocks_per_partition blocks, and a fourth of a bucket, to each shuffle partition. A block's content, and so all that is derived from it, depends on the documents alone.
+    shuffles the texts once. There are blocks_per_partition blocks, and a third of a bucket, to each shuffle partition. A block's content, and so all that is derived from it, depends on the documents alone.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, blocks_per_partition: int = 4):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, blocks_per_partition: int = 6):
         spark = docs.sparkSession
         self.names, self.types, self.id_col, self.text_col = docs.columns, docs.schema, id_col, text_col
-        self.buckets, self.blocks = -(-n_parts(spark) // 4), n_parts(spark) * blocks_per_partition
+        self.parts = n_parts(spark)
+        self.buckets, self.blocks = -(-n_parts(spark) // 3), n_parts(spark) * blocks_per_partition
         self.inner = {n: "i" if n == id_col else "t" if n == text_col else f"c{k}" for k, n in enumerate(docs.columns)}
         own = docs.select(*(F.col(f"`{n}`").cast("binary" if n == text_col else self.types[n].dataType).alias(x) for n, x in self.inner.items()))
         self.rows = with_block(own, "i", "t", self.blocks).mapInArrow(chunks, "_block int, chunk binary")
@@ -262,9 +263,11 @@ class Blocks:
                     for (block, _), reply in zip(own, f(kind, [unpack(p) for _, p in own]), strict=True):
                         replies.setdefault(block, []).append((kind, pack(*reply)))
                 out = list(replies.items())
-                yield pa.record_batch({"_block": pa.array([b for b, _ in out], pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32()), "kinds": pa.array([[k for k, _ in own] for _, own in out], pa.list_(pa.int32())), "replies": pa.array([[r for _, r in own] for _, own in out], pa.list_(pa.binary()))})
+                del replies
+                yield trimmed(pa.record_batch({"_block": pa.array([b for b, _ in out], pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32()), "kinds": pa.array([[k for k, _ in own] for _, own in out], pa.list_(pa.int32())), "replies": pa.array([[r for _, r in own] for _, own in out], pa.list_(pa.binary()))}))
 
-        return asked.repartitionById(self.buckets, F.col("bucket")).mapInArrow(by_whole_bucket, self.REPLIED)
+        # Dealt by block here, as every reader needs them: that exchange is shared, and replies are made once.
+        return asked.repartitionById(self.buckets, F.col("bucket")).mapInArrow(by_whole_bucket, self.REPLIED).repartition(self.parts, "_block")
 
     ASKED = "bucket int, block int, kinds array<int>, payloads array<binary>"
     REPLIED = "_block int, bucket int, kinds array<int>, replies array<binary>"
