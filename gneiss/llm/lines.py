@@ -89,8 +89,8 @@ class Lines:
         another's drop key is that other one less a character. Hashes of all variants come from sums over prefixes.
         """
         swap, drop, own = [], [], []
-        for k in range(0, len(chosen), 2000):
-            part = chosen[k : k + 2000]
+        for k in range(0, len(chosen), 400):  # bounds the arrays below
+            part = chosen[k : k + 400]
             texts = [self.strings[c] for c in part]
             size = np.array([len(t) for t in texts], np.int64)
             codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -98,7 +98,7 @@ class Lines:
             line = np.repeat(np.arange(len(part)), size)
             p = np.arange(len(codes)) - start[line]
             half = (size[line] - 1) // 2
-            look = (after[k : k + 2000][line] & (p >= half)) | (before[k : k + 2000][line] & (p <= size[line] - 1 - half))
+            look = (after[k : k + 400][line] & (p >= half)) | (before[k : k + 400][line] & (p <= size[line] - 1 - half))
             at, line, p = np.flatnonzero(look), line[look], p[look]
             hashes = []
             for base, seed in BASES:
