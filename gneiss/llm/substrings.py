@@ -47,6 +47,23 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def extremes(values: np.ndarray, docs: np.ndarray):
+    """(distinct values sorted, each one's place among them, the least and the greatest id of each)."""
+    keys, which = np.unique(values, return_inverse=True)
+    low, high = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), np.iinfo(np.int64).min)
+    np.minimum.at(low, which, docs)
+    np.maximum.at(high, which, docs)
+    return keys, which, low, high
+
+
+def levels_of(min_words: int, shortest: int) -> list[int]:
+    """Window lengths that double up to min_words, from the last one that is not under shortest; two at least."""
+    out = [min_words]
+    while len(out) < 2 or (out[0] + 1) // 2 >= shortest and out[0] > 1:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
+
+
 class Windows:
     """Words, and windows of min_words words, of the rows of a block that have an id."""
 
@@ -70,19 +87,22 @@ class Windows:
         self.at = np.flatnonzero((np.arange(len(self.h)) + min_words <= ends) & with_id)
         self.doc = np.repeat(np.array([x or 0 for x in self.ids], np.int64), self.sizes)[self.at]
 
-    def first_level(self, min_words: int):
-        """For each window the least hash of the half windows in it; distinct ones sorted, with the ids' extremes.
+    def first_level(self, min_words: int, length: int):
+        """For each window the least hash of the windows of this length in it; distinct ones sorted, with the ids' extremes.
 
-        Equal windows have equal least halves, so a window whose least half no other document has cannot repeat: this
-        is the level of half length, and about one half window in fourteen has to be looked up.
+        Equal windows have equal least parts, so a window whose least part no other document has cannot repeat; and only
+        one part in about half as many as a window has needs to be looked up.
         """
-        half = (min_words + 1) // 2
-        least = sliding_min(mix(rolling(self.h, half, BASES[0])), min_words - half + 1)[self.at] if len(self.at) else np.zeros(0, np.uint64)
-        keys, which = np.unique(least, return_inverse=True)
-        low, high = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), np.iinfo(np.int64).min)
-        np.minimum.at(low, which, self.doc)
-        np.maximum.at(high, which, self.doc)
-        return keys, which, low, high
+        least = sliding_min(mix(rolling(self.h, length, BASES[0])), min_words - length + 1)[self.at] if len(self.at) else np.zeros(0, np.uint64)
+        return extremes(least, self.doc)
+
+    def level(self, min_words: int, length: int, chosen: np.ndarray):
+        """The same for all windows of this length side by side in each chosen window; places has a row for each."""
+        at = self.at[chosen]
+        steps = sorted({*range(0, min_words - length + 1, length), min_words - length})
+        own = mix(rolling(self.h, length, BASES[0]))[(at[:, None] + np.array(steps)).reshape(-1)] if len(at) else np.zeros(0, np.uint64)
+        keys, which, low, high = extremes(own, np.repeat(self.doc[chosen], len(steps)))
+        return keys, which.reshape(-1, len(steps)), low, high
 
     def full_level(self, min_words: int, chosen: np.ndarray):
         """Distinct 96-bit hashes of the chosen windows, sorted, with each window's place among them and the least id."""
@@ -100,27 +120,29 @@ class Windows:
         return key[first], more[first], which, low
 
 
-def dedup_substrings(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", keep_space: bool = True) -> DataFrame:
+def dedup_substrings(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", keep_space: bool = True, shortest: int = 25) -> DataFrame:
     """The documents' rows and columns, the text without repeated passages, and n_words and n_removed (long).
 
     A word goes if a window of min_words consecutive words covers it whose words also stand in a row with a smaller id.
-    Windows are judged on the input. Levels double: windows of half the length are looked up first, and only windows
-    over a half that another document has too are looked up at full length; at full length no candidates are left to
-    extend, since a longer repeat is windows of this length side by side. Keys go to the bucket of their hash, one entry
-    for each key and block however often it occurs, and the bucket sends back what the block needs to know, so copies
-    and passages in very many documents cost one entry a block.
+    Windows are judged on the input. Lengths double from level to level, from `shortest` or a little more up to
+    min_words: what another document has at one length alone is looked up at the next, until nothing survives or
+    min_words is reached; a longer repeat is windows of that length side by side. At the first level a window is
+    looked up by the least hash among its parts, at others by all parts side by side. Keys go to the bucket of their
+    hash, one entry for each key and block however often it occurs, and the bucket sends back what the block needs to
+    know, so copies and passages in very many documents cost one entry a block.
 
     Words are split at ASCII white space. White space between kept words stays as it is, or becomes one space each
     without keep_space. Null texts stay null and have
     no words; rows without an id stay whole and are no witnesses; rows with equal ids don't witness against each other.
     """
-    blocks = Blocks(docs, id_col, text_col)
+    blocks, levels = Blocks(docs, id_col, text_col), levels_of(min_words, shortest)
+    last = len(levels) - 1
 
     def first(block: int, table: pa.Table) -> pa.Table:
-        keys, _, low, high = Windows(table, min_words).first_level(min_words)
+        keys, _, low, high = Windows(table, min_words).first_level(min_words, levels[0])
         return blocks.requests(block, [(0, keys, (low, high))])
 
-    def shared(kind: int, asked: list[list[np.ndarray]]) -> list[tuple[np.ndarray]]:
+    def shared(asked: list[list[np.ndarray]]) -> list[tuple[np.ndarray]]:
         keys, low, high = (np.concatenate([np.cumsum(a[0], dtype=np.uint64) if k == 0 else a[k] for a in asked]) for k in range(3))
         distinct, which = np.unique(keys, return_inverse=True)
         least, most = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), np.iinfo(np.int64).min)
@@ -128,16 +150,31 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id
         np.maximum.at(most, which, high)
         return split((least != most)[which], asked, lambda x: (np.packbits(x),))
 
-    def candidates(windows: Windows, replies: pa.Table):
-        keys, which, _, _ = windows.first_level(min_words)
+    def survivors(windows: Windows, replies: pa.Table, upto: int) -> np.ndarray:
+        """Which windows have all their parts of the levels before upto in common with another document."""
+        keys, which, _, _ = windows.first_level(min_words, levels[0])
         chosen = flags(replies, keys, 0, blocks)[which]
-        return windows.full_level(min_words, chosen), chosen
-
-    def second(block: int, table: pa.Table, replies: pa.Table) -> pa.Table:
-        (keys, more, _, low), _ = candidates(Windows(table, min_words), replies)
-        return blocks.requests(block, [(1, keys, (more, low))])
-
-    def earliest(kind: int, asked: list[list[np.ndarray]]) -> list[tuple[np.ndarray, ...]]:
+        for k in range(1, upto):
+            keys, places, _, _ = windows.level(min_words, levels[k], chosen)
+            chosen[chosen] = flags(replies, keys, k, blocks)[places].all(axis=1)
+        return chosen
+
+    def further(k: int):
+        def ask(block: int, table: pa.Table, replies: pa.Table) -> pa.Table:
+            windows = Windows(table, min_words)
+            chosen = survivors(windows, replies, k)
+            if k < last:
+                keys, _, low, high = windows.level(min_words, levels[k], chosen)
+                return blocks.requests(block, [(k, keys, (low, high))])
+            keys, more, _, low = windows.full_level(min_words, chosen)
+            return blocks.requests(block, [(k, keys, (more, low))])
+
+        return ask
+
+    def answer(kind: int, asked: list[list[np.ndarray]]) -> list[tuple[np.ndarray, ...]]:
+        return earliest(asked) if kind == last else shared(asked)
+
+    def earliest(asked: list[list[np.ndarray]]) -> list[tuple[np.ndarray, ...]]:
         keys, more, low = (np.concatenate([np.cumsum(a[0], dtype=np.uint64) if k == 0 else a[k] for a in asked]) for k in range(3))
         order = np.lexsort((more, keys))
         new = np.ones(len(order), bool)
@@ -155,10 +192,11 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id
 
     def cut(block: int, table: pa.Table, replies: pa.Table) -> pa.Table:
         windows = Windows(table, min_words)
-        (keys, _, which, low), chosen = candidates(windows, replies)
+        chosen = survivors(windows, replies, last)
+        keys, _, which, low = windows.full_level(min_words, chosen)
         ahead = low.copy()
         if len(keys):
-            parts, sizes = Blocks.replies(replies, 1), bucket_sizes(keys, blocks.buckets)
+            parts, sizes = Blocks.replies(replies, last), bucket_sizes(keys, blocks.buckets)
             at = 0
             for (bits, own), size in zip(parts, sizes, strict=True):
                 lower = np.unpackbits(bits, count=size).astype(bool)
@@ -178,9 +216,10 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id
             texts.append(without(text, own) if removed[-1] and keep_space else text)
         return pa.table({**{n: table[n] for n in table.column_names if n != "t"}, "t": pa.array(texts, pa.binary()), "n_words": pa.array(windows.sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64())}).select([x for x, _ in blocks.inner_types] + ["n_words", "n_removed"])
 
-    half = blocks.answer(blocks.ask(first, Blocks.ASKED), shared)
-    full = blocks.answer(blocks.ask(second, Blocks.ASKED, half), earliest)
-    out = blocks.ask(cut, blocks.schema("n_words long, n_removed long"), half.union(full))
+    replies = blocks.answer(blocks.ask(first, Blocks.ASKED), answer)
+    for k in range(1, len(levels)):
+        replies = replies.union(blocks.answer(blocks.ask(further(k), Blocks.ASKED, replies), answer))
+    out = blocks.ask(cut, blocks.schema("n_words long, n_removed long"), replies)
     return blocks.restore(out, "n_words", "n_removed")
 
 

@@ -1,6 +1,6 @@
 import random
 
-from gneiss.llm.substrings import OP2_SQL, dedup_substrings, op2_substrings
+from gneiss.llm.substrings import OP2_SQL, dedup_substrings, levels_of, op2_substrings
 from tests.oracle import connection, same
 
 
@@ -21,8 +21,8 @@ def brute(rows, size):
     return sorted(out)
 
 
-def found(df, size):
-    return sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], " ".join((r["text"] or "").split())) for r in dedup_substrings(df, size).collect())
+def found(df, size, **how):
+    return sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], " ".join((r["text"] or "").split())) for r in dedup_substrings(df, size, **how).collect())
 
 
 def test_odd_rows(odd):
@@ -41,6 +41,14 @@ def test_random_texts(documents):
         assert found(documents(rows), size) == brute(rows, size)
 
 
+def test_levels(documents):
+    assert levels_of(50, 25) == [25, 50] and levels_of(200, 25) == [25, 50, 100, 200] and levels_of(1, 25) == [1, 1]
+    rng = random.Random(9)
+    for size in (6, 7, 11):
+        rows = [(rng.randrange(25), " ".join(rng.choice("aab") for _ in range(rng.randrange(40)))) for _ in range(30)]
+        assert levels_of(size, 1)[0] == 1 and found(documents(rows), size, shortest=2) == brute(rows, size)
+
+
 def test_white_space_between_kept_words_stays(documents):
     rows = [(1, "x a b c d"), (2, "p\n q\ta b  c\nd\n\nr  s ")]
     out = {r["doc_id"]: r["text"] for r in dedup_substrings(documents(rows), 4).collect()}
