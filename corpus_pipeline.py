@@ -9,7 +9,7 @@ from gneiss.llm.common import new_path, small, staged
 from gneiss.llm.lines import dedup_lines
 from gneiss.llm.packing import pack_best_fit
 from gneiss.llm.quality import quality_rules
-from gneiss.llm.simhash import simhash_groups
+from gneiss.llm.simhash import similar_groups
 from gneiss.llm.substrings import dedup_substrings
 
 
@@ -33,8 +33,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; documents without an id stay."""
-    groups = simhash_groups(docs.select("doc_id", "text"))
+    """Of each group of near copies (0.8 of all 5-word shingles in common) the document with the smallest id; documents
+    without an id stay."""
+    groups = similar_groups(docs.select("doc_id", "text"))
     gone = small(staged(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies"))
     return docs.join(gone, "doc_id", "left_anti").select(columns(docs))
 

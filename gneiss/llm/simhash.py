@@ -7,12 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import SALTS, components, local_forest, look_up, n_parts, salt, staged
+from gneiss.llm.common import SALTS, components, local_forest, look_up, mix, n_parts, salt, small, staged
 
 #: A fingerprint's 64 bits fall into this many parts; a tile holds the fingerprints whose parts have the same bit counts.
 PARTS = 4
 #: Most fingerprints of a tile that one task compares, and most that it compares them with.
 HOME, GUESTS = 8192, 1 << 18
+#: Numbers of 64 bits in the SimHash of a set.
+WIDE = 4
 
 
 def fingerprint(text: bytes | None, shingle: int, chunk: int = 1 << 16) -> int:
@@ -166,6 +168,170 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: s
     return out.select(F.col("_id").alias(id_col), "fingerprint", "component_id")
 
 
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """The XXH64 values of a text's different shingles, sorted; words and shingles as fingerprints has them."""
+    import xxhash
+
+    words = (text or b"").lower().split()
+    raw, size, digest = b" ".join(words), min(shingle, len(words)), xxhash.xxh64_intdigest
+    starts = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=starts[1:])
+    n = len(words) - size + 1 if words else 0
+    ends, starts = (starts[size : size + n] - 1).tolist(), starts[:n].tolist()
+    return np.unique(np.array([digest(raw[a:b], 42) for a, b in zip(starts, ends, strict=True)], np.uint64))
+
+
+def sketch(hashes: np.ndarray, chunk: int = 1 << 14) -> np.ndarray:
+    """The SimHash of a set in WIDE numbers of 64 bits, from as many mixes of each hash."""
+    seeds, counts = np.arange(WIDE, dtype=np.uint64) << np.uint64(32), np.zeros(64 * WIDE, np.int64)
+    for k in range(0, len(hashes), chunk):
+        mixed = mix(hashes[k : k + chunk, None] ^ seeds)
+        counts += np.unpackbits(mixed.view(np.uint8).reshape(len(mixed), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes)).view(np.uint64)
+
+
+def most_bits(bits: int, least: float, deviations: float) -> int:
+    """A radius for sets with a Jaccard similarity of `least`: the bits expected to differ, and some standard deviations."""
+    p = np.arccos(2 * least / (1 + least)) / np.pi
+    return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
+
+
+def near_sketches(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): sets of sizes na and nb with sketches (columns of a and b) near enough for a similarity of least."""
+    i, j = np.nonzero(np.bitwise_count(a[0][:, None] ^ b[0][None, :]) <= most_bits(64, least, 4.5))
+    fit = np.minimum(na[i], nb[j]) >= least * np.maximum(na[i], nb[j])
+    i, j = i[fit], j[fit]
+    fit = sum(np.bitwise_count(a[k][i] ^ b[k][j]).astype(np.int64) for k in range(WIDE)) <= most_bits(64 * WIDE, least, 5)
+    return i[fit], j[fit]
+
+
+def near_set_links(distinct: DataFrame, least: float) -> DataFrame:
+    """(a, b): links among nodes (node, n, s0 to s3) that join all those near_sketches finds.
+
+    Sets that similar have sizes within a factor of 1 / least, so a band of sizes, each a factor of 1 / least wide, is
+    compared with itself and the band below. As in near_links a task gives a forest, and bands with many nodes are
+    compared by several tasks. Band counts are as many as powers of 1 / least in the longest text, below 200.
+    """
+    spark = distinct.sparkSession
+    names = [f"s{k}" for k in range(WIDE)]
+    width = float(-np.log(least)) * (1 + 1e-9)
+    banded = distinct.select("node", "n", *names, F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / width).cast("int").alias("band"))
+    counts = {r["band"]: r["count"] for r in banded.groupBy("band").count().collect()}
+    homes = {b: max(1, -(-c // HOME)) for b, c in counts.items()}
+    shares = {b: max(1, -(-(c + counts.get(b - 1, 0)) // GUESTS)) for b, c in counts.items()}
+
+    def deal(batches):
+        for batch in batches:
+            band = batch["band"].to_numpy(zero_copy_only=False)
+            mixed = mix(batch["node"].to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(1)
+            for own in np.unique(band).tolist():
+                at = np.flatnonzero(band == own)
+                for to in (own, own + 1):
+                    if to not in counts:
+                        continue
+                    h, g = (mixed[at] % np.uint64(homes[to])).astype(np.int32), (mixed[at] // np.uint64(1 << 20) % np.uint64(shares[to])).astype(np.int32)
+                    sides = [(np.full(len(at), x, np.int32), g, False) for x in range(homes[to])]
+                    if to == own:
+                        sides += [(h, np.full(len(at), x, np.int32), True) for x in range(shares[to])]
+                    for x, y, home in sides:
+                        rows = batch.select(["node", "n", *names]).take(pa.array(at))
+                        yield pa.record_batch([pa.array(np.full(len(at), to, np.int32)), pa.array(x), pa.array(y), pa.array(np.full(len(at), home)), *rows.columns], names=["band", "h", "g", "home", "node", "n", *names])
+
+    def compare(table: pa.Table) -> pa.Table:
+        home = table["home"].to_numpy()
+        node, n, s = table["node"].to_numpy(), table["n"].to_numpy(), [table[x].to_numpy().view(np.uint64) for x in names]
+        a, b = np.flatnonzero(home), np.flatnonzero(~home)
+        nodes, which = np.unique(node, return_inverse=True)
+        low, to = np.arange(len(nodes)), [x[b] for x in s]
+        rows = max(1, (1 << 21) // max(1, len(b)))
+        for k in range(0, len(a), rows):
+            part = a[k : k + rows]
+            i, j = near_sketches([x[part] for x in s], n[part], to, n[b], least)
+            low = local_forest(len(nodes), which[part][i], which[b][j], low)
+        linked = np.flatnonzero(low != np.arange(len(nodes)))
+        return pa.table({"a": pa.array(nodes[linked]), "b": pa.array(nodes[low[linked]])})
+
+    columns = ", ".join(f"{x} long" for x in names)
+    dealt = banded.mapInArrow(deal, f"band int, h int, g int, home boolean, node long, n int, {columns}")
+    return dealt.repartition(n_parts(spark), "band", "h", "g").groupBy("band", "h", "g").applyInArrow(compare, "a long, b long")
+
+
+def similar_sets(nodes: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """(node, root) of the nodes that links of an exact Jaccard similarity of least or more join to a smaller one. Pairs that
+    are joined already are not verified."""
+    order = np.argsort(np.array(nodes, np.int64))
+    nodes, sets = [nodes[k] for k in order], [sets[k] for k in order]
+    size, s, low = np.array([len(x) for x in sets]), np.stack([sketch(x) for x in sets]).T, np.arange(len(nodes))
+    for k in range(len(nodes)):
+        _, near = near_sketches(s[:, k : k + 1], size[k : k + 1], s[:, k + 1 :], size[k + 1 :], least)
+        for j in (near + k + 1).tolist():
+            if low[k] == low[j]:
+                continue
+            both = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
+            if both >= least * (size[k] + size[j] - both):
+                low[low == max(low[k], low[j])] = min(low[k], low[j])
+    return [(nodes[k], nodes[x]) for k, x in enumerate(low.tolist()) if x != k]
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) of rows with an id: texts link whose sets of shingles have a Jaccard similarity of least or
+    more; component_id is the smallest id that can be reached, the row's own included.
+
+    Equal sets are one node. Wide SimHashes of the sets are compared at a radius that pairs with a similarity of least
+    exceed once in some ten thousand; what they join is a group of candidates. A group's sets meet in one task,
+    which verifies near pairs by their exact similarity, so memory there is as large as the largest such group's
+    different sets, at 8 bytes a shingle.
+    """
+    names = [f"s{k}" for k in range(WIDE)]
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("binary").alias("_text")).where("_id IS NOT NULL")
+
+    def node_of(hashes: np.ndarray) -> int:
+        import xxhash
+
+        return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view(np.int64))
+
+    def compute(batches):
+        for batch in batches:
+            sets = [shingle_hashes(x, shingle) for x in batch["_text"].to_pylist()]
+            s = np.stack([sketch(x) for x in sets]).view(np.int64) if sets else np.zeros((0, WIDE), np.int64)
+            yield pa.record_batch([batch["_id"], pa.array([node_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), *(pa.array(s[:, k].copy()) for k in range(WIDE))], names=["_id", "node", "n", *names])
+
+    def whole(batches):
+        for batch in batches:
+            sets = [shingle_hashes(x, shingle) for x in batch["_text"].to_pylist()]
+            yield pa.record_batch({"node": pa.array([node_of(x) for x in sets], pa.int64()), "set": pa.array([x.tobytes() for x in sets], pa.binary())})
+
+    def verify(batches):
+        group, held = None, {}
+        for batch in batches:
+            for top, node, raw in zip(batch["top"].to_pylist(), batch["node"].to_pylist(), batch["set"], strict=True):
+                if top != group and held:
+                    yield linked(held)
+                    held = {}
+                group = top
+                held[node] = np.frombuffer(raw.as_py(), np.uint64)
+        if held:
+            yield linked(held)
+
+    def linked(held):
+        out = similar_sets(list(held), list(held.values()), least)
+        return pa.record_batch({"node": pa.array([a for a, _ in out], pa.int64()), "root": pa.array([b for _, b in out], pa.int64())})
+
+    own = staged(texts.mapInArrow(compute, f"_id {kind}, node long, n int, " + ", ".join(f"{x} long" for x in names)), "sketches")
+    by_salt = own.groupBy("node", salt("_id").alias("_salt")).agg(F.min("_id").alias("low"), *(F.min(x).alias(x) for x in ("n", *names)))
+    distinct = staged(by_salt.groupBy("node").agg(F.min("low").alias("low"), *(F.min(x).alias(x) for x in ("n", *names))), "sets")
+    candidates = components(near_set_links(distinct, least)).withColumnRenamed("root", "top")
+    wanted = staged(distinct.join(candidates, "node").select("node", "top", F.col("low").alias("_id")), "candidates")
+    sets = texts.join(small(wanted.select("_id").distinct()), "_id", "left_semi").mapInArrow(whole, "node long, set binary")
+    groups = sets.join(small(wanted.select("node", "top")), "node")
+    found = staged(groups.repartition(n_parts(docs.sparkSession), "top").sortWithinPartitions("top").mapInArrow(verify, "node long, root long"), "similar")
+    roots = distinct.join(found, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    least_id = roots.groupBy("root").agg(F.min("low").alias("component_id"))
+    table = roots.join(least_id, "root").select("node", "component_id")
+    return look_up(own.select("_id", "node"), "node", table, "_id").select(F.col("_id").alias(id_col), "component_id")
+
+
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     out = simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

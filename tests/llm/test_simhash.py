@@ -59,3 +59,34 @@ def test_links_join_all_pairs_within_the_radius(spark, monkeypatch, home, guests
     assert len(links) <= 4 * len(xs)
     true = [(a, b) for n, a in enumerate(xs) for b in xs[:n] if ((a ^ b) & (2**64 - 1)).bit_count() <= 3]
     assert roots(links) == roots(true)
+
+
+def test_similar_groups_reach_all_similar_texts(documents):
+    rng, rows = random.Random(9), []
+    for k in range(40):
+        words = [f"w{rng.randrange(500)}" for _ in range(rng.choice((12, 40, 150, 700)))]
+        for _ in range(6):
+            own = list(words)
+            for _ in range(rng.randrange(1 + len(own) // 35)):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    rows += [(len(rows), ""), (len(rows) + 1, None), (None, rows[0][1])]
+    known = [r for r in rows if r[0] is not None]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").split() for _, t in known)]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    far = [(a, b) for a, b in pairs if ((plain(known[a][1], 3) ^ plain(known[b][1], 3)) & (2**64 - 1)).bit_count() > 3]
+    assert len(far) > 50  # what a radius of 3 bits over 3-word shingles doesn't link
+    root = roots(pairs)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(documents(rows)).collect()}
+    assert got == {i: root.get(i, i) for i, _ in known}
+
+
+def test_pipeline_drops_near_copies_at_a_similarity(spark, documents):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(400)]
+    near, far = list(words), list(words)
+    near[50::100] = ["a", "b", "c", "d"]  # 20 shingles of 396 differ
+    far[10::20] = [f"x{k}" for k in range(20)]  # 100 differ
+    docs = documents([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [1, 3]
