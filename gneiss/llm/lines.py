@@ -184,8 +184,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", te
     def meet(kind: int, asked: list[list[np.ndarray]]) -> list[tuple[np.ndarray, ...]]:
         if kind in (EXACT, SWAP):
             return [ahead_only(a, found, a[2], a[3]) for a, found in zip(asked, lowest(asked, 2, 3), strict=True)]
-        if kind == DROP:  # the earliest whole line for those that drop a character, and the earliest of these for it
-            return [(*ahead_only(a, whole, a[4], a[5]), *ahead_only(a, less, a[2], a[3])) for a, whole, less in zip(asked, lowest(asked, 2, 3), lowest(asked, 4, 5), strict=True)]
+        if kind == DROP:  # the earliest whole line for those that drop a character, whatever their order, and the earliest of these for it
+            return [(*ahead_only(a, whole, a[2], a[3]), *ahead_only(a, less, a[2], a[3])) for a, whole, less in zip(asked, lowest(asked, 2, 3), lowest(asked, 4, 5), strict=True)]
         keys, low, high = (np.concatenate([np.cumsum(a[0], dtype=np.uint64) if k == 0 else a[k] for a in asked]) for k in range(3))
         distinct, which = np.unique(keys, return_inverse=True)
         least, most = np.full(len(distinct), np.iinfo(np.uint64).max), np.zeros(len(distinct), np.uint64)
@@ -234,7 +234,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", te
         (so, sw, swap), (owner, whole, dw, drop) = keys_of(lines, replies)
         doc, line = replied(replies, SWAP, swap[0], buckets, swap[2], swap[3])
         who, found = [so], [(doc[sw], line[sw])]
-        # A line that drops a character is told of whole lines earlier than the earliest to drop it, whole lines the reverse.
+        # Lines that drop a character are told of the whole line of another block, which some of them may precede, whole
+        # lines of the earliest to drop one.
         told = [replied(replies, DROP, drop[0], buckets, drop[2], drop[3], 0), replied(replies, DROP, drop[0], buckets, drop[4], drop[5], 1)]
         for side, (doc, line) in ((~whole, told[0]), (whole, told[1])):
             who.append(owner[side])

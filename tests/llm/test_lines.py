@@ -1,5 +1,7 @@
 import random
 
+import xxhash
+
 from gneiss.llm.lines import OP4_SQL, dedup_lines, op4_lines, within_one
 from tests.oracle import connection, same
 
@@ -48,3 +50,20 @@ def test_within_one():
 
 def test_whole_table(spark, sf):
     same(op4_lines(spark, sf), connection(sf), OP4_SQL)
+
+
+def test_shorter_line_between_two_longer_ones_of_a_block(spark, documents):
+    """The whole line is in another block, after one and before another line that has a character more."""
+    blocks = int(spark.conf.get("spark.sql.shuffle.partitions")) * 6
+
+    def block(i):
+        x = xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42)
+        return (x - (1 << 64) if x >> 63 else x) % blocks
+
+    first = 1
+    last = next(i for i in range(3, 10000) if block(i) == block(first))
+    between = next(i for i in range(2, last) if block(i) != block(first))
+    line = "a line that stands whole in one document"
+    rows = sorted([(first, "X" + line), (between, line), (last, line + "Y")])
+    out = sorted((r["doc_id"], r["text"]) for r in dedup_lines(documents(rows)).collect())
+    assert out == brute(rows, 20) == [(first, "X" + line), (between, ""), (last, "")]
