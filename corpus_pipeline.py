@@ -23,8 +23,9 @@ def as_documents(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, as they are. Empty input gives empty output, here and below."""
-    return quality_rules(docs).where("kept").select(columns(docs))
+    """Documents that the quality rules keep, without lines that are frequent on their host. Empty input gives empty
+    output, here and below."""
+    return as_documents(quality_rules(docs).where("kept"), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

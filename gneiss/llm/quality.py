@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import SALTS, small, staged
+from gneiss.llm.common import BROADCAST_ROWS, SALTS, staged
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
@@ -59,16 +59,23 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(F.array_join(words_of(line), " "))
 
 
+def without(text: Column, gone: Column) -> Column:
+    """The text without the lines whose hashes, of their words in lower case, are in gone. Blank lines stay."""
+    kept = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | ~F.array_contains(gone, line_hash(F.lower(x))))
+    return F.when(gone.isNull(), text).otherwise(F.array_join(kept, "\n"))
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 10, max_repeat_percent: int = 20, min_texts: int = 20, max_share: float = 0.1, min_left: float = 0.5) -> DataFrame:
     """The documents' columns and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_words (long),
     base_failed, kept (boolean).
 
     base_failed: fewer than min_words words, or more than max_repeat_percent of them in 5-word windows found twice. A
-    line that stands in more than min_texts and more than max_share of the different texts of its host is removed, and
-    a document of whose words less than min_left are left is rejected, so kept is false. Null hosts are one host. A
-    null text has no words and fails. Line counts cover all documents; per host and line they are summed before and
-    after the shuffle, and a frequent line is joined by SALTS tasks. Documents that lose words are joined as a broadcast
-    up to a counted number of rows, by a shuffle beyond. The documents' own columns keep their names.
+    line that stands in more than min_texts and more than max_share of the different texts of its host is removed from
+    the text, and a document of whose words less than min_left are left is rejected, so kept is false. The other values
+    are of the text as it was. Null hosts are one host. A null text has no words and fails. Line counts cover all
+    documents; per host and line they are summed before and after the shuffle, and a frequent line is joined by SALTS
+    tasks. Documents that lose words are joined as a broadcast up to a counted number of lines, by a shuffle beyond.
+    The documents' own columns keep their names.
     """
     marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_d"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit("")).alias("_host"), F.col(f"`{host_col}`").isNull().alias("_no_host"))
     marked = marked.withColumn("_key", F.xxhash64("_id", "_text")).withColumn("_host", F.struct("_no_host", "_host"))
@@ -78,16 +85,19 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = marked.select("_host", F.xxhash64("_text").alias("content")).distinct().groupBy("_host").agg(F.count("*").alias("host_texts"))
     frequent = counts.join(texts, counts["host"] == texts["_host"]).where(F.col("n_texts") > max_share * F.col("host_texts"))
     frequent = frequent.select("_host", "line", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
-    removed = lines.join(frequent, ["_host", "line", "_salt"]).groupBy("_key", "_id").agg(F.sum("n").alias("_removed"))
+    removed = lines.join(frequent, ["_host", "line", "_salt"]).groupBy("_key", "_id").agg(F.sum("n").alias("_removed"), F.collect_set("line").alias("_gone"))
     copies = marked.groupBy("_key", "_id").agg(F.count("*").alias("_copies"))
-    removed = removed.join(copies, (removed["_key"] == copies["_key"]) & removed["_id"].eqNullSafe(copies["_id"]), "left").select(removed["_key"], removed["_id"], (F.col("_removed") / F.col("_copies")).cast("long").alias("_removed"))
-    removed = small(staged(removed, "removed"))
+    removed = removed.join(copies, (removed["_key"] == copies["_key"]) & removed["_id"].eqNullSafe(copies["_id"]), "left").select(removed["_key"], removed["_id"], (F.col("_removed") / F.col("_copies")).cast("long").alias("_removed"), "_gone")
+    removed = staged(removed, "removed")
+    if (removed.agg(F.sum(F.size("_gone"))).first()[0] or 0) <= BROADCAST_ROWS:
+        removed = F.broadcast(removed)
     # As the output of a generator the rules are computed once: filters on them are not taken below it, nor are they inlined.
     rules = marked.select("_d", "_id", "_key", F.explode(F.array(text_rules(F.col("_text")))).alias("_r"))
     both = rules.join(removed, (rules["_key"] == removed["_key"]) & rules["_id"].eqNullSafe(removed["_id"]), "left")
     failed = (F.col("_r.n_words") < min_words) | (100 * F.col("_r.n_repeat_words") > max_repeat_percent * F.col("_r.n_words"))
     gone = F.coalesce("_removed", F.lit(0).cast("long"))
-    return both.select("_d.*", "_r.*", gone.alias("n_removed_words"), failed.alias("base_failed"), (~failed & (F.col("_r.n_words") - gone >= min_left * F.col("_r.n_words"))).alias("kept"))
+    own = [without(F.col(f"_d.`{c}`"), F.col("_gone")).alias(c) if c == text_col else F.col(f"_d.`{c}`") for c in docs.columns]
+    return both.select(*own, "_r.*", gone.alias("n_removed_words"), failed.alias("base_failed"), (~failed & (F.col("_r.n_words") - gone >= min_left * F.col("_r.n_words"))).alias("kept"))
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from gneiss.llm.quality import OP5_SQL, op5_quality, quality_rules
 from tests.oracle import connection, same
 
@@ -36,5 +38,16 @@ def test_line_frequency(spark, tmp_path):
     assert not any(kept[k] for k in (*range(100, 130), 400, 401, 402))
 
 
+def test_frequent_lines_are_cut_from_the_text(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(table(spark, tmp_path) + "/documents.parquet").withColumn("n_chars", F.length("text").cast("long"))
+    was = {r["doc_id"]: r["text"] for r in docs.collect()}
+    now = {r["doc_id"]: r["text"] for r in quality_rules(docs).collect()}
+    assert now == {k: t.split("\n")[1] if k < 200 else t for k, t in was.items()}
+    stage = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.quality(spark, docs, "").collect()}
+    assert stage == {k: (now[k], len(now[k])) for k in (*range(60), *range(200, 205), *range(300, 350), 403)}
+
+
 def test_whole_table(spark, sf):
     same(op5_quality(spark, sf), connection(sf), OP5_SQL)
