@@ -29,8 +29,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without lines that an earlier line is within one edit of."""
-    return as_documents(dedup_lines(docs), docs)
+    """Every document, without lines that an earlier line is within one edit of; lines under 20 characters go if an
+    earlier one is equal, and blank ones stay."""
+    return as_documents(dedup_lines(docs, min_exact=1), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

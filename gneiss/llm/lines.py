@@ -30,19 +30,20 @@ def earlier(doc: np.ndarray, line: np.ndarray, than_doc: np.ndarray, than_line:
 
 
 class Lines:
-    """The eligible lines of a block: those with at least min_chars characters, of rows that have an id."""
+    """The eligible lines of a block: those with at least min_exact characters, of rows that have an id. Those with
+    min_chars, at least as many, are matched within one edit too."""
 
-    def __init__(self, table: pa.Table, min_chars: int):
+    def __init__(self, table: pa.Table, min_chars: int, min_exact: int):
         self.ids, self.texts = table["i"].to_pylist(), [None if x is None else x.split(b"\n") for x in table["t"].to_pylist()]
         number, self.strings, which, docs, at = {}, [], [], [], []
         for who, text in zip(self.ids, self.texts, strict=True):
             if who is None or text is None:
                 continue
             for k, raw in enumerate(text):
-                if len(raw) < min_chars:
+                if len(raw) < min_exact:
                     continue
                 line = raw.strip().decode("utf-8", "replace")
-                if len(line) < min_chars:
+                if len(line) < min_exact:
                     continue
                 if (own := number.get(line)) is None:
                     own = number[line] = len(self.strings)
@@ -56,6 +57,7 @@ class Lines:
         first = order[np.flatnonzero(np.diff(self.which[order], prepend=-1))] if n else np.zeros(0, np.int64)
         self.first_doc, self.first_at = self.doc[first], self.at[first]
         digests = [xxhash.xxh3_128_intdigest(s.encode("utf-8", "surrogatepass")) for s in self.strings]
+        self.long = np.array([len(s) >= min_chars for s in self.strings], bool)
         self.key = np.array([d & 0xFFFFFFFFFFFFFFFF for d in digests], np.uint64)
         self.more = np.array([d >> 96 for d in digests], np.uint32)
 
@@ -66,16 +68,18 @@ class Lines:
 
     def halves(self):
         """The hashes of the halves that two lines within one edit share, sorted; lines' least and greatest hash by
-        half; and each line's places: two prefixes, then two suffixes."""
+        half; and each long line's places: two prefixes, then two suffixes."""
         out = []
-        for s in self.strings:
+        for s, long in zip(self.strings, self.long.tolist(), strict=True):
+            if not long:
+                continue
             n = len(s)
             for k in (n // 2, (n - 1) // 2):
                 out.append(xxhash.xxh64_intdigest(s[:k].encode("utf-8", "surrogatepass"), 2 * k))
             for k in (n // 2, (n - 1) // 2):
                 out.append(xxhash.xxh64_intdigest(s[n - k :].encode("utf-8", "surrogatepass"), 2 * k + 1))
         keys, place = np.unique(np.array(out, np.uint64), return_inverse=True)
-        low, high, own = np.full(len(keys), np.iinfo(np.uint64).max), np.zeros(len(keys), np.uint64), np.repeat(self.key, 4)
+        low, high, own = np.full(len(keys), np.iinfo(np.uint64).max), np.zeros(len(keys), np.uint64), np.repeat(self.key[self.long], 4)
         np.minimum.at(low, place, own)
         np.maximum.at(high, place, own)
         return keys, low, high, place.reshape(-1, 4)
@@ -159,12 +163,13 @@ def replied(replies: pa.Table, kind: int, keys: np.ndarray, buckets: int, doc: n
     return doc, line
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", min_exact: int | None = None) -> DataFrame:
     """The documents' rows and columns, the text without near-repeated lines, and n_lines, n_removed_lines (long).
 
     A line, stripped of ASCII white space, with at least min_chars characters goes if an earlier such line, by
     (id, number in its text), is equal or within one edit (one character more, less or other). Lines are judged on the
-    input. Shorter lines stay, as do rows without an id or a text.
+    input. Shorter lines stay, as do rows without an id or a text. With min_exact, shorter lines with at least so many
+    characters (1: all that aren't blank) go if an earlier line is equal.
 
     1. Equal lines meet by their hash: a block sends each distinct line once, and the bucket tells it the earliest. 2.
     Of lines within one edit one half is equal, so halves are looked up first. 3. The earliest of equal lines, if some
@@ -172,11 +177,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", te
     the earliest is told: minima only, never pairs, so a template with very many fillings is no group to compare. 5.
     The line goes to the block of the earlier one, which verifies the edit distance. 6. Lines are cut from the texts.
     """
+    min_exact = min_chars if min_exact is None else min(min_chars, min_exact)
     blocks = Blocks(docs, id_col, text_col)
     buckets, n_blocks = blocks.buckets, blocks.blocks
 
     def first(block: int, table: pa.Table) -> pa.Table:
-        lines = Lines(table, min_chars)
+        lines = Lines(table, min_chars, min_exact)
         key, more, doc, line, _ = lines.exact()
         keys, low, high, _ = lines.halves()
         return blocks.requests(block, [(EXACT, key, (more, doc, line)), (HALF, keys, (low, high))])
@@ -206,7 +212,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", te
         shared = np.zeros(len(halves), bool)
         for (_, a, b), (bits,) in zip(by_bucket(halves, buckets), Blocks.replies(replies, HALF), strict=True):
             shared[a:b] = np.unpackbits(bits, count=b - a).astype(bool)
-        shared = shared[at]
+        by_line = np.zeros((len(lines.strings), 4), bool)
+        by_line[lines.long] = shared[at]
+        shared = by_line
         chosen = np.flatnonzero(mine & shared.any(axis=1)) if len(mine) else np.zeros(0, np.int64)
         (so, s1, s2), (do, d1, d2), (fo, f1, f2) = lines.variants(chosen, shared[chosen, 2:].any(axis=1), shared[chosen, :2].any(axis=1))
         sf, sw = grouped(s1, s2, lines.first_doc[so], lines.first_at[so])
@@ -226,11 +234,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", te
         return (so, sw, swap), (owner, whole, dw, (keys[df], more[df], *sides))
 
     def second(block: int, table: pa.Table, replies: pa.Table) -> pa.Table:
-        (_, _, swap), (_, _, _, drop) = keys_of(Lines(table, min_chars), replies)
+        (_, _, swap), (_, _, _, drop) = keys_of(Lines(table, min_chars, min_exact), replies)
         return blocks.requests(block, [(SWAP, swap[0], swap[1:]), (DROP, drop[0], drop[1:])])
 
     def match(block: int, table: pa.Table, replies: pa.Table) -> pa.Table:
-        lines = Lines(table, min_chars)
+        lines = Lines(table, min_chars, min_exact)
         (so, sw, swap), (owner, whole, dw, drop) = keys_of(lines, replies)
         doc, line = replied(replies, SWAP, swap[0], buckets, swap[2], swap[3])
         who, found = [so], [(doc[sw], line[sw])]
@@ -266,7 +274,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", te
         return pa.table({"_block": pa.array(homes, pa.int32()), "bucket": pa.array([block] * len(homes), pa.int32()), "kinds": pa.array([[DROP + 1]] * len(homes), pa.list_(pa.int32())), "replies": pa.array(found, pa.list_(pa.binary()))})
 
     def cut(block: int, table: pa.Table, replies: pa.Table) -> pa.Table:
-        lines = Lines(table, min_chars)
+        lines = Lines(table, min_chars, min_exact)
         key, _, doc, line, place = lines.exact()
         doc, line = replied(replies, EXACT, key, buckets, doc, line)
         if len(place):
@@ -281,7 +289,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", te
                 cuts.setdefault(d, set()).add(n)
         texts, counts, removed = [], [], []
         for who, raw, text in zip(lines.ids, table["t"], lines.texts, strict=True):
-            own = {n for n in cuts.get(who, ()) if n < len(text) and len(text[n].strip().decode("utf-8", "replace")) >= min_chars} if text is not None and who is not None else ()
+            own = {n for n in cuts.get(who, ()) if n < len(text) and len(text[n].strip().decode("utf-8", "replace")) >= min_exact} if text is not None and who is not None else ()
             counts.append(0 if text is None else len(text))
             removed.append(len(own))
             texts.append(b"\n".join(x for n, x in enumerate(text) if n not in own) if own else raw.as_py())

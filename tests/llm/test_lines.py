@@ -67,3 +67,25 @@ def test_shorter_line_between_two_longer_ones_of_a_block(spark, documents):
     rows = sorted([(first, "X" + line), (between, line), (last, line + "Y")])
     out = sorted((r["doc_id"], r["text"]) for r in dedup_lines(documents(rows)).collect())
     assert out == brute(rows, 20) == [(first, "X" + line), (between, ""), (last, "")]
+
+
+def test_short_lines_go_if_equal(spark, documents):
+    import corpus_pipeline
+
+    rng, rows = random.Random(10), []
+    for i in range(30):
+        rows.append((i, "\n".join(rng.choice(("", " ")) + "".join(rng.choice("ab") for _ in range(rng.randrange(8))) for _ in range(rng.randrange(1, 6)))))
+    seen, want = [], []
+    for i, t in rows:
+        kept = []
+        for x in t.split("\n"):
+            s = x.strip()
+            if not s or not any(s == y or len(s) >= 5 and len(y) >= 5 and distance(s, y) <= 1 for y in seen):
+                kept.append(x)
+            seen.append(s)
+        want.append((i, "\n".join(kept)))
+    out = dedup_lines(documents(rows), 5, min_exact=1)
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == want
+    docs = documents([(1, "short\n\nyes"), (2, "\nshort\nshirt"), (3, " yes\n")])
+    out = corpus_pipeline.lines(spark, docs, "")
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(1, "short\n\nyes"), (2, "\nshirt"), (3, "")]
