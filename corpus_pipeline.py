@@ -13,6 +13,10 @@ from gneiss.llm.simhash import similar_groups
 from gneiss.llm.substrings import dedup_substrings
 
 
+#: A line in more different texts of a host than this is boilerplate, however large the host.
+ENOUGH_TEXTS = 40
+
+
 def columns(docs: DataFrame) -> list[str]:
     return [f"`{c}`" for c in docs.columns]
 
@@ -25,7 +29,7 @@ def as_documents(out: DataFrame, docs: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without lines that are frequent on their host. Empty input gives empty
     output, here and below."""
-    return as_documents(quality_rules(docs).where("kept"), docs)
+    return as_documents(quality_rules(docs, enough_texts=ENOUGH_TEXTS).where("kept"), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

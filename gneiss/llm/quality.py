@@ -65,13 +65,13 @@ def without(text: Column, gone: Column) -> Column:
     return F.when(gone.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 10, max_repeat_percent: int = 20, min_texts: int = 20, max_share: float = 0.1, min_left: float = 0.5) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 10, max_repeat_percent: int = 20, min_texts: int = 20, max_share: float = 0.1, min_left: float = 0.5, enough_texts: int | None = None) -> DataFrame:
     """The documents' columns and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_words (long),
     base_failed, kept (boolean).
 
     base_failed: fewer than min_words words, or more than max_repeat_percent of them in 5-word windows found twice. A
     line that stands in more than min_texts and more than max_share of the different texts of its host is removed from
-    the text, and a document of whose words less than min_left are left is rejected, so kept is false. The other values
+    the text, as is one in more than enough_texts of them, if that is given, however many texts the host has; and a document of whose words less than min_left are left is rejected, so kept is false. The other values
     are of the text as it was. Null hosts are one host. A null text has no words and fails. Line counts cover all
     documents; per host and line they are summed before and after the shuffle, and a frequent line is joined by SALTS
     tasks. Documents that lose words are joined as a broadcast up to a counted number of lines, by a shuffle beyond.
@@ -83,7 +83,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = lines.select("_key", "_id", "_host", "l.line", "l.n", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).alias("_salt"))
     counts = line_counts(marked.select("_host", "_text"), "_host", "_text").where(F.col("n_texts") > min_texts)
     texts = marked.select("_host", F.xxhash64("_text").alias("content")).distinct().groupBy("_host").agg(F.count("*").alias("host_texts"))
-    frequent = counts.join(texts, counts["host"] == texts["_host"]).where(F.col("n_texts") > max_share * F.col("host_texts"))
+    frequent = counts.join(texts, counts["host"] == texts["_host"]).where((F.col("n_texts") > max_share * F.col("host_texts")) | (F.col("n_texts") > enough_texts if enough_texts is not None else F.lit(False)))
     frequent = frequent.select("_host", "line", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
     removed = lines.join(frequent, ["_host", "line", "_salt"]).groupBy("_key", "_id").agg(F.sum("n").alias("_removed"), F.collect_set("line").alias("_gone"))
     copies = marked.groupBy("_key", "_id").agg(F.count("*").alias("_copies"))

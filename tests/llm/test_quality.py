@@ -51,3 +51,15 @@ def test_frequent_lines_are_cut_from_the_text(spark, tmp_path):
 
 def test_whole_table(spark, sf):
     same(op5_quality(spark, sf), connection(sf), OP5_SQL)
+
+
+def test_enough_texts_on_a_large_host(spark):
+    import corpus_pipeline
+
+    line = "this line stands in few of the texts of a large host but in many texts"
+    rows = [(k, (line + "\n" if k < 45 else "") + f"own{k} " * (5 if k < 45 else 12) + " ".join(f"w{k}x{j}" for j in range(5)), "a", 0) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    assert {r["doc_id"] for r in quality_rules(docs).where("n_removed_words > 0").collect()} == set()
+    assert {r["doc_id"] for r in quality_rules(docs, enough_texts=45).where("n_removed_words > 0").collect()} == set()
+    assert {r["doc_id"] for r in quality_rules(docs, enough_texts=44).where("n_removed_words > 0").collect()} == set(range(45))
+    assert not any(line in r["text"] for r in corpus_pipeline.quality(spark, docs, "").collect())
