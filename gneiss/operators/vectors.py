@@ -42,9 +42,9 @@ def distance(column: str | Column, query: list[float], metric: str = "l2") -> Co
     return F.when(F.size(c) == len(query), 1.0 - total if metric == "ip" else total)
 
 
-def scored(df: DataFrame, vector: str, queries: list[tuple[object, list[float]]], k: int, metric: str, tie: str) -> DataFrame:
+def scored(df: DataFrame, vector: str, queries: list[tuple[object, list[float]]], k: int, metric: str, tie: str, probed: np.ndarray | None = None) -> DataFrame:
     """The k nearest rows of each Arrow batch to each query, with `qid` and `distance`: what is left to merge is at
-    most k rows a batch and query."""
+    most k rows a batch and query. probed: which values of the column `cell` are for which query, all without."""
     sizes = {len(q) for _, q in queries}
     if len(sizes) != 1:
         raise ValueError("queries have one and the same length")
@@ -58,11 +58,15 @@ def scored(df: DataFrame, vector: str, queries: list[tuple[object, list[float]]]
             if not len(ok):
                 continue
             d = distances(rows, points, metric)
+            if probed is not None:
+                d[~probed[:, batch["cell"].to_numpy()[ok]]] = np.inf
             ties = batch[tie].take(pa.array(ok)).to_numpy(zero_copy_only=False)
             for q in range(len(points)):
                 near = np.arange(len(ok))
                 if len(ok) > k:
                     near = np.flatnonzero(d[q] <= np.partition(d[q], k - 1)[k - 1])
+                if probed is not None:
+                    near = near[np.isfinite(d[q][near])]
                 near = near[np.lexsort((ties[near], d[q][near]))][:k]
                 own = batch.take(pa.array(ok[near]))
                 yield pa.record_batch([pa.array([ids[q]] * len(near), pa.int64()), *own.columns, pa.array(d[q][near])], names=["qid", *names, "distance"])
@@ -78,13 +82,13 @@ def ann(df: DataFrame, query: list[float], k: int, vector: str = "embedding", me
     return scored(df, vector, [(0, list(query))], k, metric, tie).drop("qid").orderBy("distance", tie).limit(k)
 
 
-def batch_ann(df: DataFrame, queries: list[tuple[int, list[float]]], k: int, vector: str = "embedding", metric: str = "l2", tie: str = "vec_id") -> DataFrame:
+def batch_ann(df: DataFrame, queries: list[tuple[int, list[float]]], k: int, vector: str = "embedding", metric: str = "l2", tie: str = "vec_id", probed: np.ndarray | None = None) -> DataFrame:
     """For each query (qid, vector) its k nearest rows: qid, rank from 1, the row, distance.
 
     Each pass over the rows answers QUERIES_AT_ONCE queries, and only each batch's k best of a query are shuffled."""
     if not queries:
         raise ValueError("there is a query at least")
-    parts = [scored(df, vector, queries[a : a + QUERIES_AT_ONCE], k, metric, tie) for a in range(0, len(queries), QUERIES_AT_ONCE)]
+    parts = [scored(df, vector, queries[a : a + QUERIES_AT_ONCE], k, metric, tie, None if probed is None else probed[a : a + QUERIES_AT_ONCE]) for a in range(0, len(queries), QUERIES_AT_ONCE)]
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
@@ -134,7 +138,7 @@ class CellIndex:
         for _ in range(rounds):
             near = distances(x, c, "l2").argmin(axis=0)
             c = np.array([x[near == k].mean(axis=0) if (near == k).any() else c[k] for k in range(len(c))])
-        self.centres = c
+        self.centres, self.sample, self.needed = c, x, {}
         self.rows = self.assign(df)
 
     def assign(self, df: DataFrame) -> DataFrame:
@@ -158,11 +162,36 @@ class CellIndex:
     def probes(self, query: list[float], n: int) -> list[int]:
         return np.argsort(distances(self.centres, np.array([query], np.float64), self.metric)[0])[:n].tolist()
 
+    def enough(self, k: int, least: float = 0.95, queries: int = 256) -> int:
+        """The number of nearest cells that hold `least` of the k nearest neighbours of rows of the sample, the row itself
+        aside. Neighbours in all rows are nearer than those in the sample, so these cells hold no less of them."""
+        if k not in self.needed:
+            x, c = self.sample, self.centres
+            own = distances(x, c, "l2").argmin(axis=0)
+            rows = min(k + 1, len(x))
+            at = []
+            for q in x[:queries]:
+                near = np.argsort(distances(x, q[None, :], self.metric)[0], kind="stable")[:rows]
+                near = near[(x[near] != q).any(axis=1)]
+                rank = np.argsort(np.argsort(distances(c, q[None, :], self.metric)[0]))
+                at.append(rank[own[near]])
+            at = np.sort(np.concatenate(at))
+            self.needed[k] = int(at[min(len(at) - 1, int(np.ceil(least * len(at))))]) + 1 if len(at) else len(c)
+        return self.needed[k]
+
     def search(self, query: list[float], k: int, ef: int | None = None) -> DataFrame:
-        """The k nearest rows of the max(k, ef) / k nearest cells, 4 at least."""
-        n = max(4, -(-max(k, ef or k) // k))
+        """The k nearest rows of the nearest cells: as many as `enough` finds, or with ef
+        max(k, ef) / k cells, 4 at least."""
+        n = self.enough(k) if ef is None else max(4, -(-max(k, ef) // k))
         return ann(self.rows.where(F.col("cell").isin(self.probes(query, n))).drop("cell"), query, k, self.vector, self.metric, self.tie)
 
+    def batch_search(self, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
+        """`search` for each query (qid, vector), with results as batch_ann has them."""
+        n, probed = self.enough(k), np.zeros((len(queries), len(self.centres)), bool)
+        for row, (_, point) in zip(probed, queries, strict=True):
+            row[self.probes(point, n)] = True
+        return batch_ann(self.rows.where("cell >= 0"), queries, k, self.vector, self.metric, self.tie, probed).drop("cell")
+
 
 def recall(found: list[float], exact: list[float]) -> float:
     """The share of found distances that are no further than the furthest exact one."""

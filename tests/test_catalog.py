@@ -180,3 +180,22 @@ def test_recall_of_cells(spark):
         exact = [r["distance"] for r in vectors.ann(df, q, 10).collect()]
         shares.append(vectors.recall([r["distance"] for r in index.search(q, 10, ef=100).collect()], exact))
     assert sum(shares) / 3 >= 0.9
+
+
+def test_recall_of_cells_at_own_settings(spark):
+    import numpy as np
+
+    from gneiss.operators import vectors
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 32)).astype("float32")
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    queries = [(k, x[k].tolist()) for k in range(0, 3000, 50)]
+    for metric in ("l2", "ip"):
+        index = vectors.CellIndex(df, metric=metric)
+        true = {(r["qid"], r["vec_id"]) for r in vectors.batch_ann(df, queries, 10, metric=metric).collect()}
+        rows = index.batch_search(queries, 10).collect()
+        got = {(r["qid"], r["vec_id"]) for r in rows}
+        assert len(got) == len(true) == 600 and len(got & true) >= 0.9 * 600
+        own = [r["vec_id"] for r in index.search(queries[7][1], 10).collect()]
+        assert own == [r["vec_id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["qid"] == queries[7][0]]
