@@ -199,3 +199,19 @@ def test_recall_of_cells_at_own_settings(spark):
         assert len(got) == len(true) == 600 and len(got & true) >= 0.9 * 600
         own = [r["vec_id"] for r in index.search(queries[7][1], 10).collect()]
         assert own == [r["vec_id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["qid"] == queries[7][0]]
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_batch_ann_of_all_ids_divisible_by_50(spark, sf, monkeypatch, metric):
+    from gneiss import queries
+    from gneiss.operators import vectors
+    from tests.oracle import connection, same
+
+    monkeypatch.setattr(vectors, "QUERIES_AT_ONCE", 4)
+    rows = queries.Tables(spark, sf).embeddings
+    asked = [(r["vec_id"], list(r["embedding"])) for r in rows.where("vec_id % 50 = 0").collect()]
+    assert len(asked) > 2 * vectors.QUERIES_AT_ONCE
+    sql = queries.batch_sql(queries.L2 if metric == "l2" else queries.IP).replace("vec_id < 5", "vec_id % 50 = 0")
+    parts = [vectors.batch_ann(rows.where(f"vec_id % 3 = {k}"), asked, 5, metric=metric).drop("rank") for k in range(3)]
+    for out in (vectors.batch_ann(rows, asked, 5, metric=metric), vectors.merge_batch_top_k(parts, 5, "vec_id")):
+        same(queries.rounded(out, "qid", "rank", "vec_id"), connection(sf), sql)
