@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -52,63 +53,126 @@ def id_encoder(path: str, pattern: str):
     return cache["ids", path]
 
 
+def best_configuration(sizes: list[int], price: np.ndarray, cost: np.ndarray) -> tuple[float, list[int]]:
+    """(gain, groups): the one to three groups whose prices exceed the cost of their filling most. cost[n] is for a bin
+    filled up to n. A dynamic program over what is filled by one, two and three."""
+    held = [np.full(len(cost), -np.inf)]
+    held[0][0], chosen = 0.0, []
+    for _ in range(3):
+        before, now, who = held[-1], np.full(len(cost), -np.inf), np.zeros(len(cost), np.int64)
+        for g, n in enumerate(sizes):
+            more = before[: len(cost) - n] + price[g]
+            better = more > now[n:]
+            now[n:][better], who[n:][better] = more[better], g
+        held.append(now)
+        chosen.append(who)
+    k = int(np.argmax([(v - cost).max() for v in held[1:]]))
+    at = int((held[k + 1] - cost).argmax())
+    gain, groups = float(held[k + 1][at] - cost[at]), []
+    for who in reversed(chosen[: k + 1]):
+        groups.append(int(who[at]))
+        at -= sizes[groups[-1]]
+    return gain, groups
+
+
+def least_cost(sizes: list[int], demand: list[int], cost: np.ndarray, steps: int = 400) -> list[tuple[list[int], float]]:
+    """Which configurations, and how often, meet the demand at the least cost: a linear program by the simplex method, with
+    configurations made as they are needed. Any number of steps gives a valid answer, more only a cheaper one."""
+    used = [[g] for g in range(len(sizes))]
+    rows, costs = np.eye(len(sizes)), cost[sizes]
+    for _ in range(steps):
+        back = np.linalg.inv(rows.T)
+        gain, groups = best_configuration(sizes, costs @ back, cost)
+        if gain <= 1e-9:
+            break
+        row = np.bincount(groups, minlength=len(sizes)).astype(float)
+        step, limit = back @ row, np.full(len(sizes), np.inf)
+        np.divide(np.maximum(back @ demand, 0), step, out=limit, where=step > 1e-9)
+        out = int(limit.argmin())
+        used[out], rows[out], costs[out] = groups, row, cost[np.array(sizes)[groups].sum()]
+    return list(zip(used, np.linalg.solve(rows.T, demand).tolist(), strict=True))
+
+
 class Plan:
-    """Runs of bins with the same contents: lists of (bins, [(length, times), ...])."""
-
-    def __init__(self, counts: dict[int, int], size: int, groups: int = 1024, small: int | None = None):
-        self.size, self.small = size, size // 4 if small is None else small
-        large = sorted(((n, c) for n, c in counts.items() if n > self.small), reverse=True)
-        self.runs: list[tuple[int, list[tuple[int, int]]]] = []
-        self._large(large, groups)
-        self._best_fit(sorted(((n, c) for n, c in counts.items() if n <= self.small), reverse=True))
-
-    def _large(self, large: list[tuple[int, int]], groups: int) -> None:
-        """Linear grouping: equal numbers of documents to a group, each as long as its longest; then configurations."""
-        total = sum(c for _, c in large)
-        per, members = max(1, -(-total // groups)), []
-        if len(large) <= groups:
-            members = [[[n, c]] for n, c in large]
-        else:
-            room = 0
-            for n, c in large:
-                while c:
-                    if not room:
-                        members.append([])
-                        room = per
-                    take = min(c, room)
-                    members[-1].append([n, take])
-                    room, c = room - take, c - take
+    """Runs of bins with the same contents: lists of (bins, [(length, times), ...]).
+
+    Lengths over size / 4 are dealt, longest first, into `groups` groups of equal cardinality, however many lengths there
+    are, and each is rounded up to its group's longest; lengths of size fill bins alone and are no part of this. Three of
+    the few sizes at most fit into a bin, and a linear program chooses configurations of them. Room that a configuration leaves is worth something only if shorter documents can use it: its cost is a bin less the
+    share `worth` of its room, where that is `useful` or more. Fractions are rounded down, the few documents left over take
+    the longest group and what fills its bin best. Documents of the groups then take the places, and shorter ones go where
+    they fit best. Of the plans for the settings below the one with the fewest bins counts.
+    """
+
+    #: Least useful room as a share of the size, and what useful room is worth.
+    USEFUL, WORTH = (1 / 16, 1 / 8, 3 / 16, 1 / 4), (0.0, 0.5, 0.75, 0.9)
+
+    def __init__(self, counts: dict[int, int], size: int, groups: int = 12):
+        self.size, self.small = size, size // 4
+        large = sorted(((n, c) for n, c in counts.items() if self.small < n < size), reverse=True)
+        small = sorted(((n, c) for n, c in counts.items() if n <= self.small and n < size), reverse=True)
+        members = self._groups(large, groups)
+        best = None
+        for useful in self.USEFUL:
+            for worth in self.WORTH:
+                self.runs: list[tuple[int, list[tuple[int, int]]]] = [(counts[size], [(size, 1)])] if counts.get(size) else []
+                self._large([[list(m) for m in own] for own in members], useful * size, worth)
+                self._best_fit(small)
+                if best is None or sum(n for n, _ in self.runs) < sum(n for n, _ in best):
+                    best = self.runs
+        self.runs = best
+
+    @staticmethod
+    def _groups(large: list[tuple[int, int]], groups: int) -> list[list[list[int]]]:
+        """Equal numbers of documents to a group, longest first: for each its (length, documents). Groups that are rounded up
+        to the same length are one."""
+        per, members, room = max(1, -(-sum(c for _, c in large) // groups)), [], 0
+        for n, c in large:
+            while c:
+                if not room:
+                    members.append([])
+                    room = per
+                take = min(c, room)
+                members[-1].append([n, take])
+                room, c = room - take, c - take
+        out: list[list[list[int]]] = []
+        for own in members:
+            if out and out[-1][0][0] == own[0][0]:
+                out[-1] += own
+            else:
+                out.append(own)
+        return out
+
+    def _large(self, members: list[list[list[int]]], useful: float, worth: float) -> None:
+        """Linear grouping: configurations of the rounded sizes, then the documents in their places."""
+        if not members:
+            return
         sizes, left = [m[0][0] for m in members], [sum(c for _, c in m) for m in members]
+        room = self.size - np.arange(self.size + 1)
+        for groups, share in least_cost(sizes, left, 1 - worth * np.where(room >= useful, room, 0) / self.size):
+            config = [(g, groups.count(g)) for g in sorted(set(groups))]
+            n = min(int(max(share, 0) + 1e-6), *(left[g] // k for g, k in config))
+            for g, k in config:
+                left[g] -= k * n
+            self._substitute(config, n, members)
         while any(left):
             config = self._configuration(sizes, left)
-            times = min(left[g] // k for g, k in config)
+            n = min(left[g] // k for g, k in config)
             for g, k in config:
-                left[g] -= k * times
-            self._substitute(config, times, members)
+                left[g] -= k * n
+            self._substitute(config, n, members)
 
     def _configuration(self, sizes: list[int], left: list[int]) -> list[tuple[int, int]]:
-        """The longest group left, and what fills its bin best."""
-        first = next(g for g, n in enumerate(left) if n)
-        room = self.size - sizes[first]
-        mask, reach, steps = (1 << (room + 1)) - 1, 1, []
-        for g in range(first, len(sizes)):
-            n = min(left[g] - (g == first), room // sizes[g])
-            if n <= 0:
-                continue
-            steps.append((g, n, reach))
-            more = reach
-            for _ in range(n):
-                more = (more << sizes[g]) & mask
-                reach |= more
-            if reach >> room & 1:
-                break
-        at, used = reach.bit_length() - 1, {first: 1}
-        for g, n, before in reversed(steps):
-            k = next(k for k in range(n + 1) if at - k * sizes[g] >= 0 and before >> (at - k * sizes[g]) & 1)
-            if k:
-                used[g] = used.get(g, 0) + k
-                at -= k * sizes[g]
-        return sorted(used.items())
+        """The longest group left, and the one or two others that fill its bin best."""
+        there = np.array([g for g, n in enumerate(left) if n])
+        first, room = int(there[0]), self.size - sizes[there[0]]
+        best, used = 0, [first]
+        for k in (1, 2):
+            for others in combinations_with_replacement(there.tolist(), k):
+                filled = sum(sizes[g] for g in others)
+                if best < filled <= room and all([first, *others].count(g) <= left[g] for g in others):
+                    best, used = filled, [first, *others]
+        return sorted((g, used.count(g)) for g in set(used))
 
     def _substitute(self, config: list[tuple[int, int]], times: int, members: list[list[list[int]]]) -> None:
         """Puts the group's documents in the places of a configuration, as many bins alike at a time as there can be."""
@@ -184,13 +248,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, size: int, end_id
     return own.mapInArrow(cut, f"_id {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, _part int, _rank long")
 
 
-def pack_best_fit(docs: DataFrame, tokenizer_path: str, pattern: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", groups: int = 1024) -> DataFrame:
+def pack_best_fit(docs: DataFrame, tokenizer_path: str, pattern: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", groups: int = 12) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset): where each piece of each document goes.
 
     Documents are their ids and end_id; only those longer than size are cut, the first piece being the short one. The
     plan needs the number of pieces of each length only, so at most `size` numbers come to the driver whatever the
-    corpus: lengths over size / 4 are rounded up in groups of equal cardinality, configurations of these few sizes
-    fill bins, documents of the group take the places, and shorter ones go where they fit best. The plan's rows are
+    corpus; see Plan for linear grouping, few-size configurations, substitution and best fit. The plan's rows are
     bounded by size and groups and are joined as a broadcast. A piece's rank among the pieces of its length is its rank
     within the task that made it and the number that earlier tasks made: no window ever holds the pieces of a length.
 
