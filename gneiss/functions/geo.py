@@ -71,8 +71,9 @@ def distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column, unit: str =
     return 2.0 * EARTH * F.asin(F.sqrt(u * u + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * v * v)) / UNITS[unit]
 
 
-def search(df: DataFrame, lon: float, lat: float, radius: float | None = None, box: tuple[float, float] | None = None, unit: str = "m", desc: bool | None = None, count: int | None = None, any_order: bool = False, lon_col: str = "lon", lat_col: str = "lat", tie: str = "member") -> DataFrame:
-    """GEOSEARCH FROMLONLAT: the rows within a radius, or a box (width, height), with `dist` in the unit.
+def search(df: DataFrame, lon: float, lat: float, radius: float | None = None, box: tuple[float, float] | None = None, unit: str = "m", desc: bool | None = None, count: int | None = None, any_order: bool = False, lon_col: str = "lon", lat_col: str = "lat", tie: str = "member", with_hash: bool = False, with_coord: bool = False) -> DataFrame:
+    """GEOSEARCH FROMLONLAT: the rows within a radius, or a box (width, height), with `dist` in the unit; with_hash adds
+    `hash`, the geohash of 52 bits, and with_coord `coord`, the place that it stands for.
 
     A range of latitudes comes first, and one of longitudes where it doesn't wrap; such filters reach the files. In a
     box the width is measured at the row's own latitude. desc None keeps any order, unless a count without any_order
@@ -98,7 +99,16 @@ def search(df: DataFrame, lon: float, lat: float, radius: float | None = None, b
         desc = False
     if desc is not None:
         out = out.orderBy(F.desc("dist") if desc else F.asc("dist"), tie)
-    return out if count is None else out.limit(count)
+    out = out if count is None else out.limit(count)
+    if with_hash:
+        out = out.withColumn("hash", geohash_bits(x, y))
+    return out.withColumn("coord", position(geohash_bits(x, y))) if with_coord else out
+
+
+def search_store(df: DataFrame, lon: float, lat: float, store_dist: bool = False, **how) -> DataFrame:
+    """GEOSEARCHSTORE: what a search finds as a ranked set (member, score); scores are geohashes, or distances."""
+    out = search(df, lon, lat, with_hash=True, **how)
+    return out.select(F.col(how.get("tie", "member")).alias("member"), F.col("dist" if store_dist else "hash").cast("double").alias("score"))
 
 
 def search_from(df: DataFrame, member: str, **how) -> DataFrame:

@@ -39,10 +39,15 @@ def persist(space: DataFrame, keys: DataFrame) -> DataFrame:
     return marked.withColumn("expires_at", F.when(F.col("_asked").isNull(), F.col("expires_at"))).drop("_asked").select(space.columns)
 
 
-def ttl(space: DataFrame, now: str) -> DataFrame:
-    """TTL: (key, ttl) in seconds, -1 for keys that never expire."""
+def ttl(space: DataFrame, now: str, asked: DataFrame | None = None, milliseconds: bool = False) -> DataFrame:
+    """TTL, PTTL: (key, ttl) in seconds or milliseconds, -1 for keys that never expire; of the asked keys only, -2 for
+    those that are missing."""
     left = F.col("expires_at").cast("timestamp").cast("double") - F.lit(now).cast("timestamp").cast("double")
-    return space.select("key", F.when(F.col("expires_at").isNull(), F.lit(-1)).otherwise(F.round(left).cast("long")).cast("long").alias("ttl")).distinct()
+    left = F.round(left * 1000 if milliseconds else left).cast("long")
+    own = space.select("key", F.when(F.col("expires_at").isNull(), F.lit(-1)).otherwise(left).cast("long").alias("ttl")).distinct()
+    if asked is None:
+        return own
+    return asked.select("key").join(own, "key", "left").select("key", F.coalesce("ttl", F.lit(-2)).cast("long").alias("ttl"))
 
 
 def exists(space: DataFrame, asked: DataFrame) -> DataFrame:
@@ -55,31 +60,76 @@ def delete(space: DataFrame, keys: DataFrame) -> DataFrame:
     return space.join(keys.select("key").distinct(), "key", "left_anti").select(space.columns)
 
 
+def has(space: DataFrame, key: str) -> bool:
+    return not space.where(F.col("key") == key).isEmpty()
+
+
 def rename(space: DataFrame, old: str, new: str, only_free: bool = False) -> DataFrame:
-    """RENAME, RENAMENX: what was under the new key goes, unless only_free, which then changes nothing."""
-    taken = space.where(F.col("key") == new)
-    if only_free and not taken.isEmpty():
+    """RENAME, RENAMENX: what was under the new key goes, unless only_free, which then changes nothing. A key that is
+    missing can't be renamed; one renamed to itself stays."""
+    if not has(space, old):
+        raise KeyError(f"no key {old}")
+    if old == new or only_free and has(space, new):
         return space
     return space.where(F.col("key") != new).withColumn("key", F.when(F.col("key") == old, new).otherwise(F.col("key")))
 
 
-def copy(space: DataFrame, old: str, new: str) -> DataFrame:
-    """COPY: a new key gets the rows of the old one."""
-    return space.union(space.where(F.col("key") == old).withColumn("key", F.lit(new)).select(space.columns))
+def copy(space: DataFrame, old: str, new: str, replace: bool = False) -> DataFrame:
+    """COPY: a new key gets the rows of the old one. A missing old key, or without replace a taken new one, changes
+    nothing."""
+    if old == new:
+        raise ValueError("a key is not copied to itself")
+    if not has(space, old) or not replace and has(space, new):
+        return space
+    kept = space.where(F.col("key") != new)
+    return kept.union(space.where(F.col("key") == old).withColumn("key", F.lit(new)).select(space.columns))
+
+
+def put(space: DataFrame, new: DataFrame, only: str | None = None, expires_at: Column | None = None, keep_ttl: bool = False) -> DataFrame:
+    """SET, MSET, SETNX: the space after the new rows (key, value). only: nx (missing keys) or xx (keys there).
+
+    A key that is set is a string, whatever it was, and expires at expires_at, or as before with keep_ttl, or never. Of
+    several new values of a key the greatest counts. One grouping by key.
+    """
+    extra = [c for c in space.columns if c not in ("key", "value")]
+    given = {"type": F.lit("string"), "expires_at": F.lit(None) if expires_at is None else expires_at}
+    fresh = new.select("key", "value", *(given.get(c, F.lit(None)).cast(space.schema[c].dataType).alias(c) for c in extra))
+    both = space.select("key", "value", *extra, F.lit(False).alias("_new")).union(fresh.withColumn("_new", F.lit(True)))
+    row = F.struct("value", *extra)
+    both = both.groupBy("key").agg(F.max(F.when(~F.col("_new"), row)).alias("old"), F.max(F.when(F.col("_new"), row)).alias("new"))
+    there, asked = F.col("old").isNotNull(), F.col("new").isNotNull()
+    sets = asked & {None: F.lit(True), "nx": ~there, "xx": there}[only]
+    both = both.where(there | sets)
+    pick = lambda c: F.when(sets, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}"))
+    out = {c: pick(c) for c in ("value", *extra)}
+    if keep_ttl and "expires_at" in extra:
+        out["expires_at"] = F.when(there, F.col("old.expires_at")).otherwise(F.col("new.expires_at"))
+    return both.select(*(F.col("key") if c == "key" else out[c].alias(c) for c in space.columns))
 
 
-def put(space: DataFrame, new: DataFrame, only: str | None = None) -> DataFrame:
-    """SET, MSET, SETNX, GETSET: (key, value) after the new values; only: nx or xx. One grouping by key."""
-    both = space.select("key", "value", F.lit(0).alias("_v")).union(new.select("key", "value", F.lit(1).alias("_v")))
-    out = both.groupBy("key").agg(F.max_by("value", "_v").alias("value"), F.min_by("value", "_v").alias("_first"), F.min("_v").alias("_low"))
-    if only == "xx":
-        return out.where("_low = 0").select("key", "value")
-    return out.select("key", F.col("_first").alias("value") if only == "nx" else F.col("value"))
+def put_all_if_free(space: DataFrame, new: DataFrame) -> DataFrame:
+    """MSETNX: all new rows, or none if one of their keys is there."""
+    return put(space, new) if space.join(new.select("key"), "key", "left_semi").isEmpty() else space
 
 
 def get(space: DataFrame, asked: DataFrame) -> DataFrame:
-    """GET, MGET, GETEX, GETDEL: the asked keys with their value, null if missing."""
-    return asked.join(space.select("key", "value"), "key", "left")
+    """GET, MGET: the asked keys with their value, null if missing."""
+    return asked.join(space.groupBy("key").agg(F.min("value").alias("value")), "key", "left")
+
+
+def get_and_put(space: DataFrame, new: DataFrame, only: str | None = None, **how) -> tuple[DataFrame, DataFrame]:
+    """GETSET, SET ... GET: (the old values of the keys, the space after)."""
+    return get(space, new.select("key")), put(space, new, only, **how)
+
+
+def get_and_expire(space: DataFrame, asked: DataFrame, at: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """GETEX: (values, the space with the keys expiring at an instant, or with none never)."""
+    return get(space, asked), expire(space, asked, at) if at is not None else persist(space, asked)
+
+
+def get_and_delete(space: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """GETDEL: (values, the space without the keys)."""
+    return get(space, asked), delete(space, asked)
 
 
 def random_key(space: DataFrame, seed: int = 0) -> DataFrame:

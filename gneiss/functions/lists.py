@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gneiss.operators.sets import matches
+
 
 def clamped(at: int, n: Column) -> Column:
     """A position from 0; a negative one counts from the end and is 0 at least."""
@@ -162,3 +164,20 @@ def hrandfield(c: Column, n: int = 1, seed: int = 0) -> Column:
     """HRANDFIELD: n fields in the order of a hash of the field and the seed."""
     mixed = F.array_sort(F.transform(F.map_keys(c), lambda k: F.struct(F.xxhash64(F.lit(seed), k), k.alias("k"))))
     return F.transform(F.slice(mixed, 1, n), lambda x: x["k"])
+
+
+def hscan(c: Column, pattern: str = "*") -> Column:
+    """HSCAN MATCH: sorted structs (key, value) of the fields that a pattern fits."""
+    return F.filter(hgetall(c), lambda x: matches(x["key"], pattern))
+
+
+def lmpop(columns: list[Column], n: int = 1, from_left: bool = True) -> tuple[Column, Column, list[Column]]:
+    """LMPOP: (number of the first list that isn't empty, or null; popped; all lists after)."""
+    filled = [F.coalesce(F.size(c), F.lit(0)) > 0 for c in columns]
+    first = F.lit(None).cast("int")
+    popped = F.lit(None)
+    for k in reversed(range(len(columns))):
+        first = F.when(filled[k], k).otherwise(first)
+        popped = F.when(filled[k], (lpop if from_left else rpop)(columns[k], n)[0]).otherwise(popped)
+    left = [F.when(first.eqNullSafe(F.lit(k)), (lpop if from_left else rpop)(c, n)[1]).otherwise(c) for k, c in enumerate(columns)]
+    return first, popped, left

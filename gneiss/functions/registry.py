@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import pandas as pd
@@ -22,6 +23,36 @@ def evaluate(f: Callable, returns: str, *args: Column) -> Column:
     return run(*args)
 
 
+class Scripts:
+    """The cache of scripts: SCRIPT LOAD, EXISTS, FLUSH and EVALSHA. A script is an expression over named columns that
+    pandas can evaluate, kept by the SHA-1 of its text."""
+
+    def __init__(self):
+        self.known: dict[str, str] = {}
+
+    def load(self, text: str) -> str:
+        digest = hashlib.sha1(text.encode()).hexdigest()
+        self.known[digest] = text
+        return digest
+
+    def exists(self, *digests: str) -> list[bool]:
+        return [d.lower() in self.known for d in digests]
+
+    def flush(self) -> None:
+        self.known.clear()
+
+    def run(self, digest: str, returns: str, **arguments: Column) -> Column:
+        """EVALSHA: the script's value, with columns for its names."""
+        if digest.lower() not in self.known:
+            raise KeyError(f"no script {digest}")
+        text, names = self.known[digest.lower()], list(arguments)
+
+        def script(*series: pd.Series) -> pd.Series:
+            return pd.DataFrame(dict(zip(names, series, strict=True))).eval(text)
+
+        return evaluate(script, returns, *arguments.values())
+
+
 class Functions:
     """Libraries of functions: FUNCTION LOAD, LIST, DELETE, DUMP, RESTORE and FCALL. Loaded ones are SQL functions too."""
 

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.common import numbered
+from gneiss.operators.sets import drawn
+
 AGGREGATES = {"sum": F.sum, "min": F.min, "max": F.max}
+#: The most ranks from an end that are found by a top-k; further ones by numbering all members.
+TOP = 100_000
 
 
 def no_nan(c: Column) -> Column:
@@ -32,11 +37,9 @@ def union(sets: list[DataFrame], weights: list[float] | None = None, aggregate:
 
 
 def inter(sets: list[DataFrame], weights: list[float] | None = None, aggregate: str = "sum") -> DataFrame:
-    """ZINTER: the same for members of all sets."""
-    own = weighted(sets, weights).groupBy("member").agg(no_nan(AGGREGATES[aggregate]("score")).alias("score"), F.bit_or(F.pow(F.lit(2), F.col("_set")).cast("long")).alias("_in"))
-    if len(sets) > 52:
-        raise ValueError("52 sets at most")
-    return own.where(F.col("_in") == (1 << len(sets)) - 1).select("member", "score")
+    """ZINTER: the same for members of all sets, any number of them."""
+    own = weighted(sets, weights).groupBy("member").agg(no_nan(AGGREGATES[aggregate]("score")).alias("score"), F.size(F.collect_set("_set")).alias("_in"))
+    return own.where(F.col("_in") == len(sets)).select("member", "score")
 
 
 def inter_card(sets: list[DataFrame], limit: int = 0) -> DataFrame:
@@ -47,6 +50,8 @@ def inter_card(sets: list[DataFrame], limit: int = 0) -> DataFrame:
 
 def diff(first: DataFrame, *others: DataFrame) -> DataFrame:
     """ZDIFF: members of the first that no other has, with their score."""
+    if not others:
+        return first.select("member", "score")
     return first.join(reduce(DataFrame.union, (o.select("member") for o in others)).distinct(), "member", "left_anti").select("member", "score")
 
 
@@ -55,34 +60,19 @@ def order(reverse: bool = False) -> list[Column]:
 
 
 def ranks(s: DataFrame, reverse: bool = False) -> DataFrame:
-    """(member, score, rank from 0) of the whole set, without a task that holds all of it.
-
-    Scores are dealt to ranges by quantiles; ranks are counted within a range, and a table with one row a range says how many
-    come before it.
-    """
+    """(member, score, rank from 0) of the whole set, without a task that holds all of it, whatever the scores."""
     own = s.select("member", F.col("score").cast("double").alias("score"))
-    n = int(s.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = own.agg(F.percentile_approx("score", [k / n for k in range(1, n)] or [0.5], 1000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    ranged = own.withColumn("_range", sum((F.when(F.col("score") > c, 1).otherwise(0) for c in cuts), F.lit(0)))
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("n"))
-    across = Window.orderBy(F.desc("_range") if reverse else F.asc("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("_range", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_range").orderBy(*order(reverse))
-    return ranged.withColumn("_at", F.row_number().over(within)).join(F.broadcast(before), "_range").select("member", "score", (F.col("_before") + F.col("_at") - 1).alias("rank"))
+    return numbered(own, order(reverse), "rank")
 
 
 def by_rank(s: DataFrame, start: int, stop: int, reverse: bool = False) -> DataFrame:
     """ZRANGE, ZREVRANGE: ranks start to stop, both inclusive, negative ones from the end: (member, score, rank)."""
-    if start >= 0 and stop >= 0:  # the best stop + 1 are enough
-        best = s.select("member", F.col("score").cast("double").alias("score")).orderBy(*order(reverse)).limit(stop + 1)
-        out = best.withColumn("rank", (F.row_number().over(Window.orderBy(*order(reverse))) - 1).cast("long"))
-        return out.where(F.col("rank") >= start)
-    own = ranks(s, reverse)
-    size = s.agg(F.count("*").alias("_n"))
-    low = F.lit(start) if start >= 0 else F.greatest(F.col("_n") + start, F.lit(0))
-    high = F.lit(stop) if stop >= 0 else F.col("_n") + stop
-    return own.crossJoin(F.broadcast(size)).where((F.col("rank") >= low) & (F.col("rank") <= high)).drop("_n")
+    own = s.select("member", F.col("score").cast("double").alias("score"))
+    if 0 <= stop < TOP and start >= 0:  # the best stop + 1 are enough
+        own = own.orderBy(*order(reverse)).limit(stop + 1)
+    size = own.count() if min(start, stop) < 0 else 0
+    low, high = (max(0, size + x) if k == 0 and x < 0 else size + x if x < 0 else x for k, x in enumerate((start, stop)))
+    return ranks(own, reverse).where(F.col("rank").between(low, high)).orderBy("rank")
 
 
 def bound(column: str, text: str | float, low: bool) -> Column:
@@ -147,27 +137,50 @@ def score(s: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def pop(s: DataFrame, n: int, highest: bool = False) -> tuple[DataFrame, DataFrame]:
-    """ZPOPMIN, ZPOPMAX, ZMPOP: (popped, left)."""
+    """ZPOPMIN, ZPOPMAX: (popped, left)."""
     popped = s.select("member", "score").orderBy(*order(highest)).limit(n)
     return popped, s.join(popped.select("member"), "member", "left_anti").select("member", "score")
 
 
-def add(s: DataFrame, more: DataFrame, only: str | None = None, bound: str | None = None, incr: bool = False) -> DataFrame:
-    """ZADD, ZINCRBY: s after the scores of more. only: nx (new members), xx (members there); bound: gt or lt, the new
-    score replaces the old one if it is greater or less; incr adds it. One grouping by member."""
+def pop_first(sets: list[DataFrame], n: int = 1, highest: bool = False) -> tuple[int, DataFrame, DataFrame] | None:
+    """ZMPOP, BZMPOP: (number of the first set that isn't empty, popped, left), or None."""
+    for k, s in enumerate(sets):
+        if not s.isEmpty():
+            return k, *pop(s, n, highest)
+    return None
+
+
+def changes(s: DataFrame, more: DataFrame, only: str | None = None, bound: str | None = None, incr: bool = False) -> DataFrame:
+    """(member, old, score): each member before and after ZADD, score null if it isn't in the set."""
+    if only not in (None, "nx", "xx") or bound not in (None, "gt", "lt"):
+        raise ValueError("only is nx or xx, bound is gt or lt")
+    if only == "nx" and bound:
+        raise ValueError("nx changes no score, so there is none to bound")
     old = s.select("member", F.col("score").cast("double").alias("score"), F.lit(0).alias("_new"))
     new = more.select("member", F.col("score").cast("double").alias("score"), F.lit(1).alias("_new"))
     both = old.union(new).groupBy("member").agg(F.max(F.when(F.col("_new") == 0, F.col("score"))).alias("old"), (F.sum if incr else F.max)(F.when(F.col("_new") == 1, F.col("score"))).alias("new"))
     to = F.col("old") + F.col("new") if incr else F.col("new")
-    changes = F.col("new").isNotNull() & F.col("old").isNotNull()
+    moves = F.col("new").isNotNull() & F.col("old").isNotNull()
     if only == "nx":
-        changes = F.lit(False)
-    elif bound == "gt":
-        changes = changes & (to > F.col("old"))
-    elif bound == "lt":
-        changes = changes & (to < F.col("old"))
-    out = both.withColumn("score", F.when(F.col("old").isNull(), F.col("new")).when(changes, to).otherwise(F.col("old")))
-    return (out.where(F.col("old").isNotNull()) if only == "xx" else out).select("member", "score")
+        moves = F.lit(False)
+    elif bound is not None:
+        moves = moves & (to > F.col("old") if bound == "gt" else to < F.col("old"))
+    added = F.lit(None).cast("double") if only == "xx" else F.col("new")
+    return both.select("member", "old", F.when(F.col("old").isNull(), added).when(moves, to).otherwise(F.col("old")).alias("score"))
+
+
+def add(s: DataFrame, more: DataFrame, only: str | None = None, bound: str | None = None, incr: bool = False) -> DataFrame:
+    """ZADD, ZINCRBY: s after the scores of more. only: nx (new members), xx (members there); bound: gt or lt, the new
+    score replaces the old one if it is greater or less; incr adds it. Of several new scores of a member the greatest
+    counts, or with incr their sum. One grouping by member."""
+    return changes(s, more, only, bound, incr).where(F.col("score").isNotNull()).select("member", "score")
+
+
+def add_count(s: DataFrame, more: DataFrame, only: str | None = None, bound: str | None = None, changed: bool = False) -> DataFrame:
+    """What ZADD replies: (n), the members added, and with changed (CH) those with another score too."""
+    own = changes(s, more, only, bound).where(F.col("score").isNotNull())
+    counts = F.col("old").isNull() | (F.col("old") != F.col("score")) if changed else F.col("old").isNull()
+    return own.agg(F.count(F.when(counts, 1)).alias("n"))
 
 
 def remove(s: DataFrame, gone: DataFrame) -> DataFrame:
@@ -191,5 +204,8 @@ def remove_by_rank(s: DataFrame, start: int, stop: int) -> DataFrame:
 
 
 def random_members(s: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """ZRANDMEMBER: n members in the order of a hash of the member and the seed."""
+    """ZRANDMEMBER: n members in the order of a hash of the member and the seed; for n under 0 that many draws, repeats
+    allowed."""
+    if n < 0:
+        return drawn(s.select("member", "score"), -n, seed)
     return s.select("member", "score").orderBy(F.xxhash64(F.lit(seed), "member"), "member").limit(n)

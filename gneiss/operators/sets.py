@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.common import numbered
+
 
 def members(df: DataFrame, column: str = "member") -> DataFrame:
     """SMEMBERS: the distinct members."""
@@ -67,16 +69,18 @@ def random_members(s: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """SRANDMEMBER: n distinct members; for n under 0 the same number of draws, repeats allowed. The order is a hash of
     the member, so the same seed gives the same sample on any cluster."""
     own = members(s)
-    ranked = own.orderBy(F.xxhash64(F.lit(seed), "member"), "member")
-    if n >= 0:
-        return ranked.limit(n)
-    first = ranked.limit(-n)
-    draws = own.sparkSession.range(-n).select("id", (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(-n)) + 1).alias("_k"))
-    from pyspark.sql import Window
-
-    placed = first.withColumn("_k", F.row_number().over(Window.orderBy("member")).cast("long"))
-    count = placed.agg(F.count("*").alias("_n"))
-    return draws.crossJoin(F.broadcast(count)).where("_n > 0").withColumn("_k", F.pmod("_k", "_n") + 1).join(F.broadcast(placed), "_k").select("member")
+    if n < 0:
+        return drawn(own, -n, seed)
+    return own.orderBy(F.xxhash64(F.lit(seed), "member"), "member").limit(n)
+
+
+def drawn(own: DataFrame, n: int, seed: int) -> DataFrame:
+    """n draws of rows with different members, repeats allowed: places drawn by a hash, joined to the members' places."""
+    size = own.count()
+    if not size:
+        return own.limit(0)
+    draws = own.sparkSession.range(n).select(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(size)).alias("_k"))
+    return draws.join(numbered(own, [F.asc("member")], "_k"), "_k").select(own.columns)
 
 
 def pop(s: DataFrame, n: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import json
-import tempfile
 import time
 import uuid
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gneiss.common import shared_dir
 from gneiss.operators import vectors
 from gneiss.plans.ddl import DdlError, TableSpec, parse_ddl, to_ddl
 from gneiss.plans.filters import parse_filter, segment_part, select_list, to_column
@@ -25,43 +25,86 @@ class CatalogError(KeyError):
 class Catalog:
     """Tables as Parquet folders under root, with segment columns as partition columns.
 
-    A filter on segment columns therefore prunes folders, and one on other columns reaches the files. Each insert adds
-    files and is seen as a whole or not at all. root is a folder all executors share; without one, on a local master, a temporary one is made.
+    A filter on segment columns therefore prunes folders, and one on other columns reaches the files. A table is the folder
+    `root/name`: a definition, and a folder for each insert, which is seen as a whole or not at all, as only complete ones
+    count. So another catalog over the same root, in another process too, has the same tables. root is a folder all
+    executors share; without one it is a new folder in spark.checkpoint.dir.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None, embedder=None):
-        if root is None:
-            root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-            if root is None:
-                if not spark.sparkContext.master.startswith("local"):
-                    raise ValueError("give a folder that all executors share, or set spark.checkpoint.dir")
-                held = tempfile.TemporaryDirectory(prefix="gneiss-tables-")
-                atexit.register(held.cleanup)
-                root = f"file://{held.name}"
-        self.spark, self.root, self.embedder = spark, root.rstrip("/"), embedder
-        self.tables: dict[str, TableSpec] = {}
-        self.parts: dict[str, list[str]] = {}
+        self.spark, self.embedder = spark, embedder
+        self.root = (root or f"{shared_dir(spark)}/gneiss-catalog-{uuid.uuid4().hex}").rstrip("/")
+
+    # Files
+
+    def _path(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join(parts))
+
+    def _fs(self, path):
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _folder(self, name: str) -> str:
+        return f"{self.root}/{quote(name, safe='')}"
+
+    def _list(self, folder: str) -> list[str]:
+        path = self._path(folder)
+        return sorted(f.getPath().getName() for f in self._fs(path).listStatus(path)) if self._fs(path).exists(path) else []
+
+    def _write_text(self, path: str, text: str) -> None:
+        own = self._path(path)
+        to = self._fs(own).create(own, True)
+        to.write(bytearray(text.encode()))
+        to.close()
+
+    def _read_text(self, path: str) -> str | None:
+        own = self._path(path)
+        if not self._fs(own).exists(own):
+            return None
+        size, of = self._fs(own).getFileStatus(own).getLen(), self._fs(own).open(own)
+        data = of.readNBytes(size)
+        of.close()
+        return bytes(data).decode()
 
     def spec(self, name: str) -> TableSpec:
-        if name not in self.tables:
+        text = self._read_text(f"{self._folder(name)}/_table.json")
+        if text is None:
             raise CatalogError(f"no table {name}")
-        return self.tables[name]
+        said = json.loads(text)
+        return TableSpec(said["name"], T.StructType.fromJson(said["schema"]), said["options"])
+
+    def parts(self, name: str) -> list[str]:
+        """The folders of the complete inserts; those of a snapshot that was loaded are the snapshot's own."""
+        folder = f"{self._folder(name)}/rows"
+        linked = json.loads(self._read_text(f"{self._folder(name)}/_table.json"))["parts"]
+        own = [f"{folder}/{n}" for n in self._list(folder)]
+        return [*linked, *(p for p in own if self._fs(x := self._path(p, "_SUCCESS")).exists(x))]
 
     # Definition
 
-    def create(self, table: str | TableSpec) -> TableSpec:
+    def create(self, table: str | TableSpec, parts: list[str] | None = None) -> TableSpec:
         spec = parse_ddl(table) if isinstance(table, str) else table.check()
-        if spec.name in self.tables:
+        path = f"{self._folder(spec.name)}/_table.json"
+        if self._read_text(path) is not None:
             raise CatalogError(f"{spec.name} already exists")
-        self.tables[spec.name], self.parts[spec.name] = spec, []
+        self._write_text(path, self._said(spec, parts or []))
         return spec
 
+    @staticmethod
+    def _said(spec: TableSpec, parts: list[str]) -> str:
+        return json.dumps({"name": spec.name, "schema": spec.schema.jsonValue(), "options": spec.options, "parts": parts})
+
     def drop(self, name: str) -> None:
+        """Forgets a table and deletes its files."""
         self.spec(name)
-        del self.tables[name], self.parts[name]
+        path = self._path(self._folder(name))
+        self._fs(path).delete(path, True)
+
+    def names(self) -> list[str]:
+        found = (self._read_text(f"{self.root}/{n}/_table.json") for n in self._list(self.root))
+        return sorted(json.loads(text)["name"] for text in found if text is not None)
 
     def list_tables(self) -> DataFrame:
-        return self.spark.createDataFrame([(n,) for n in sorted(self.tables)], "name string")
+        return self.spark.createDataFrame([(n,) for n in self.names()], "name string")
 
     def describe(self, name: str) -> DataFrame:
         spec = self.spec(name)
@@ -74,19 +117,22 @@ class Catalog:
     # Rows in
 
     def _add(self, spec: TableSpec, rows: DataFrame) -> dict:
-        began, path = time.monotonic(), f"{self.root}/{spec.name}-{uuid.uuid4().hex}"
+        began, path = time.monotonic(), f"{self._folder(spec.name)}/rows/_insert={uuid.uuid4().hex}"
         seen = f"rows-{uuid.uuid4().hex}"
         from pyspark.sql import Observation
 
         watch = Observation(seen)
         rows = rows.observe(watch, F.count(F.lit(1)).alias("n"))
+        self._write(spec, rows, path)
+        return {"inserted_row_count": watch.get["n"], "schema": spec.schema.simpleString(), "elapsed_time": time.monotonic() - began}
+
+    @staticmethod
+    def _write(spec: TableSpec, rows: DataFrame, path: str) -> None:
         copies = rows.select("*", *(F.col(f"`{c}`").alias(f"_segment_{k}") for k, c in enumerate(spec.segment_columns)))
         write = copies.write
         if spec.segment_columns:
             write = write.partitionBy(*(f"_segment_{k}" for k in range(len(spec.segment_columns))))
         write.parquet(path)
-        self.parts[spec.name] = [*self.parts[spec.name], path]
-        return {"inserted_row_count": watch.get["n"], "schema": spec.schema.simpleString(), "elapsed_time": time.monotonic() - began}
 
     def insert(self, name: str, *texts: str) -> dict:
         """Rows as text; see from_text."""
@@ -118,12 +164,14 @@ class Catalog:
     def _read(self, spec: TableSpec, prune) -> DataFrame:
         fields = [T.StructField(f.name, f.dataType, True, f.metadata) for f in spec.schema]
         folders = [T.StructField(f"_segment_{k}", spec.schema[c].dataType) for k, c in enumerate(spec.segment_columns)]
-        if not self.parts[spec.name]:
+        parts = self.parts(spec.name)
+        if not parts:
             return self.spark.createDataFrame([], T.StructType(fields))
-        out = None
-        for path in self.parts[spec.name]:
-            part = self.spark.read.schema(T.StructType([*fields, *folders])).parquet(path)
-            out = part if out is None else out.union(part)
+        bases: dict[str, list[str]] = {}
+        for path in parts:  # one folder of inserts, and that of a snapshot
+            bases.setdefault(path.rpartition("/")[0], []).append(path)
+        read = self.spark.read.schema(T.StructType([*fields, *folders, T.StructField("_insert", T.StringType())]))
+        out = vectors.union_all([read.option("basePath", base).parquet(*own) for base, own in sorted(bases.items())])
         if prune is not None:
             names = {c: f"_segment_{k}" for k, c in enumerate(spec.segment_columns)}
             renamed = T.StructType([T.StructField(names[f.name], f.dataType) for f in spec.schema if f.name in names])
@@ -157,11 +205,11 @@ class Catalog:
         rows = self._read(spec, segment_part(e, spec.segment_columns))
         return rows.where(to_column(e, spec.schema)) if e is not None and filter_mode == "rows" else rows
 
-    def _column(self, spec: TableSpec, size: int) -> str:
+    def _column(self, spec: TableSpec, size: int | None = None) -> str:
         if spec.ann_column is None:
             raise DdlError(f"{spec.name} has no indexed column")
         n = spec.schema[spec.ann_column].metadata["length"]
-        if size != n:
+        if size not in (None, n):
             raise ValueError(f"{spec.name}.{spec.ann_column} has {n} dimensions, not {size}")
         return spec.ann_column
 
@@ -182,15 +230,21 @@ class Catalog:
         out = vectors.ann(self._needed(spec, rows, names), vector, k, column, spec.metric, spec.schema.names[0])
         return out.select(*(f"`{c}`" for c in names))
 
-    def batch_ann(self, name: str, k: int, queries: list[list[float]], ef: int | None = None, projection: str = "*", filter: str | None = None, filter_mode: str = "rows") -> DataFrame:
-        """For each query its k nearest rows: qid from 0, rank, the columns, distance."""
+    def batch_ann(self, name: str, k: int, queries: list[list[float]] | DataFrame, ef: int | None = None, projection: str = "*", filter: str | None = None, filter_mode: str = "rows") -> DataFrame:
+        """For each query its k nearest rows: qid, rank, the columns, distance. Queries are lists of numbers, with qid from 0, or
+        a table of any size with qid and the indexed column."""
         spec = self.spec(name)
-        if not queries or len({len(q) for q in queries}) != 1:
-            raise ValueError("there are queries, of one length")
-        column = self._column(spec, len(queries[0]))
+        if isinstance(queries, DataFrame):
+            column, asked = self._column(spec), queries
+            n = spec.schema[column].metadata["length"]
+            asked = asked.withColumn(column, F.when(F.size(column) == n, F.col(column)).otherwise(F.raise_error(F.lit(f"{name}.{column} has {n} dimensions"))))
+        else:
+            if not queries or len({len(q) for q in queries}) != 1:
+                raise ValueError("there are queries, of one length")
+            column, asked = self._column(spec, len(queries[0])), list(enumerate(queries))
         names = self._results(spec, projection)
         rows = self._needed(spec, self._searched(spec, filter, filter_mode), names)
-        out = vectors.batch_ann(rows, list(enumerate(queries)), k, column, spec.metric, spec.schema.names[0])
+        out = vectors.batch_ann(rows, asked, k, column, spec.metric, spec.schema.names[0])
         return out.select("qid", "rank", *(f"`{c}`" for c in names))
 
     def _needed(self, spec: TableSpec, rows: DataFrame, names: list[str]) -> DataFrame:
@@ -208,6 +262,17 @@ class Catalog:
         rows = self.table(name)
         return rows.agg(F.count(F.lit(1)).alias("total"), F.count(spec.ann_column or F.lit(None)).alias("indexed"))
 
+    def indexed_counts(self, names: list[str]) -> DataFrame:
+        """(total, indexed) over tables that are parts of one, as nodes report them."""
+        counts = vectors.union_all([self.indexed_count(n) for n in names])
+        return counts.agg(F.sum("total").alias("total"), F.sum("indexed").alias("indexed"))
+
+    def build_index(self, name: str, **how) -> vectors.CellIndex:
+        """An inverted file over a table's vectors, written beside its rows."""
+        spec = self.spec(name)
+        index = vectors.CellIndex(self.table(name), vector=self._column(spec), tie=spec.schema.names[0], metric=spec.metric, **how)
+        return index.write(f"{self._folder(name)}/_index-{uuid.uuid4().hex}")
+
     def is_indexing(self, name: str) -> bool:
         """Never: every row is found as soon as it is in."""
         self.spec(name)
@@ -216,24 +281,25 @@ class Catalog:
     # Snapshots
 
     def save(self, path: str) -> None:
-        """All tables to path; the manifest is written last, so a folder without one is no snapshot."""
+        """All tables to path, in the layout they have here; the manifest is written last, so a folder without one is no
+        snapshot."""
         path, saved = path.rstrip("/"), []
-        for name, spec in sorted(self.tables.items()):
-            self.table(name).write.mode("overwrite").parquet(f"{path}/{name}")
-            saved.append((name, spec.schema.json(), json.dumps(spec.options)))
-        self.spark.createDataFrame(saved, "name string, schema string, options string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+        for name in self.names():
+            spec, to = self.spec(name), f"{path}/{quote(name, safe='')}/rows/_insert={uuid.uuid4().hex}"
+            self._write(spec, self.table(name), to)
+            saved.append(json.loads(self._said(spec, [to.removeprefix(f"{path}/")])))
+        self._write_text(f"{path}/_manifest.json", json.dumps(saved))
 
     def load(self, path: str) -> None:
-        """The tables of a snapshot, in place of those here."""
+        """The tables of a snapshot, in place of those here. Their rows are read where they are: none is copied."""
         path = path.rstrip("/")
-        try:
-            saved = self.spark.read.schema("name string, schema string, options string").json(f"{path}/manifest").collect()
-        except Exception as error:
-            raise CatalogError(f"no complete snapshot at {path}") from error
-        self.tables, self.parts = {}, {}
-        for r in saved:
-            spec = self.create(TableSpec(r["name"], T.StructType.fromJson(json.loads(r["schema"])), json.loads(r["options"])))
-            self._add(spec, self.spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in spec.schema])).parquet(f"{path}/{spec.name}"))
+        text = self._read_text(f"{path}/_manifest.json")
+        if text is None:
+            raise CatalogError(f"no complete snapshot at {path}")
+        for name in self.names():
+            self.drop(name)
+        for said in json.loads(text):
+            self.create(TableSpec(said["name"], T.StructType.fromJson(said["schema"]), said["options"]), [f"{path}/{p}" for p in said["parts"]])
 
 
 def rename(e, names: dict[str, str]):

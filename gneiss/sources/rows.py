@@ -34,6 +34,8 @@ def checked(f: T.StructField, c: Column, table: str) -> Column:
         c = F.when(c.isNull(), fail("null is not allowed")).otherwise(c)
     if n := f.metadata.get("length"):
         c = F.when(F.size(c) != n, fail(f"a list has {n} items")).otherwise(c)
+    if n := f.metadata.get("item_length"):
+        c = F.when(F.exists(c, lambda x: F.size(x) != n), fail(f"a list in the list has {n} items")).otherwise(c)
     if bits := UNSIGNED.get(f.metadata.get("declared", "")):
         c = F.when((c < 0) | (c > 2**bits - 1), fail("out of range")).otherwise(c)
     return c.cast(f.dataType)

@@ -53,7 +53,6 @@ class ConsumerGroup:
     def pending(self) -> DataFrame:
         return xack(self.deliveries(), self._table("acks", "ms long, seq long"))
 
-
     def consumers(self) -> DataFrame:
         """XINFO CONSUMERS: (consumer, pending, last_delivered_at)."""
         own = self.deliveries().groupBy("consumer").agg(F.max("delivered_at").alias("last_delivered_at"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass, field, replace
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.common import look_up, numbered, staged
+
 ID = ["ms", "seq"]
 
 
@@ -48,24 +52,54 @@ def xread(log: DataFrame, after: str | int = "0-0", count: int | None = None) ->
     return out if count is None else out.limit(count)
 
 
+def xread_many(streams: dict[str, tuple[DataFrame, str | int]], count: int | None = None) -> DataFrame:
+    """XREAD STREAMS: (stream, the columns) of the entries after each stream's ID, at most count of each; `$` is the last."""
+    parts = []
+    for name, (log, after) in streams.items():
+        after = "{}-{}".format(*last_id(log)) if after == "$" else after
+        parts.append(xread(log, after, count).select(F.lit(name).alias("stream"), *log.columns))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def xlen(log: DataFrame) -> DataFrame:
     """XLEN: (n)."""
     return log.agg(F.count("*").alias("n"))
 
 
-def xadd(log: DataFrame, new: DataFrame, order: list[str], ms: Column | None = None) -> DataFrame:
-    """XADD: the log with new rows (the other columns, and ms unless given), in an order, with IDs after the last one.
+def last_id(log: DataFrame) -> tuple[int, int]:
+    """The greatest ID, which `$` stands for; (0, 0) of an empty log."""
+    last = log.agg(F.max(F.struct(*ID)).alias("x")).first()["x"]
+    return (0, 0) if last is None else (last["ms"], last["seq"])
+
+
+def xsetid(log: DataFrame, to: str | int | tuple) -> tuple[int, int]:
+    """XSETID: a last ID for xadd to go on from, which is not before the log's own."""
+    ms, seq, _ = bound(to, True)
+    if (ms, seq) < last_id(log):
+        raise ValueError("the ID is before the last entry")
+    return ms, seq
+
+
+def xadd(log: DataFrame, new: DataFrame, order: list[str], ms: Column | None = None, after: tuple[int, int] | None = None, maxlen: int | None = None, minid: str | int | None = None) -> DataFrame:
+    """XADD: the log with new rows (the other columns, and ms unless given), in an order without ties, with IDs after the
+    last one, or after `after` (of xsetid) if that is later. maxlen and minid trim the log then.
 
     Rows of one ms get seq from 0 on, or from after the last ID if that has the same ms. An ms before the last ID is
-    an error. Rows are numbered within their ms only.
+    an error. New rows are numbered as a whole by ms and order, and each ms starts at its least number, so rows of one
+    ms are as many tasks as others.
     """
-    last = log.agg(F.max(F.struct(*ID)).alias("_last"))
-    own = new.withColumn("ms", ms) if ms is not None else new
-    own = own.crossJoin(F.broadcast(last))
-    own = own.withColumn("seq", (F.row_number().over(Window.partitionBy("ms").orderBy(*order)) - 1 + F.when(F.col("ms") == F.col("_last.ms"), F.col("_last.seq") + 1).otherwise(0)).cast("long"))
-    late = F.col("_last").isNotNull() & (F.col("ms") < F.col("_last.ms"))
-    own = own.withColumn("ms", F.when(late, F.raise_error(F.lit("the ID is not after the last one")).cast("long")).otherwise(F.col("ms")))
-    return log.union(own.select(log.columns))
+    last = max(last_id(log), after or (0, 0))
+    own = (new.withColumn("ms", ms) if ms is not None else new).withColumn("ms", F.col("ms").cast("long"))
+    own = numbered(own, [F.col("ms"), *map(F.col, order)], "_n")
+    first = own.groupBy("ms").agg(F.min("_n").alias("_first")).withColumnRenamed("ms", "_ms")
+    own = look_up(own.withColumn("_ms", F.col("ms")), "_ms", first, "_n")
+    own = own.withColumn("seq", (F.col("_n") - F.col("_first") + F.when(F.col("ms") == last[0], last[1] + (last != (0, 0))).otherwise(0)).cast("long"))
+    own = own.withColumn("ms", F.when(F.col("ms") < last[0], F.raise_error(F.lit("the ID is not after the last one")).cast("long")).otherwise(F.col("ms")))
+    out = log.union(own.select(log.columns))
+    return out if maxlen is None and minid is None else xtrim(out, maxlen, minid)
 
 
 def xtrim(log: DataFrame, maxlen: int | None = None, minid: str | int | None = None) -> DataFrame:
@@ -91,6 +125,56 @@ def xinfo(log: DataFrame) -> DataFrame:
 # Groups: deliveries are rows (ms, seq, consumer, delivered_at long, times int), acknowledgements rows (ms, seq).
 
 
+@dataclass(frozen=True)
+class Group:
+    """XGROUP: a consumer group of a log that is a table: its last ID, its pending deliveries, and its consumers with the
+    time they were last seen. Each change gives a new one."""
+
+    last: tuple[int, int]
+    pending: DataFrame
+    consumers: dict[str, int] = field(default_factory=dict)
+
+    @classmethod
+    def create(cls, log: DataFrame, at: str | int = "$") -> Group:
+        """XGROUP CREATE: entries after an ID, `$` being the last one, are still to be delivered."""
+        return cls(last_id(log) if at == "$" else bound(at, True)[:2], xreadgroup(log.limit(0), "0-0", "", 0))
+
+    def set_id(self, log: DataFrame, at: str | int) -> Group:
+        """XGROUP SETID."""
+        return replace(self, last=last_id(log) if at == "$" else bound(at, True)[:2])
+
+    def create_consumer(self, consumer: str, now: int) -> Group:
+        """XGROUP CREATECONSUMER."""
+        return self if consumer in self.consumers else replace(self, consumers={**self.consumers, consumer: now})
+
+    def delete_consumer(self, consumer: str) -> tuple[int, Group]:
+        """XGROUP DELCONSUMER: (how many pending entries went with it, the group after)."""
+        gone = self.pending.where(F.col("consumer") == consumer).count()
+        left = {k: v for k, v in self.consumers.items() if k != consumer}
+        return gone, replace(self, pending=self.pending.where(F.col("consumer") != consumer), consumers=left)
+
+    def read(self, log: DataFrame, consumer: str, now: int, after: str | int = ">", count: int | None = None, noack: bool = False) -> tuple[DataFrame, Group]:
+        """XREADGROUP: (entries, the group after). `>` delivers what is new, which is pending unless noack; another ID
+        reads the consumer's own pending entries after it again and changes nothing."""
+        seen = replace(self, consumers={**self.consumers, consumer: now})
+        if after != ">":
+            own = self.pending.where(F.col("consumer") == consumer).select(*ID)
+            return xread(log.join(own, ID, "left_semi"), after, count), seen
+        entries = staged(xread(log, "{}-{}".format(*self.last), count), "read")
+        given = xreadgroup(entries, "0-0", consumer, now)
+        return entries, replace(seen, last=max(self.last, last_id(entries)), pending=self.pending if noack else self.pending.union(given))
+
+    def ack(self, ids: DataFrame) -> Group:
+        """XACK."""
+        return replace(self, pending=xack(self.pending, ids))
+
+    def info(self, log: DataFrame, now: int) -> DataFrame:
+        """XINFO CONSUMERS: (consumer, pending, idle)."""
+        own = self.pending.sparkSession.createDataFrame([(c, now - t) for c, t in sorted(self.consumers.items())], "consumer string, idle long")
+        left = self.pending.groupBy("consumer").agg(F.count("*").alias("pending"))
+        return own.join(left, "consumer", "left").select("consumer", F.coalesce("pending", F.lit(0)).alias("pending"), "idle")
+
+
 def xreadgroup(log: DataFrame, last: str | int, consumer: str, now: int, count: int | None = None) -> DataFrame:
     """XREADGROUP with `>`: the entries after the group's last ID as deliveries to a consumer."""
     return xread(log, last, count).select(*ID, F.lit(consumer).alias("consumer"), F.lit(now).cast("long").alias("delivered_at"), F.lit(1).alias("times"))

@@ -156,6 +156,72 @@ def test_key_spaces(spark):
     assert {r["key"]: r["type"] for r in keys.exists(space, a).collect()} == {"a": "string"}
 
 
+def test_key_spaces_corner_cases(spark):
+    space = spark.createDataFrame([("a", "string", "1", None), ("b", "hash", "2", None)], "key string, type string, value string, expires_at timestamp")
+    got = lambda df: sorted((r["key"], r["value"]) for r in df.collect())
+    with pytest.raises(KeyError):
+        keys.rename(space, "none", "b")
+    assert got(keys.rename(space, "a", "a")) == got(space) == got(keys.copy(space, "none", "c")) == got(keys.copy(space, "a", "b"))
+    assert got(keys.copy(space, "a", "b", replace=True)) == [("a", "1"), ("b", "1")]
+    plain = space.select("key", "value")
+    assert got(keys.put(plain, spark.createDataFrame([("a", "7"), ("a", "8"), ("c", None)], "key string, value string"))) == [("a", "8"), ("b", "2"), ("c", None)]
+    assert got(keys.put(plain, plain.limit(0))) == got(plain)
+    twice = space.union(space.where("key = 'b'"))
+    assert got(keys.get(twice, space.select("key"))) == [("a", "1"), ("b", "2")]
+
+
+def test_ranks_whatever_the_number_of_partitions(spark):
+    rows = [(f"m{k:04}", float(k * 7919 % 50)) for k in range(700)] + [("nan", None)]
+    s = spark.createDataFrame(rows, "member string, score double")
+    want = {m: k for k, (m, _) in enumerate(sorted(rows, key=lambda r: (-1e9 if r[1] is None else r[1], r[0])))}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "4", "500", "4000"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            out = ranked.ranks(s)
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            assert {r["member"]: r["rank"] for r in out.collect()} == want
+        back = {r["member"]: r["rank"] for r in ranked.ranks(s, reverse=True).collect()}
+        assert back == {m: 700 - k for m, k in want.items()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    with pytest.raises(ValueError):
+        ranked.add(s, s, only="nx", bound="gt")
+
+
+def test_byte_strings(spark):
+    assert one(spark, F.hex(strings.getrange(F.col("s"), 0, 1)), s="h\u00e9llo") == "68C3"
+    assert one(spark, F.hex(strings.setrange(F.col("s"), 2, "x")), s="h\u00e9llo") == "68C3786C6C6F"
+    assert one(spark, F.hex(strings.setrange(F.lit(None).cast("string"), 2, "x")), s="") == "000078"
+    assert one(spark, F.hex(strings.bitop("and", F.col("s"), F.lit("ab"))), s="a") == "6100"
+    assert one(spark, F.hex(strings.bitop("or", F.col("s"), F.lit(None).cast("string"))), s="a") == "61"
+    assert one(spark, strings.field_get(F.unhex(F.lit("FFFFFFFFFFFFFFFF")), "i64", 0), s="") == -1
+    assert one(spark, strings.field_get(F.unhex(F.lit("FFFFFFFFFFFFFFFF")), "u63", 0), s="") == 2**63 - 1
+    assert one(spark, strings.field_get(F.unhex(F.lit("80")), "i8", 4), s="") == 0
+    assert one(spark, strings.field_get(F.unhex(F.lit("08")), "i8", 4), s="") == -128
+    assert one(spark, F.hex(strings.field_set(F.col("s"), "i16", 8, -2)), s="a") == "61FFFE"
+    changed, value = strings.field_incr(F.unhex(F.lit("FF")), "u8", 0, 2, "wrap")
+    assert one(spark, F.concat_ws(" ", F.hex(changed), value.cast("string")), s="") == "01 1"
+    assert one(spark, strings.field_incr(F.unhex(F.lit("7FFFFFFFFFFFFFFF")), "i64", 0, 1, "sat")[1], s="") == 2**63 - 1
+    assert one(spark, strings.bitpos(F.unhex(F.lit("FFF000")), 1, 2), s="") == -1 and one(spark, strings.bitpos(F.unhex(F.lit("FF")), 0, 0, -1), s="") == -1
+    assert one(spark, strings.bitcount(F.col("s"), 1, 1), s="foobar") == 6 and one(spark, strings.bitcount(F.col("s"), 5, 30, "bit"), s="foobar") == 17
+    with pytest.raises(ValueError):
+        strings.field_get(F.col("s"), "u64", 0)
+    assert one(spark, strings.tokens(F.col("s"), "."), s=".a..b") == ["a", "b"] and one(spark, strings.token(F.col("s"), ".", 9), s=".a") == ""
+
+
+def test_scripts(spark):
+    from gneiss.functions.registry import Scripts
+
+    scripts = Scripts()
+    digest = scripts.load("a + 1")
+    assert scripts.exists(digest, "0") == [True, False]
+    assert [r[0] for r in spark.range(2).select(scripts.run(digest, "long", a=F.col("id"))).collect()] == [1, 2]
+    scripts.flush()
+    with pytest.raises(KeyError):
+        scripts.run(digest, "long", a=F.col("id"))
+
+
 def test_functions(spark):
     lib = Functions(spark)
     lib.load("mine", {"double_it": (lambda x: x * 2, "long")})

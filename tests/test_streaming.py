@@ -51,3 +51,45 @@ def test_windows_of_a_stream_are_those_of_the_table(spark, sf, tmp_path):
     query.awaitTermination()
     rows = lambda df: sorted((r["start"].replace(tzinfo=None), r["event_type"], r["n"]) for r in df.collect())
     assert rows(spark.table("windows")) == rows(windowed(events, "ts", ["event_type"], "1 day"))
+
+
+def test_stores_and_blocking_pops(spark, tmp_path):
+    import threading
+    import time
+
+    from gneiss.streaming.stores import Store, blocked, blpop, bzpopmin
+
+    store = Store(spark, f"file://{tmp_path}/lists")
+    assert store.versions() == []
+    store.write(spark.createDataFrame([("a", ["1"]), ("b", ["2", "3"])], "key string, value array<string>"))
+    assert blpop(store, ["none", "b", "a"], 1, n=5, from_left=False) == ("b", ["3", "2"]) and blpop(store, ["a"], 1) == ("a", ["1"])
+    began = time.monotonic()
+    assert blpop(store, ["a", "b"], 0.3) is None and time.monotonic() - began < 20
+    later = threading.Timer(0.5, lambda: store.write(spark.createDataFrame([("a", ["9"])], "key string, value array<string>")))
+    later.start()
+    assert blpop(store, ["a"], 60) == ("a", ["9"])
+    later.join()
+    (tmp_path / "lists" / "version-99").mkdir()
+    assert store.versions()[-1] < 99 and store.read().count() == 0
+    sets = Store(spark, f"file://{tmp_path}/sets")
+    sets.write(spark.createDataFrame([("z", "m", 1.0), ("z", "n", 2.0), ("y", "m", 0.0)], "key string, member string, score double"))
+    name, popped = bzpopmin(sets, ["x", "z"], 1, n=1, highest=True)
+    assert name == "z" and [r["member"] for r in popped.collect()] == ["n"]
+    assert sorted((r["key"], r["member"]) for r in sets.read().collect()) == [("y", "m"), ("z", "m")]
+    assert blocked(lambda: None, 0.05, 0.02) is None
+
+
+def test_group_of_a_table(spark):
+    log = spark.createDataFrame([(k, 0, "x") for k in range(1, 6)], SCHEMA)
+    group = logs.Group.create(log, "0")
+    entries, group = group.read(log, "a", 1, count=2)
+    assert [r["ms"] for r in entries.collect()] == [1, 2] and group.last == (2, 0)
+    again, same_group = group.ack(log.where("ms = 1")).read(log, "a", 2, after="0")
+    assert [r["ms"] for r in again.collect()] == [2] and same_group.last == (2, 0)
+    assert group.read(log, "b", 3, noack=True)[1].pending.count() == 2
+    assert group.create_consumer("a", 9) is group
+    assert logs.Group.create(log.limit(0)).read(log.limit(0), "a", 1)[0].count() == 0
+    for bad in ("4-0", "0-0"):
+        with __import__("pytest").raises(ValueError):
+            logs.xsetid(log, bad)
+    assert logs.last_id(log.limit(0)) == (0, 0)
