@@ -2,57 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import builtins
 import struct
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Distinct copies of a key's lookup row, so that a hot key is looked up by this many tasks.
-SALTS = 32
-#: Most rows of a narrow table that are sent to all executors; beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which every executor sees; a temporary one on a local master only."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    held = worker_cache().setdefault("shared_dir", {})
-    if "path" not in held:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        held["tmp"] = tempfile.TemporaryDirectory(prefix="gneiss-")
-        held["path"] = f"file://{held['tmp'].name}"
-        atexit.register(held["tmp"].cleanup)
-    return held["path"]
-
+from gneiss.common import SALTS, look_up, new_path, release, salt, shared_dir, staged
 
-def new_path(spark: SparkSession, what: str) -> str:
-    path = f"{shared_dir(spark)}/gneiss-{what}-{uuid.uuid4().hex}"
-    worker_cache().setdefault("paths", []).append(path)
-    return path
+__all__ = ["SALTS", "look_up", "new_path", "release", "salt", "shared_dir", "staged"]
 
-
-def release(spark: SparkSession) -> None:
-    """Deletes what this process has staged in the shared folder. Only when no result that was made from it is read any
-    more; operators can't know when that is."""
-    for path in worker_cache().pop("paths", []):
-        own = spark._jvm.org.apache.hadoop.fs.Path(path)
-        own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
-
-
-def staged(df: DataFrame, what: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later stages neither recompute it nor depend on an executor."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Most rows of a narrow table that are sent to all executors; beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -72,9 +34,12 @@ def trimmed(table):
     return table
 
 
+_cache: dict = {}
+
+
 def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python process, whatever function asks for it."""
-    return builtins.__dict__.setdefault("_gneiss_cache", {})
+    """A dictionary that lives as long as the Python process."""
+    return _cache
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -135,20 +100,6 @@ def by_bucket(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     return [(i, edges[i], edges[i + 1]) for i in range(buckets) if edges[i] < edges[i + 1]]
 
 
-def salt(column: str | Column, salts: int = SALTS) -> Column:
-    return F.pmod(F.xxhash64(F.lit("salt"), column), F.lit(salts)).cast("int")
-
-
-def look_up(rows: DataFrame, key: str, table: DataFrame, spread_by: str) -> DataFrame:
-    """rows LEFT JOIN table on key, where table has a key once and rows may have one key very often.
-
-    Each key's row is copied to the salts that rows use for that key, at most SALTS, so no task gets a hot key whole.
-    """
-    rows = rows.withColumn("_salt", salt(spread_by))
-    used = rows.where(F.col(key).isNotNull()).select(key, "_salt").distinct()
-    return rows.join(used.join(table, key), [key, "_salt"], "left").drop("_salt")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (a, b): root is the smallest node that can be reached.
 
