@@ -8,11 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gneiss.common import SALTS, look_up, new_path, release, salt, shared_dir, staged
+from gneiss.common import SALTS, look_up, new_path, numbered, release, salt, shared_dir, staged
 
-__all__ = ["SALTS", "look_up", "new_path", "release", "salt", "shared_dir", "staged"]
+__all__ = ["SALTS", "look_up", "new_path", "numbered", "release", "salt", "shared_dir", "staged"]
 
+#: Bytes of text of a block, and of a task's blocks; the number of tasks that Spark allows a bucketed table by default.
+BLOCK_BYTES, TASK_BYTES, MOST_TASKS = 2 << 20, 16 << 20, 100_000
 #: Most rows of a narrow table that are sent to all executors; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -67,11 +70,6 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def deltas(keys: np.ndarray) -> np.ndarray:
-    """Differences of sorted keys; np.cumsum undoes it."""
-    return np.diff(keys, prepend=keys.dtype.type(0))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (the splitmix64 finaliser)."""
     x = np.asarray(x, np.uint64)
@@ -90,16 +88,6 @@ def with_block(docs: DataFrame, id_col: str, text_col: str, blocks: int) -> Data
     return docs.select(F.pmod(key, F.lit(blocks)).cast("int").alias("_block"), "*")
 
 
-def by_bucket(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of sorted unsigned 64-bit keys, which fall into buckets by their size."""
-    if not len(keys):
-        return []
-    width = (1 << 64) // buckets + 1
-    edges = np.searchsorted(keys, np.array([i * width for i in range(1, buckets)], np.uint64))
-    edges = [0, *edges.tolist(), len(keys)]
-    return [(i, edges[i], edges[i + 1]) for i in range(buckets) if edges[i] < edges[i + 1]]
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (a, b): root is the smallest node that can be reached.
 
@@ -166,86 +154,114 @@ def chunks(batches):
         yield pa.record_batch({"_block": pa.array(block[order][at], pa.int32()), "chunk": pa.array(out, pa.binary())})
 
 
-def joined(table: pa.Table) -> pa.Table:
-    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table["chunk"].to_pylist()])
+def framed(table: pa.Table) -> bytes:
+    """The table as one compressed stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+        to.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unframed(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+def with_ordinal(docs: DataFrame, id_col: str, to: str) -> DataFrame:
+    """docs with `to` (long), which orders rows as the id does, equal ids equal and null ids null: whole numbers themselves, and
+    the places of the distinct values of any other type."""
+    own, kind = F.col(f"`{id_col}`"), docs.schema[id_col].dataType
+    if isinstance(kind, T.IntegralType):
+        return docs.select(own.cast("long").alias(to), "*")
+    places = numbered(docs.select(own.alias("_key")).where("_key IS NOT NULL").distinct(), [F.asc("_key")], to)
+    rows = docs.select(own.alias("_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.monotonically_increasing_id().alias("_spread"))
+    return look_up(rows, "_key", places, "_spread").select(to, *(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 class Blocks:
     """Documents in blocks by a hash of their id, for operators that need several looks at a text.
 
-    `rows` has `_block`, `i` (the id), `t` (the text in UTF-8) and the other columns under names of its own, so no
-    column of the documents can clash. Each look at the rows is a grouping by `_block` of the same plan, hence Spark
-    shuffles the texts once. There are blocks_per_partition blocks, and a third of a bucket, to each shuffle partition. A block's content, and so all that is derived from it, depends on the documents alone.
+    A block holds BLOCK_BYTES of text on average, whatever the corpus and spark.sql.shuffle.partitions, and is what a
+    function gets at a time: one row with `rows` (all columns of its documents) and `digest` (what a function of the caller
+    makes of them, for looks that don't need the texts). Blocks are a table in shared storage, bucketed by their
+    number, so texts are shuffled once, no look shuffles them again, and a lost executor costs its task. Tasks hold
+    TASK_BYTES on average up to MOST_TASKS of them.
+
+    In the rows, `i` is the id's ordinal, `t` the text in UTF-8, and the other columns have names of their own, so
+    no column of the documents can clash. A block's content, and all that is derived from it, depends on the documents
+    alone. What blocks must learn of each other are plain rows, one for a key and block, reduced by min and max over a key.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, blocks_per_partition: int = 6):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, digest=None):
         spark = docs.sparkSession
         self.names, self.types, self.id_col, self.text_col = docs.columns, docs.schema, id_col, text_col
-        self.parts = n_parts(spark)
-        self.buckets, self.blocks = -(-n_parts(spark) // 3), n_parts(spark) * blocks_per_partition
-        self.inner = {n: "i" if n == id_col else "t" if n == text_col else f"c{k}" for k, n in enumerate(docs.columns)}
-        own = docs.select(*(F.col(f"`{n}`").cast("binary" if n == text_col else self.types[n].dataType).alias(x) for n, x in self.inner.items()))
-        self.rows = with_block(own, "i", "t", self.blocks).mapInArrow(chunks, "_block int, chunk binary")
-        self.inner_types = [(x, "binary" if n == text_col else self.types[n].dataType.simpleString()) for n, x in self.inner.items()]
+        size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("binary")))).first()[0] or 0
+        self.blocks = max(n_parts(spark), -(-size // BLOCK_BYTES))
+        self.tasks = max(n_parts(spark), min(MOST_TASKS, -(-size // TASK_BYTES)))
+        whole = isinstance(docs.schema[id_col].dataType, T.IntegralType)
+        self.inner = {n: "i" if n == id_col and whole else "t" if n == text_col else f"c{k}" for k, n in enumerate(docs.columns)}
+        own = with_ordinal(docs, id_col, "_ordinal")
+        own = own.select(F.col("_ordinal").alias("i"), *(F.col(f"`{n}`").cast("binary" if n == text_col else self.types[n].dataType).alias(x) for n, x in self.inner.items() if x != "i"))
+        self.inner_types = [(x, "long" if x == "i" else "binary" if n == text_col else self.types[n].dataType.simpleString()) for n, x in self.inner.items()]
+
+        def merge(key, chunks_of_block):
+            table = pa.concat_tables(unframed(x) for x in chunks_of_block["chunk"].to_pylist())
+            return trimmed(pa.table({"_block": pa.array([key[0].as_py()], pa.int32()), "rows": pa.array([framed(table)], pa.binary()), "digest": pa.array([digest(table) if digest else None], pa.binary())}))
+
+        dealt = with_block(own, "i", "t", self.blocks).mapInArrow(chunks, "_block int, chunk binary").repartition(self.tasks, "_block")
+        merged = dealt.groupBy("_block").applyInArrow(merge, "_block int, rows binary, digest binary")
+        path = new_path(spark, "blocks")
+        name = path.rpartition("/")[2].replace("-", "_")
+        merged.write.format("parquet").option("compression", "uncompressed").bucketBy(self.tasks, "_block").sortBy("_block").option("path", path).saveAsTable(name)
+        self.table = spark.table(name)
+
+    def ask(self, f, schema: str, replies: DataFrame | None = None, columns: tuple[str, ...] = ("rows",)) -> DataFrame:
+        """f(number, row[, replies]) of each block: row has the columns of the block's row; replies have `_block`."""
+        groups = self.table.select("_block", *columns).groupBy("_block")
+
+        def row(t: pa.Table) -> dict:
+            return t.slice(0, 1).to_pylist()[0]
+
+        if replies is None:
+            return groups.applyInArrow(lambda key, t: trimmed(f(key[0].as_py(), row(t))), schema)
+        return groups.cogroup(replies.groupBy("_block")).applyInArrow(lambda key, t, r: trimmed(f(key[0].as_py(), row(t), r)), schema)
+
+    def block_of(self, ordinals) -> list[int]:
+        """The blocks of documents, by their ordinals: what with_block says."""
+        import xxhash
+
+        hashes = (xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True), 42) for i in ordinals)
+        return [(h - (1 << 64) if h >> 63 else h) % self.blocks for h in hashes]
 
     def __getstate__(self) -> dict:
         """What functions on executors need of it."""
-        return {k: v for k, v in self.__dict__.items() if k not in ("rows", "types")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("table", "types")}
 
-    def ask(self, f, schema: str, replies: DataFrame | None = None) -> DataFrame:
-        """f(number, rows[, replies]) of each block, where replies has `_block`."""
-        groups = self.rows.groupBy("_block")
-        if replies is None:
-            return groups.applyInArrow(lambda key, t: trimmed(f(key[0].as_py(), joined(t))), schema)
-        return groups.cogroup(replies.groupBy("_block")).applyInArrow(lambda key, t, r: trimmed(f(key[0].as_py(), joined(t), r)), schema)
-
-    def answer(self, asked: DataFrame, f) -> DataFrame:
-        """asked: requests. f(kind, arrays of each block that asks) gives each block's reply. (_block, bucket, kinds, replies)"""
-
-        def by_whole_bucket(batches):
-            held = {}
-            for batch in batches:
-                for bucket, block, kinds, payloads in zip(*(batch[n].to_pylist() for n in ("bucket", "block", "kinds", "payloads")), strict=True):
-                    for kind, payload in zip(kinds, payloads, strict=True):
-                        held.setdefault(bucket, {}).setdefault(kind, []).append((block, payload))
-            for bucket in list(held):
-                replies = {}
-                for kind, own in held.pop(bucket).items():
-                    for (block, _), reply in zip(own, f(kind, [unpack(p) for _, p in own]), strict=True):
-                        replies.setdefault(block, []).append((kind, pack(*reply)))
-                out = list(replies.items())
-                del replies
-                yield trimmed(pa.record_batch({"_block": pa.array([b for b, _ in out], pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32()), "kinds": pa.array([[k for k, _ in own] for _, own in out], pa.list_(pa.int32())), "replies": pa.array([[r for _, r in own] for _, own in out], pa.list_(pa.binary()))}))
-
-        # Dealt by block here, as every reader needs them: that exchange is shared, and replies are made once.
-        return asked.repartitionById(self.buckets, F.col("bucket")).mapInArrow(by_whole_bucket, self.REPLIED).repartition(self.parts, "_block")
-
-    ASKED = "bucket int, block int, kinds array<int>, payloads array<binary>"
-    REPLIED = "_block int, bucket int, kinds array<int>, replies array<binary>"
-
-    @staticmethod
-    def table(rows: dict[int, list[tuple[int, bytes]]], block: int) -> pa.Table:
-        """Requests of one block: what it asks each bucket, all kinds in one row."""
-        own = sorted(rows.items())
-        return pa.table({"bucket": pa.array([b for b, _ in own], pa.int32()), "block": pa.array([block] * len(own), pa.int32()), "kinds": pa.array([[k for k, _ in x] for _, x in own], pa.list_(pa.int32())), "payloads": pa.array([[p for _, p in x] for _, x in own], pa.list_(pa.binary()))})
-
-    def requests(self, block: int, kinds: list[tuple[int, np.ndarray, tuple[np.ndarray, ...]]]) -> pa.Table:
-        """Requests of one block: for each kind, sorted keys and what goes with each key."""
-        out = {}
-        for kind, keys, along in kinds:
-            for bucket, a, b in by_bucket(keys, self.buckets):
-                out.setdefault(bucket, []).append((kind, pack(deltas(keys[a:b]), *(x[a:b] for x in along))))
-        return self.table(out, block)
-
-    @staticmethod
-    def replies(table: pa.Table, kind: int) -> list[list[np.ndarray]]:
-        """The replies of a kind in the order of their buckets, that is of their keys."""
-        rows = [(b, r) for b, kinds, replies in zip(*(table[n].to_pylist() for n in ("bucket", "kinds", "replies")), strict=True) for k, r in zip(kinds, replies, strict=True) if k == kind]
-        return [unpack(r) for _, r in sorted(rows)]
-
-    def restore(self, out: DataFrame, *more: str) -> DataFrame:
-        """The documents' columns under their own names and order, then more."""
-        return out.select(*(F.col(x).cast(self.types[n].dataType).alias(n) for n, x in self.inner.items()), *more)
+    def out(self, table: pa.Table, texts: list[bytes | None], **more: pa.Array) -> pa.Table:
+        """The rows with other texts, and columns after them."""
+        made = {x: pa.array(texts, pa.binary()) if x == "t" else table[x] for x, _ in self.inner_types}
+        return pa.table({**made, **more})
+
+    def restore(self, out: DataFrame, more: dict[str, str]) -> DataFrame:
+        """The documents' columns under their own names and order, then more: name in `out` -> name of the column, in place of
+        a column of that name that the documents have."""
+        own = [F.col(x).cast(self.types[n].dataType).alias(n) for n, x in self.inner.items() if n not in more.values()]
+        return out.select(*own, *(F.col(x).alias(n) for x, n in more.items()))
 
     def schema(self, more: str) -> str:
         return ", ".join(f"{x} {t}" for x, t in self.inner_types) + (f", {more}" if more else "")
+
+
+def places_of(keys: np.ndarray, more: np.ndarray, found_keys: np.ndarray, found_more: np.ndarray) -> np.ndarray:
+    """For each (key, more) its place among the found ones, which differ, or -1."""
+    order = np.lexsort((found_more, found_keys))
+    k, m = found_keys[order], found_more[order]
+    out, at = np.full(len(keys), -1, np.int64), np.searchsorted(k, keys)
+    left = np.flatnonzero(at < len(k))
+    while len(left):
+        left = left[k[at[left]] == keys[left]]
+        hit = m[at[left]] == more[left]
+        out[left[hit]] = order[at[left[hit]]]
+        left = left[~hit]
+        at[left] += 1
+        left = left[at[left] < len(k)]
+    return out

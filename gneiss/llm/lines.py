@@ -1,18 +1,19 @@
-"""Line dedup by deletion neighbourhoods: lines within one edit of an earlier line go, across all documents."""
+"""Line dedup by deletion neighbourhoods: lines within a number of edits of an earlier line go, across all documents."""
 
 from __future__ import annotations
 
+from itertools import combinations, combinations_with_replacement
+
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from gneiss.llm.common import Blocks, by_bucket, mix, pack
+from gneiss.llm.common import Blocks, mix, places_of, staged, unframed
 
 #: Odd bases and character seeds of the two line hashes.
 BASES = ((0x9E3779B97F4A7C15, 0x51AFD7ED558CCD01), (0xD6E8FEB86659FD93, 0xC4CEB9FE1A85EC53))
-EXACT, HALF, SWAP, DROP = 0, 1, 2, 3
-LAST = (np.iinfo(np.int64).max, np.iinfo(np.int32).max)
+EXACT, HALF, VARIANT, LOCAL = 0, 1, 2, 3
 
 
 def grouped(key: np.ndarray, more: np.ndarray, doc: np.ndarray, line: np.ndarray):
@@ -25,16 +26,38 @@ def grouped(key: np.ndarray, more: np.ndarray, doc: np.ndarray, line: np.ndarray
     return order[new], which
 
 
-def earlier(doc: np.ndarray, line: np.ndarray, than_doc: np.ndarray, than_line: np.ndarray) -> np.ndarray:
-    return (doc < than_doc) | ((doc == than_doc) & (line < than_line))
+def digests(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of each string's hash: 64 and 32."""
+    import xxhash
+
+    own = [xxhash.xxh3_128_intdigest(s.encode("utf-8", "surrogatepass")) for s in strings]
+    return np.array([d & 0xFFFFFFFFFFFFFFFF for d in own], np.uint64), np.array([d >> 96 for d in own], np.uint32)
+
+
+def variant_texts(line: str, bound: int) -> set[str]:
+    """The variants of a line within the bound, as texts.
+
+    A variant is what is left of the line after up to `bound` deletions, and `bound` gaps in it, of which the deletions
+    are some. Two lines have one in common exactly if they are within the bound: what each lacks of the other is at the
+    gaps, and a gap at which both lack a character is a substitution.
+    """
+    out = set()
+    for n in range(bound + 1):
+        for gone in combinations(range(len(line)), n):
+            left = "".join(c for k, c in enumerate(line) if k not in gone)
+            own = [k - j for j, k in enumerate(gone)]
+            for others in combinations_with_replacement(range(len(left) + 1), bound - n):
+                out.add(f"{sorted([*own, *others])}{left}")
+    return out
 
 
 class Lines:
     """The eligible lines of a block: those with at least min_exact characters, of rows that have an id. Those with
-    min_chars, at least as many, are matched within one edit too."""
+    min_chars, at least as many, are matched within edits too."""
 
-    def __init__(self, table: pa.Table, min_chars: int, min_exact: int):
-        self.ids, self.texts = table["i"].to_pylist(), [None if x is None else x.split(b"\n") for x in table["t"].to_pylist()]
+    def __init__(self, rows: bytes, min_chars: int, min_exact: int):
+        self.table = unframed(rows)
+        self.ids, self.texts = self.table["i"].to_pylist(), [None if x is None else x.split(b"\n") for x in self.table["t"].to_pylist()]
         number, self.strings, which, docs, at = {}, [], [], [], []
         for who, text in zip(self.ids, self.texts, strict=True):
             if who is None or text is None:
@@ -51,24 +74,18 @@ class Lines:
                 which.append(own)
                 docs.append(who)
                 at.append(k)
-        self.which, self.doc, self.at = np.array(which, np.int64), np.array(docs, np.int64), np.array(at, np.int32)
-        n = len(self.strings)
+        self.which, self.doc, self.at = np.array(which, np.int64), np.array(docs, np.int64), np.array(at, np.int64)
         order = np.lexsort((self.at, self.doc, self.which))
-        first = order[np.flatnonzero(np.diff(self.which[order], prepend=-1))] if n else np.zeros(0, np.int64)
+        first = order[np.flatnonzero(np.diff(self.which[order], prepend=-1))] if self.strings else np.zeros(0, np.int64)
         self.first_doc, self.first_at = self.doc[first], self.at[first]
-        digests = [xxhash.xxh3_128_intdigest(s.encode("utf-8", "surrogatepass")) for s in self.strings]
         self.long = np.array([len(s) >= min_chars for s in self.strings], bool)
-        self.key = np.array([d & 0xFFFFFFFFFFFFFFFF for d in digests], np.uint64)
-        self.more = np.array([d >> 96 for d in digests], np.uint32)
-
-    def exact(self):
-        """Distinct lines by their hash: (key, more, doc, line) sorted, and each distinct line's place."""
-        first, place = grouped(self.key, self.more, self.first_doc, self.first_at)
-        return self.key[first], self.more[first], self.first_doc[first], self.first_at[first], place
+        self.key, self.more = digests(self.strings)
 
     def halves(self):
         """The hashes of the halves that two lines within one edit share, sorted; lines' least and greatest hash by
         half; and each long line's places: two prefixes, then two suffixes."""
+        import xxhash
+
         out = []
         for s, long in zip(self.strings, self.long.tolist(), strict=True):
             if not long:
@@ -79,234 +96,210 @@ class Lines:
             for k in (n // 2, (n - 1) // 2):
                 out.append(xxhash.xxh64_intdigest(s[n - k :].encode("utf-8", "surrogatepass"), 2 * k + 1))
         keys, place = np.unique(np.array(out, np.uint64), return_inverse=True)
-        low, high, own = np.full(len(keys), np.iinfo(np.uint64).max), np.zeros(len(keys), np.uint64), np.repeat(self.key[self.long], 4)
+        own = np.repeat(self.key[self.long].view(np.int64), 4)
+        low, high = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), np.iinfo(np.int64).min)
         np.minimum.at(low, place, own)
         np.maximum.at(high, place, own)
         return keys, low, high, place.reshape(-1, 4)
 
-    def variants(self, chosen: np.ndarray, before: np.ndarray, after: np.ndarray):
-        """For each chosen line the keys of all that is within one edit: (owner, swap keys), (owner, drop keys) and each
-        line's own key among the drop keys. before: edits in the first half are looked at; after: in the second.
-
-        A swap key is a line without one character and the place of it, a drop key a line without one character, the
-        own key the whole line. Lines with a swap key in common differ in one character; a line whose own key is
-        another's drop key is that other one less a character. Hashes of all variants come from sums over prefixes.
-        """
-        swap, drop, own = [], [], []
+    def variants_within_one(self, chosen: np.ndarray, before: np.ndarray, after: np.ndarray):
+        """(owner, key, more) of the chosen lines' variants within one edit, as variant_texts says what they are; of gaps in the
+        first half where `before` is set, in the second where `after` is. Hashes come from sums over prefixes."""
+        parts = []
         for k in range(0, len(chosen), 400):  # bounds the arrays below
             part = chosen[k : k + 400]
             texts = [self.strings[c] for c in part]
             size = np.array([len(t) for t in texts], np.int64)
             codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
             start = np.concatenate([[0], np.cumsum(size)])
-            line = np.repeat(np.arange(len(part)), size)
-            p = np.arange(len(codes)) - start[line]
+            # A line has a place for each character and one at its end: gaps; characters are what is deleted.
+            line = np.repeat(np.arange(len(part)), size + 1)
+            gap = np.arange(len(line)) - (start[:-1] + np.arange(len(part)))[line]
             half = (size[line] - 1) // 2
-            look = (after[k : k + 400][line] & (p >= half)) | (before[k : k + 400][line] & (p <= size[line] - 1 - half))
-            at, line, p = np.flatnonzero(look), line[look], p[look]
-            hashes = []
+            look = (after[k : k + 400][line] & (gap >= half)) | (before[k : k + 400][line] & (gap <= size[line] - half))
+            line, gap = line[look], gap[look]
+            drops = gap < size[line]
+            out = []
             for base, seed in BASES:
-                power = np.full(len(codes), base, np.uint64)
-                power[:1] = 1
-                power = np.cumprod(power)
-                back = np.full(len(codes), pow(base, -1, 1 << 64), np.uint64)
-                back[:1] = 1
-                back = np.cumprod(back)
+                inverse = pow(base, -1, 1 << 64)
+                power, back = np.full(len(codes), base, np.uint64), np.full(len(codes), inverse, np.uint64)
+                power[:1] = back[:1] = 1
+                power, back = np.cumprod(power), np.cumprod(back)
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(codes + np.uint64(seed)) * power)])
-                o = start[:-1]
-                left, right, to = sums[at] - sums[o[line]], sums[start[line + 1]] - sums[at + 1], back[o[line]]
-                length, place = mix(size.astype(np.uint64)), mix(p.astype(np.uint64) + np.uint64(1 << 60))
-                hashes.append((mix(((left + right) * to) ^ length[line] ^ place), mix((left * to + right * to * np.uint64(pow(base, -1, 1 << 64))) ^ mix((size[line] - 1).astype(np.uint64))), mix(((sums[start[1:]] - sums[o]) * back[o]) ^ length)))
-            (s1, d1, f1), (s2, d2, f2) = hashes
-            swap.append((part[line], s1, s2.astype(np.uint32)))
-            drop.append((part[line], d1, d2.astype(np.uint32)))
-            own.append((part, f1, f2.astype(np.uint32)))
+                o, to = start[:-1], np.concatenate([back, np.ones(1, np.uint64)])[start[:-1]]
+                place = mix(gap.astype(np.uint64) + np.uint64(1 << 60))
+                whole = ((sums[start[1:]] - sums[o]) * to ^ mix(size.astype(np.uint64)))[line]
+                d, p = line[drops], gap[drops] + start[line[drops]]
+                left, right = (sums[p] - sums[o[d]]) * to[d], (sums[start[d + 1]] - sums[p + 1]) * to[d] * np.uint64(inverse)
+                less = (left + right) ^ mix((size[d] - 1).astype(np.uint64))
+                out.append((mix(whole ^ place), mix(less ^ place[drops])))
+            (w1, d1), (w2, d2) = out
+            parts.append((np.concatenate([part[line], part[line[drops]]]), np.concatenate([w1, d1]), np.concatenate([w2, d2]).astype(np.uint32)))
         empty = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32))
-        return [tuple(np.concatenate([x[k] for x in (*rows, empty)]) for k in range(3)) for rows in (swap, drop, own)]
+        return tuple(np.concatenate([x[k] for x in (*parts, empty)]) for k in range(3))
+
+    def variants(self, chosen: np.ndarray, bound: int):
+        """The same for any bound, of whole lines."""
+        owner, texts = [], []
+        for c in chosen.tolist():
+            own = variant_texts(self.strings[c], bound)
+            owner += [c] * len(own)
+            texts += own
+        return np.array(owner, np.int64), *digests(texts)
 
 
-def within_one(a: str, b: str) -> bool:
-    """Whether a and b are within one insertion, deletion or substitution."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1:
+def within(a: str, b: str, bound: int) -> bool:
+    """Whether a and b are within `bound` insertions, deletions and substitutions."""
+    if abs(len(a) - len(b)) > bound:
         return False
-    k = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
-    return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :]
+    ahead = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    a, b = a[ahead:], b[ahead:]
+    behind = next((k for k, (x, y) in enumerate(zip(reversed(a), reversed(b), strict=False)) if x != y), min(len(a), len(b)))
+    a, b = a[: len(a) - behind], b[: len(b) - behind]
+    if max(len(a), len(b)) <= bound:
+        return True
+    row = {j: j for j in range(min(bound, len(b)) + 1)}
+    for i, x in enumerate(a, 1):
+        new = {}
+        for j in range(max(0, i - bound), min(len(b), i + bound) + 1):
+            new[j] = min(row.get(j - 1, bound + 1) + (j > 0 and x != b[j - 1]) if j else bound + 1, row.get(j, bound + 1) + 1, new.get(j - 1, bound + 1) + 1)
+        row = new
+    return row.get(len(b), bound + 1) <= bound
 
 
-def lowest(asked: list[list[np.ndarray]], doc: int, line: int):
-    """Over all requests of a bucket, whose first two columns are keys: each entry's earliest (doc, line), by request."""
-    keys, more = np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in asked]), np.concatenate([a[1] for a in asked])
-    docs, lines = np.concatenate([a[doc] for a in asked]), np.concatenate([a[line] for a in asked])
-    first, which = grouped(keys, more, docs, lines)
-    docs, lines, at = docs[first][which], lines[first][which], 0
-    for a in asked:
-        to = slice(at, at + len(a[0]))
-        at += len(a[0])
-        yield docs[to], lines[to]
+ASKED = "_block int, kind int, key long, more int, doc long, line long"
 
 
-def ahead_only(a: list[np.ndarray], found: tuple[np.ndarray, np.ndarray], doc: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, ...]:
-    """A reply: which entries have one earlier than (doc, line), and these."""
-    ahead = earlier(*found, doc, line)
-    return np.packbits(ahead), found[0][ahead], found[1][ahead]
+def requests(block: int, kind: int, key: np.ndarray, more: np.ndarray, doc: np.ndarray, line: np.ndarray) -> pa.Table:
+    n = len(key)
+    return pa.table({"_block": np.full(n, block, np.int32), "kind": np.full(n, kind, np.int32), "key": key.view(np.int64), "more": more.view(np.int32), "doc": doc, "line": line})
 
 
-def replied(replies: pa.Table, kind: int, keys: np.ndarray, buckets: int, doc: np.ndarray, line: np.ndarray, part: int = 0):
-    """(doc, line) with what a reply says is earlier put in their place."""
-    doc, line = doc.copy(), line.copy()
-    for (_, a, b), reply in zip(by_bucket(keys, buckets), Blocks.replies(replies, kind), strict=True):
-        bits, docs, lines = reply[3 * part : 3 * part + 3]
-        ahead = np.unpackbits(bits, count=b - a).astype(bool)
-        doc[a:b][ahead], line[a:b][ahead] = docs, lines
-    return doc, line
+def of_kind(table: pa.Table, kind: int) -> pa.Table:
+    return table.filter(pa.compute.equal(table["kind"], kind))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", min_exact: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", min_exact: int | None = None, bound: int = 1) -> DataFrame:
     """The documents' rows and columns, the text without near-repeated lines, and n_lines, n_removed_lines (long).
 
     A line, stripped of ASCII white space, with at least min_chars characters goes if an earlier such line, by
-    (id, number in its text), is equal or within one edit (one character more, less or other). Lines are judged on the
-    input. Shorter lines stay, as do rows without an id or a text. With min_exact, shorter lines with at least so many
-    characters (1: all that aren't blank) go if an earlier line is equal.
-
-    1. Equal lines meet by their hash: a block sends each distinct line once, and the bucket tells it the earliest. 2.
-    Of lines within one edit one half is equal, so halves are looked up first. 3. The earliest of equal lines, if some
-    other line has a half of it, sends all its variants within one edit as hashed keys. 4. Equal variants meet and
-    the earliest is told: minima only, never pairs, so a template with very many fillings is no group to compare. 5.
-    The line goes to the block of the earlier one, which verifies the edit distance. 6. Lines are cut from the texts.
+    (id, number in its text), is equal or within `bound` edits (a character more, less or other each). Lines are judged
+    on the input. Shorter lines stay, as do rows without an id or a text. With min_exact, shorter lines with at least so
+    many characters (1: all that aren't blank) go if an earlier line is equal. Ids may be of any type that has an order; rows
+    with one id are in no order among themselves, but lines count by their number. Columns of the documents named n_lines or
+    n_removed_lines are replaced.
+
+    1. Equal lines meet by their hash: a block asks once for each distinct line and is told the earliest. Of lines
+    within one edit one half is equal, so it asks for halves too, and is told those that two lines have. 2. The
+    earliest of equal lines, if some other line has a half of it, sends all its variants within the bound as hashed keys (with a
+    bound over one, whose variants are many, whatever its halves). 3. Equal variants meet, and each block is told of
+    the earliest line of each: minima only, never pairs, so a template with very many fillings is no group to compare. 4.
+    The line goes to the block of the earlier one, which verifies the edit distance. 5. Lines are cut from the texts.
     """
     min_exact = min_chars if min_exact is None else min(min_chars, min_exact)
     blocks = Blocks(docs, id_col, text_col)
-    buckets, n_blocks = blocks.buckets, blocks.blocks
-
-    def first(block: int, table: pa.Table) -> pa.Table:
-        lines = Lines(table, min_chars, min_exact)
-        key, more, doc, line, _ = lines.exact()
-        keys, low, high, _ = lines.halves()
-        return blocks.requests(block, [(EXACT, key, (more, doc, line)), (HALF, keys, (low, high))])
-
-    def meet(kind: int, asked: list[list[np.ndarray]]) -> list[tuple[np.ndarray, ...]]:
-        if kind in (EXACT, SWAP):
-            return [ahead_only(a, found, a[2], a[3]) for a, found in zip(asked, lowest(asked, 2, 3), strict=True)]
-        if kind == DROP:  # the earliest whole line for those that drop a character, whatever their order, and the earliest of these for it
-            return [(*ahead_only(a, whole, a[2], a[3]), *ahead_only(a, less, a[2], a[3])) for a, whole, less in zip(asked, lowest(asked, 2, 3), lowest(asked, 4, 5), strict=True)]
-        keys, low, high = (np.concatenate([np.cumsum(a[0], dtype=np.uint64) if k == 0 else a[k] for a in asked]) for k in range(3))
-        distinct, which = np.unique(keys, return_inverse=True)
-        least, most = np.full(len(distinct), np.iinfo(np.uint64).max), np.zeros(len(distinct), np.uint64)
-        np.minimum.at(least, which, low)
-        np.maximum.at(most, which, high)
-        shared, at, out = (least != most)[which], 0, []
-        for a in asked:
-            out.append((np.packbits(shared[at : at + len(a[0])]),))
-            at += len(a[0])
-        return out
-
-    def keys_of(lines: Lines, replies: pa.Table):
-        """The variants of the block's lines that are the earliest of equal ones and share a half with another line."""
-        key, _, doc, line, place = lines.exact()
-        doc, line = replied(replies, EXACT, key, buckets, doc, line)
-        mine = (doc[place] == lines.first_doc) & (line[place] == lines.first_at) if len(place) else np.zeros(0, bool)
-        halves, _, _, at = lines.halves()
-        shared = np.zeros(len(halves), bool)
-        for (_, a, b), (bits,) in zip(by_bucket(halves, buckets), Blocks.replies(replies, HALF), strict=True):
-            shared[a:b] = np.unpackbits(bits, count=b - a).astype(bool)
-        by_line = np.zeros((len(lines.strings), 4), bool)
-        by_line[lines.long] = shared[at]
-        shared = by_line
-        chosen = np.flatnonzero(mine & shared.any(axis=1)) if len(mine) else np.zeros(0, np.int64)
-        (so, s1, s2), (do, d1, d2), (fo, f1, f2) = lines.variants(chosen, shared[chosen, 2:].any(axis=1), shared[chosen, :2].any(axis=1))
-        sf, sw = grouped(s1, s2, lines.first_doc[so], lines.first_at[so])
-        swap = (s1[sf], s2[sf], lines.first_doc[so][sf], lines.first_at[so][sf])
-        keys, more = np.concatenate([d1, f1]), np.concatenate([d2, f2])
-        whole = np.concatenate([np.zeros(len(d1), bool), np.ones(len(f1), bool)])
-        owner = np.concatenate([do, fo])
+    own_id, first = F.struct("doc", "line"), F.min(F.struct("doc", "line")).over(Window.partitionBy("kind", "key", "more"))
+
+    def meet(asked: DataFrame, what: str) -> DataFrame:
+        """(_block, kind, key, more, doc, line, ahead): entries that have an earlier one; of halves those that two lines have, for
+        which doc and line are the least and greatest hash; local finds as they are."""
+        key = Window.partitionBy("kind", "key", "more")
+        met = asked.repartition(blocks.tasks, "kind", "key", "more").withColumn("ahead", first).withColumn("_least", F.min("doc").over(key)).withColumn("_most", F.max("line").over(key))
+        told = F.when(F.col("kind") == HALF, F.col("_least") != F.col("_most")).when(F.col("kind") == LOCAL, True).otherwise(F.col("ahead") < own_id)
+        return staged(met.where(told).drop("_least", "_most"), what)
+
+    def look(block: int, row: dict) -> pa.Table:
+        lines = Lines(row["rows"], min_chars, min_exact)
+        out = [requests(block, EXACT, lines.key, lines.more, lines.first_doc, lines.first_at)]
+        if bound == 1:
+            keys, low, high, _ = lines.halves()
+            out.append(requests(block, HALF, keys, np.zeros(len(keys), np.uint32), low, high))
+        return pa.concat_tables(out)
+
+    def spread(block: int, row: dict, replies: pa.Table) -> pa.Table:
+        """The variants of the block's lines that are the earliest of equal ones; and lines that are within the bound of an
+        earlier one of the block itself."""
+        lines = Lines(row["rows"], min_chars, min_exact)
+        known = of_kind(replies, EXACT)
+        place = places_of(lines.key, lines.more, known["key"].to_numpy().view(np.uint64), known["more"].to_numpy().view(np.uint32))
+        mine = (place < 0) & lines.long
+        if bound == 1:
+            halves, _, _, at = lines.halves()
+            shared = np.zeros((len(lines.strings), 4), bool)
+            shared[lines.long] = np.isin(halves, of_kind(replies, HALF)["key"].to_numpy().view(np.uint64))[at]
+            chosen = np.flatnonzero(mine & shared.any(axis=1))
+            owner, key, more = lines.variants_within_one(chosen, shared[chosen, 2:].any(axis=1), shared[chosen, :2].any(axis=1))
+        else:
+            owner, key, more = lines.variants(np.flatnonzero(mine), bound)
         doc, line = lines.first_doc[owner], lines.first_at[owner]
-        df, dw = grouped(keys, more, doc, line)
-        sides = []
-        for side in (whole, ~whole):
-            d, n = np.full(len(df), LAST[0]), np.full(len(df), LAST[1], np.int32)
-            order = np.lexsort((line[side], doc[side], dw[side]))
-            at = order[np.flatnonzero(np.diff(dw[side][order], prepend=-1))] if side.any() else np.zeros(0, np.int64)
-            d[dw[side][at]], n[dw[side][at]] = doc[side][at], line[side][at]
-            sides += [d, n]
-        return (so, sw, swap), (owner, whole, dw, (keys[df], more[df], *sides))
-
-    def second(block: int, table: pa.Table, replies: pa.Table) -> pa.Table:
-        (_, _, swap), (_, _, _, drop) = keys_of(Lines(table, min_chars, min_exact), replies)
-        return blocks.requests(block, [(SWAP, swap[0], swap[1:]), (DROP, drop[0], drop[1:])])
-
-    def match(block: int, table: pa.Table, replies: pa.Table) -> pa.Table:
-        lines = Lines(table, min_chars, min_exact)
-        (so, sw, swap), (owner, whole, dw, drop) = keys_of(lines, replies)
-        doc, line = replied(replies, SWAP, swap[0], buckets, swap[2], swap[3])
-        who, found = [so], [(doc[sw], line[sw])]
-        # Lines that drop a character are told of the whole line of another block, which some of them may precede, whole
-        # lines of the earliest to drop one.
-        told = [replied(replies, DROP, drop[0], buckets, drop[2], drop[3], 0), replied(replies, DROP, drop[0], buckets, drop[4], drop[5], 1)]
-        for side, (doc, line) in ((~whole, told[0]), (whole, told[1])):
-            who.append(owner[side])
-            found.append((doc[dw[side]], line[dw[side]]))
-        who, doc, line = np.concatenate(who), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-        order = np.lexsort((line, doc, who))
-        at = order[np.flatnonzero(np.diff(who[order], prepend=-1))] if len(order) else order
-        who, doc, line = who[at], doc[at], line[at]
-        ahead = earlier(doc, line, lines.first_doc[who], lines.first_at[who])
-        who, doc, line = who[ahead], doc[ahead], line[ahead]
-        to = [xxhash.xxh64_intdigest(int(d).to_bytes(8, "little", signed=True), 42) for d in doc]
-        to = [(t - (1 << 64) if t >> 63 else t) % n_blocks for t in to]
-        return pa.table({"_block": pa.array(to, pa.int32()), "home": pa.array([block] * len(to), pa.int32()), "kept_doc": pa.array(doc), "kept_line": pa.array(line), "doc": pa.array(lines.first_doc[who]), "line": pa.array(lines.first_at[who]), "text": pa.array([lines.strings[w] for w in who.tolist()], pa.string())})
-
-    def verify(block: int, table: pa.Table, asked: pa.Table) -> pa.Table:
-        wanted, out = set(asked["kept_doc"].to_pylist()), {}
-        texts = {}
-        for who, text in zip(table["i"].to_pylist(), table["t"], strict=True):
-            if who in wanted and text.is_valid:
-                texts.setdefault(who, []).append(text.as_py().split(b"\n"))
-        for r in asked.to_pylist():
-            if any(r["kept_line"] < len(t) and within_one(t[r["kept_line"]].strip().decode("utf-8", "replace"), r["text"]) for t in texts.get(r["kept_doc"], ())):
-                own = out.setdefault(r["home"], ([], []))
-                own[0].append(r["doc"])
-                own[1].append(r["line"])
-        homes = list(out)
-        found = [[pack(np.array(d, np.int64), np.array(n, np.int32))] for d, n in out.values()]
-        return pa.table({"_block": pa.array(homes, pa.int32()), "bucket": pa.array([block] * len(homes), pa.int32()), "kinds": pa.array([[DROP + 1]] * len(homes), pa.list_(pa.int32())), "replies": pa.array(found, pa.list_(pa.binary()))})
-
-    def cut(block: int, table: pa.Table, replies: pa.Table) -> pa.Table:
-        lines = Lines(table, min_chars, min_exact)
-        key, _, doc, line, place = lines.exact()
-        doc, line = replied(replies, EXACT, key, buckets, doc, line)
-        if len(place):
-            doc, line = doc[place[lines.which]], line[place[lines.which]]
-            gone = (doc != lines.doc) | (line != lines.at)
+        at, which = grouped(key, more, doc, line)
+        out = [requests(block, VARIANT, key[at], more[at], doc[at], line[at])]
+        later = np.flatnonzero(owner[at][which] != owner)
+        n = max(1, len(lines.strings))
+        pairs = np.unique(owner[later] * n + owner[at][which[later]]).tolist()
+        near = sorted({x // n for x in pairs if within(lines.strings[x // n], lines.strings[x % n], bound)})
+        out.append(requests(block, LOCAL, lines.key[near], lines.more[near], lines.first_doc[near], lines.first_at[near]))
+        return pa.concat_tables(out)
+
+    def fetch(block: int, row: dict, pairs: pa.Table) -> pa.Table:
+        """The texts of lines, for the blocks of the earlier ones."""
+        texts = texts_of(row["rows"], {d for d in pairs["doc"].to_pylist()})
+        pairs = pairs.to_pylist()
+        out = [(p, x) for p in pairs for x in texts.get((p["doc"], p["line"]), ())]
+        return pa.table({"_block": pa.array(blocks.block_of(p["ahead"]["doc"] for p, _ in out), pa.int32()), "home": pa.array([block] * len(out), pa.int32()), "kept_doc": pa.array([p["ahead"]["doc"] for p, _ in out], pa.int64()), "kept_line": pa.array([p["ahead"]["line"] for p, _ in out], pa.int64()), "doc": pa.array([p["doc"] for p, _ in out], pa.int64()), "line": pa.array([p["line"] for p, _ in out], pa.int64()), "text": pa.array([x for _, x in out], pa.string())})
+
+    def verify(block: int, row: dict, asked: pa.Table) -> pa.Table:
+        texts = texts_of(row["rows"], set(asked["kept_doc"].to_pylist())) if len(asked) else {}
+        found = [r for r in asked.to_pylist() if any(within(x, r["text"], bound) for x in texts.get((r["kept_doc"], r["kept_line"]), ()))]
+        return pa.table({"_block": pa.array([r["home"] for r in found], pa.int32()), "doc": pa.array([r["doc"] for r in found], pa.int64()), "line": pa.array([r["line"] for r in found], pa.int64())})
+
+    def cut(block: int, row: dict, replies: pa.Table) -> pa.Table:
+        lines = Lines(row["rows"], min_chars, min_exact)
+        known, near = of_kind(replies, EXACT), of_kind(replies, LOCAL)
+        elsewhere = places_of(lines.key, lines.more, known["key"].to_numpy().view(np.uint64), known["more"].to_numpy().view(np.uint32)) >= 0
+        if len(lines.which):
+            gone = elsewhere[lines.which] | (lines.first_doc[lines.which] != lines.doc) | (lines.first_at[lines.which] != lines.at)
         else:
             gone = np.zeros(0, bool)
-        near = {(d, n) for r in Blocks.replies(replies, DROP + 1) for d, n in zip(r[0].tolist(), r[1].tolist(), strict=True)}
-        cuts: dict[int, set[int]] = {}
+        close, cuts = set(zip(near["doc"].to_pylist(), near["line"].to_pylist(), strict=True)), {}
         for d, n, g in zip(lines.doc.tolist(), lines.at.tolist(), gone.tolist(), strict=True):
-            if g or (d, n) in near:
+            if g or (d, n) in close:
                 cuts.setdefault(d, set()).add(n)
         texts, counts, removed = [], [], []
-        for who, raw, text in zip(lines.ids, table["t"], lines.texts, strict=True):
+        for who, raw, text in zip(lines.ids, lines.table["t"], lines.texts, strict=True):
             own = {n for n in cuts.get(who, ()) if n < len(text) and len(text[n].strip().decode("utf-8", "replace")) >= min_exact} if text is not None and who is not None else ()
             counts.append(0 if text is None else len(text))
             removed.append(len(own))
             texts.append(b"\n".join(x for n, x in enumerate(text) if n not in own) if own else raw.as_py())
-        done = {**{n: table[n] for n in table.column_names if n != "t"}, "t": pa.array(texts, pa.binary()), "n_lines": pa.array(counts, pa.int64()), "n_removed_lines": pa.array(removed, pa.int64())}
-        return pa.table({n: done[n] for n in [x for x, _ in blocks.inner_types] + ["n_lines", "n_removed_lines"]})
-
-    one = blocks.answer(blocks.ask(first, Blocks.ASKED), meet)
-    two = blocks.answer(blocks.ask(second, Blocks.ASKED, one), meet)
-    found = blocks.ask(match, "_block int, home int, kept_doc long, kept_line int, doc long, line int, text string", one.union(two))
-    verified = blocks.ask(verify, Blocks.REPLIED, found)
-    out = blocks.ask(cut, blocks.schema("n_lines long, n_removed_lines long"), one.union(verified))
-    return blocks.restore(out, "n_lines", "n_removed_lines")
+        return blocks.out(lines.table, texts, _lines=pa.array(counts, pa.int64()), _removed=pa.array(removed, pa.int64()))
+
+    equal = meet(blocks.ask(look, ASKED), "equal-lines")
+    told = equal.where(F.col("kind") == EXACT).select("_block", "kind", "key", "more", "doc", "line")
+    if bound:
+        near = meet(blocks.ask(spread, ASKED, equal.select("_block", "kind", "key", "more")), "near-lines")
+        pairs = near.where(F.col("kind") == VARIANT).groupBy("_block", "doc", "line").agg(F.min("ahead").alias("ahead"))
+        texts = blocks.ask(fetch, "_block int, home int, kept_doc long, kept_line long, doc long, line long, text string", pairs)
+        verified = staged(blocks.ask(verify, "_block int, doc long, line long", texts), "verified-lines")
+        nothing = [F.lit(0).cast("long").alias("key"), F.lit(0).alias("more")]
+        local = near.where(F.col("kind") == LOCAL).select("_block", "doc", "line").union(verified)
+        told = told.union(local.select("_block", F.lit(LOCAL).alias("kind"), *nothing, "doc", "line"))
+    out = blocks.ask(cut, blocks.schema("_lines long, _removed long"), told)
+    return blocks.restore(out, {"_lines": "n_lines", "_removed": "n_removed_lines"})
+
+
+def texts_of(rows: bytes, wanted: set[int]) -> dict[tuple[int, int], list[str]]:
+    """The stripped lines of some rows of a block, by (id, number); of rows with one id each has its own."""
+    if not wanted:
+        return {}
+    table, out = unframed(rows), {}
+    for who, text in zip(table["i"].to_pylist(), table["t"], strict=True):
+        if who in wanted and text.is_valid:
+            for n, line in enumerate(text.as_py().split(b"\n")):
+                out.setdefault((who, n), []).append(line.strip().decode("utf-8", "replace"))
+    return out
 
 
 def op4_lines(spark, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 

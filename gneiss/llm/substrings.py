@@ -6,10 +6,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import Blocks, by_bucket, mix
+from gneiss.llm.common import Blocks, mix, pack, places_of, staged, unframed, unpack
 
 #: Odd bases of the two window hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -64,51 +64,57 @@ def levels_of(min_words: int, shortest: int) -> list[int]:
     return out
 
 
+def digest(table: pa.Table) -> bytes:
+    """What looks at a block need of its texts: words as numbers, and the hashes of the distinct words."""
+    import xxhash
+
+    class Numbers(dict):
+        def __missing__(self, word):
+            self[word] = n = len(self)
+            return n
+
+    numbers, arrays, ids = Numbers(), [], table["i"]
+    for text in table["t"].to_pylist():
+        words = (text or b"").split()
+        arrays.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    return pack(ids.fill_null(0).to_numpy(), known, np.array([len(a) for a in arrays], np.int64), np.concatenate([*arrays, np.zeros(0, np.uint32)]), hashes)
+
+
 class Windows:
     """Words, and windows of min_words words, of the rows of a block that have an id."""
 
-    def __init__(self, table: pa.Table, min_words: int):
-        import xxhash
-
-        class Hashes(dict):
-            def __missing__(self, word):
-                own = self[word] = xxhash.xxh64_intdigest(word)
-                return own
-
-        hashes, arrays = Hashes(), []
-        self.ids, texts = table["i"].to_pylist(), table["t"].to_pylist()
-        for text in texts:
-            words = (text or b"").split()
-            arrays.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
-        self.texts, self.sizes = texts, np.array([len(a) for a in arrays], np.int64)
-        self.h = np.concatenate([*arrays, np.zeros(0, np.uint64)])
+    def __init__(self, held: bytes, min_words: int):
+        ids, known, self.sizes, numbers, hashes = unpack(held)
+        self.h = hashes[numbers]
         ends = np.repeat(np.cumsum(self.sizes), self.sizes)
-        with_id = np.repeat(np.array([x is not None for x in self.ids], bool), self.sizes)
-        self.at = np.flatnonzero((np.arange(len(self.h)) + min_words <= ends) & with_id)
-        self.doc = np.repeat(np.array([x or 0 for x in self.ids], np.int64), self.sizes)[self.at]
+        self.at = np.flatnonzero((np.arange(len(self.h)) + min_words <= ends) & np.repeat(known, self.sizes))
+        self.doc = np.repeat(ids, self.sizes)[self.at]
+        self.min_words = min_words
 
-    def first_level(self, min_words: int, length: int):
+    def first_level(self, length: int):
         """For each window the least hash of the windows of this length in it; distinct ones sorted, with the ids' extremes.
 
         Equal windows have equal least parts, so a window whose least part no other document has cannot repeat; and only
         one part in about half as many as a window has needs to be looked up.
         """
-        least = sliding_min(mix(rolling(self.h, length, BASES[0])), min_words - length + 1)[self.at] if len(self.at) else np.zeros(0, np.uint64)
+        least = sliding_min(mix(rolling(self.h, length, BASES[0])), self.min_words - length + 1)[self.at] if len(self.at) else np.zeros(0, np.uint64)
         return extremes(least, self.doc)
 
-    def level(self, min_words: int, length: int, chosen: np.ndarray):
+    def level(self, length: int, chosen: np.ndarray):
         """The same for all windows of this length side by side in each chosen window; places has a row for each."""
         at = self.at[chosen]
-        steps = sorted({*range(0, min_words - length + 1, length), min_words - length})
+        steps = sorted({*range(0, self.min_words - length + 1, length), self.min_words - length})
         own = mix(rolling(self.h, length, BASES[0]))[(at[:, None] + np.array(steps)).reshape(-1)] if len(at) else np.zeros(0, np.uint64)
         keys, which, low, high = extremes(own, np.repeat(self.doc[chosen], len(steps)))
         return keys, which.reshape(-1, len(steps)), low, high
 
-    def full_level(self, min_words: int, chosen: np.ndarray):
+    def full_level(self, chosen: np.ndarray):
         """Distinct 96-bit hashes of the chosen windows, sorted, with each window's place among them and the least id."""
         at, doc = self.at[chosen], self.doc[chosen]
-        key = mix(rolling(self.h, min_words, BASES[1]))[at] if len(at) else np.zeros(0, np.uint64)
-        more = (mix(rolling(mix(self.h), min_words, BASES[0]))[at] if len(at) else np.zeros(0, np.uint64)).astype(np.uint32)
+        key = mix(rolling(self.h, self.min_words, BASES[1]))[at] if len(at) else np.zeros(0, np.uint64)
+        more = (mix(rolling(mix(self.h), self.min_words, BASES[0]))[at] if len(at) else np.zeros(0, np.uint64)).astype(np.uint32)
         order = np.lexsort((more, key))
         new = np.ones(len(order), bool)
         new[1:] = (np.diff(key[order]) != 0) | (np.diff(more[order]) != 0)
@@ -119,108 +125,99 @@ class Windows:
         np.minimum.at(low, which, doc)
         return key[first], more[first], which, low
 
+    def survivors(self, replies: pa.Table | None, levels: list[int]) -> np.ndarray:
+        """Which windows have all their parts of these lengths in common with another document."""
+        chosen = np.ones(len(self.at), bool)
+        for k, length in enumerate(levels):
+            keys, places, _, _ = self.first_level(length) if k == 0 else self.level(length, chosen)
+            found = replies.filter(pa.compute.equal(replies["level"], k))["key"].to_numpy().view(np.uint64)
+            held = np.isin(keys, found)
+            if k == 0:
+                chosen = held[places]
+            else:
+                chosen[chosen] = held[places].all(axis=1)
+        return chosen
+
 
-def dedup_substrings(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", keep_space: bool = True, shortest: int = 25) -> DataFrame:
+ASKED = "_block int, level int, key long, more int, low long, high long"
+
+
+def requests(block: int, level: int, keys: np.ndarray, more: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Table:
+    n = len(keys)
+    return pa.table({"_block": np.full(n, block, np.int32), "level": np.full(n, level, np.int32), "key": keys.view(np.int64), "more": more.view(np.int32), "low": low, "high": high})
+
+
+def dedup_substrings(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", keep_space: bool = True, shortest: int = 7) -> DataFrame:
     """The documents' rows and columns, the text without repeated passages, and n_words and n_removed (long).
 
     A word goes if a window of min_words consecutive words covers it whose words also stand in a row with a smaller id.
-    Windows are judged on the input. Lengths double from level to level, from `shortest` or a little more up to
-    min_words: what another document has at one length alone is looked up at the next, until nothing survives or
-    min_words is reached; a longer repeat is windows of that length side by side. At the first level a window is
-    looked up by the least hash among its parts, at others by all parts side by side. Keys go to the bucket of their
-    hash, one entry for each key and block however often it occurs, and the bucket sends back what the block needs to
-    know, so copies and passages in very many documents cost one entry a block.
+    Windows are judged on the input. Lengths double from level to level, from `shortest` or a little more: what another
+    document has at one length alone is looked up at the next. Levels end as soon as nothing survives, or at min_words:
+    a longer repeat is windows of that length side by side, so longer ones would remove no word more. At the
+    first level a window is looked up by the least hash among its parts, at others by all parts side by side. A block
+    asks once for a key however often it has it, and is told of keys that other documents have too; keys in very many
+    documents are one row a block.
 
     Words are split at ASCII white space. White space between kept words stays as it is, or becomes one space each
-    without keep_space. Null texts stay null and have
-    no words; rows without an id stay whole and are no witnesses; rows with equal ids don't witness against each other.
+    without keep_space. Null texts stay null and have no words; rows without an id stay whole and are no witnesses; rows with
+    equal ids don't witness against each other. Ids may be of any type that has an order. Columns of the documents named
+    n_words or n_removed are replaced.
     """
-    blocks, levels = Blocks(docs, id_col, text_col), levels_of(min_words, shortest)
+    blocks, levels = Blocks(docs, id_col, text_col, digest), levels_of(min_words, shortest)
     last = len(levels) - 1
 
-    def first(block: int, table: pa.Table) -> pa.Table:
-        keys, _, low, high = Windows(table, min_words).first_level(min_words, levels[0])
-        return blocks.requests(block, [(0, keys, (low, high))])
-
-    def shared(asked: list[list[np.ndarray]]) -> list[tuple[np.ndarray]]:
-        keys, low, high = (np.concatenate([np.cumsum(a[0], dtype=np.uint64) if k == 0 else a[k] for a in asked]) for k in range(3))
-        distinct, which = np.unique(keys, return_inverse=True)
-        least, most = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), np.iinfo(np.int64).min)
-        np.minimum.at(least, which, low)
-        np.maximum.at(most, which, high)
-        return split((least != most)[which], asked, lambda x: (np.packbits(x),))
-
-    def survivors(windows: Windows, replies: pa.Table, upto: int) -> np.ndarray:
-        """Which windows have all their parts of the levels before upto in common with another document."""
-        keys, which, _, _ = windows.first_level(min_words, levels[0])
-        chosen = flags(replies, keys, 0, blocks)[which]
-        for k in range(1, upto):
-            keys, places, _, _ = windows.level(min_words, levels[k], chosen)
-            chosen[chosen] = flags(replies, keys, k, blocks)[places].all(axis=1)
-        return chosen
-
-    def further(k: int):
-        def ask(block: int, table: pa.Table, replies: pa.Table) -> pa.Table:
-            windows = Windows(table, min_words)
-            chosen = survivors(windows, replies, k)
+    def look(k: int):
+        def ask(block: int, row: dict, replies: pa.Table | None = None) -> pa.Table:
+            windows = Windows(row["digest"], min_words)
+            if k == 0:
+                keys, _, low, high = windows.first_level(levels[0])
+                return requests(block, k, keys, np.zeros(len(keys), np.uint32), low, high)
+            chosen = windows.survivors(replies, levels[:k])
             if k < last:
-                keys, _, low, high = windows.level(min_words, levels[k], chosen)
-                return blocks.requests(block, [(k, keys, (low, high))])
-            keys, more, _, low = windows.full_level(min_words, chosen)
-            return blocks.requests(block, [(k, keys, (more, low))])
+                keys, _, low, high = windows.level(levels[k], chosen)
+                return requests(block, k, keys, np.zeros(len(keys), np.uint32), low, high)
+            keys, more, _, low = windows.full_level(chosen)
+            return requests(block, k, keys, more, low, low)
 
         return ask
 
-    def answer(kind: int, asked: list[list[np.ndarray]]) -> list[tuple[np.ndarray, ...]]:
-        return earliest(asked) if kind == last else shared(asked)
-
-    def earliest(asked: list[list[np.ndarray]]) -> list[tuple[np.ndarray, ...]]:
-        keys, more, low = (np.concatenate([np.cumsum(a[0], dtype=np.uint64) if k == 0 else a[k] for a in asked]) for k in range(3))
-        order = np.lexsort((more, keys))
-        new = np.ones(len(order), bool)
-        new[1:] = (np.diff(keys[order]) != 0) | (np.diff(more[order]) != 0)
-        which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
-        least = np.full(int(new.sum()), np.iinfo(np.int64).max)
-        np.minimum.at(least, which, low)
-        ahead, out, at = least[which], [], 0
-        for a in asked:
-            own = ahead[at : at + len(a[0])]
-            out.append((np.packbits(own < a[2]), own[own < a[2]]))
-            at += len(a[0])
-        return out
-
-    def cut(block: int, table: pa.Table, replies: pa.Table) -> pa.Table:
-        windows = Windows(table, min_words)
-        chosen = survivors(windows, replies, last)
-        keys, _, which, low = windows.full_level(min_words, chosen)
-        ahead = low.copy()
-        if len(keys):
-            parts, sizes = Blocks.replies(replies, last), bucket_sizes(keys, blocks.buckets)
-            at = 0
-            for (bits, own), size in zip(parts, sizes, strict=True):
-                lower = np.unpackbits(bits, count=size).astype(bool)
-                ahead[at : at + size][lower] = own
-                at += size
-        gone_at = windows.at[chosen][ahead[which] < windows.doc[chosen]]
-        steps = np.zeros(len(windows.h) + 1, np.int64)
-        np.add.at(steps, gone_at, 1)
-        np.add.at(steps, gone_at + min_words, -1)
-        gone, at, texts, removed = np.cumsum(steps)[:-1] > 0, 0, [], []
-        for text, size in zip(windows.texts, windows.sizes.tolist(), strict=True):
-            own = gone[at : at + size]
-            at += size
+    def cut(block: int, row: dict, replies: pa.Table) -> pa.Table:
+        table, windows = unframed(row["rows"]), Windows(row["digest"], min_words)
+        ahead = replies.filter(pa.compute.equal(replies["level"], last))
+        gone = np.zeros(len(windows.h), bool)
+        if len(replies):
+            chosen = windows.survivors(replies, levels[:last])
+            keys, more, which, least = windows.full_level(chosen)
+            place = places_of(keys, more, ahead["key"].to_numpy().view(np.uint64), ahead["more"].to_numpy().view(np.uint32))
+            least[place >= 0] = ahead["low"].to_numpy()[place[place >= 0]]
+            gone_at = windows.at[chosen][least[which] < windows.doc[chosen]]
+            steps = np.zeros(len(windows.h) + 1, np.int64)
+            np.add.at(steps, gone_at, 1)
+            np.add.at(steps, gone_at + min_words, -1)
+            gone = np.cumsum(steps)[:-1] > 0
+        ends, texts, removed = np.cumsum(windows.sizes).tolist(), table["t"].to_pylist(), []
+        for k, (text, size) in enumerate(zip(texts, windows.sizes.tolist(), strict=True)):
+            own = gone[ends[k] - size : ends[k]]
             removed.append(int(own.sum()))
             if text is not None and not keep_space:
-                text = b" ".join(w for w, no in zip(text.split(), own.tolist(), strict=True) if not no)
-            texts.append(without(text, own) if removed[-1] and keep_space else text)
-        return pa.table({**{n: table[n] for n in table.column_names if n != "t"}, "t": pa.array(texts, pa.binary()), "n_words": pa.array(windows.sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64())}).select([x for x, _ in blocks.inner_types] + ["n_words", "n_removed"])
-
-    replies = blocks.answer(blocks.ask(first, Blocks.ASKED), answer)
-    for k in range(1, len(levels)):
-        replies = replies.union(blocks.answer(blocks.ask(further(k), Blocks.ASKED, replies), answer))
-    out = blocks.ask(cut, blocks.schema("n_words long, n_removed long"), replies)
-    return blocks.restore(out, "n_words", "n_removed")
+                words = text.split()
+                texts[k] = b" ".join(w for w, no in zip(words, own.tolist(), strict=True) if not no) if removed[-1] else b" ".join(words)
+            elif removed[-1]:
+                texts[k] = without(text, own)
+        return blocks.out(table, texts, _words=pa.array(windows.sizes, pa.int64()), _removed=pa.array(removed, pa.int64()))
+
+    found = docs.sparkSession.createDataFrame([], "_block int, level int, key long, more int, low long")
+    for k in range(len(levels)):
+        asked = blocks.ask(look(k), ASKED, None if k == 0 else found, ("digest",)).repartition(blocks.tasks, "key", "more")
+        key = Window.partitionBy("key", "more")
+        met = asked.select("_block", "level", "key", "more", "low", F.min("low").over(key).alias("_least"), F.max("high").over(key).alias("_most"))
+        told = met.where(F.col("_least") < F.col("low") if k == last else F.col("_least") < F.col("_most"))
+        told = staged(told.select("_block", "level", "key", "more", F.col("_least").alias("low")), f"level-{levels[k]}")
+        found = found.union(told)
+        if told.isEmpty():
+            break
+    out = blocks.ask(cut, blocks.schema("_words long, _removed long"), found, ("rows", "digest"))
+    return blocks.restore(out, {"_words": "n_words", "_removed": "n_removed"})
 
 
 def without(text: bytes, gone: np.ndarray) -> bytes:
@@ -234,22 +231,6 @@ def without(text: bytes, gone: np.ndarray) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def bucket_sizes(keys: np.ndarray, buckets: int) -> list[int]:
-    return [b - a for _, a, b in by_bucket(keys, buckets)]
-
-
-def flags(replies: pa.Table, keys: np.ndarray, kind: int, blocks: Blocks) -> np.ndarray:
-    """A reply of one bit for each key."""
-    sizes, parts = bucket_sizes(keys, blocks.buckets), Blocks.replies(replies, kind)
-    out = [np.unpackbits(bits, count=size).astype(bool) for (bits,), size in zip(parts, sizes, strict=True)]
-    return np.concatenate([*out, np.zeros(0, bool)])
-
-
-def split(values: np.ndarray, asked: list[list[np.ndarray]], f) -> list[tuple[np.ndarray, ...]]:
-    ends = np.cumsum([len(a[0]) for a in asked]).tolist()
-    return [f(values[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-
-
 def op2_substrings(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = dedup_substrings(docs, keep_space=False)

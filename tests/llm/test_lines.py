@@ -1,8 +1,9 @@
 import random
 
+import pytest
 import xxhash
 
-from gneiss.llm.lines import OP4_SQL, dedup_lines, op4_lines, within_one
+from gneiss.llm.lines import OP4_SQL, dedup_lines, op4_lines, variant_texts, within
 from tests.oracle import connection, same
 
 
@@ -16,21 +17,22 @@ def distance(a, b):
     return row[-1]
 
 
-def brute(rows, least):
+def brute(rows, least, bound=1):
     lines = sorted((i, k, x.strip(" \t\n\r\v\f")) for i, t in rows if i is not None for k, x in enumerate((t or "").split("\n")))
     lines = [x for x in lines if len(x[2]) >= least]
-    gone = {(b[0], b[1]) for n, b in enumerate(lines) if any(a[:2] < b[:2] and distance(a[2], b[2]) <= 1 for a in lines[:n])}
+    gone = {(b[0], b[1]) for n, b in enumerate(lines) if any(a[:2] < b[:2] and distance(a[2], b[2]) <= bound for a in lines[:n])}
     return sorted((i, "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)) for i, t in rows)
 
 
-def test_random_lines(documents):
+@pytest.mark.parametrize("bound", [0, 1, 2])
+def test_random_lines(documents, bound):
     rng = random.Random(6)
     for alphabet in ("ab", "abcé"):
         rows = []
         for i in range(30):
             rows.append((i, "\n".join("".join(rng.choice(alphabet) for _ in range(rng.randrange(9))) for _ in range(rng.randrange(1, 6)))))
-        out = dedup_lines(documents(rows), 3)
-        assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == brute(rows, 3)
+        out = dedup_lines(documents(rows), 3, bound=bound)
+        assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == brute(rows, 3, bound)
 
 
 def test_odd_rows(odd):
@@ -41,11 +43,20 @@ def test_odd_rows(odd):
     assert out.count() == odd.count() and dedup_lines(odd.limit(0)).count() == 0
 
 
-def test_within_one():
+def test_within():
     rng = random.Random(7)
     for _ in range(2000):
-        a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(5))) for _ in range(2))
-        assert within_one(a, b) == (distance(a, b) <= 1)
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(6))) for _ in range(2))
+        for bound in (0, 1, 2, 3):
+            assert within(a, b, bound) == (distance(a, b) <= bound)
+            assert bool(variant_texts(a, bound) & variant_texts(b, bound)) == (distance(a, b) <= bound)
+
+
+def test_ids_of_other_types_and_clashing_names(spark):
+    rows = [("b", "one line that is long enough", 1), ("a", "one line that is long enough", 2), (None, "one line that is long enough", 3)]
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id string, text string, n_lines long"))
+    assert out.columns == ["doc_id", "text", "n_lines", "n_removed_lines"]
+    assert sorted((str(r["doc_id"]), r["text"], r["n_lines"]) for r in out.collect()) == [("None", rows[0][1], 1), ("a", rows[0][1], 1), ("b", "", 1)]
 
 
 def test_whole_table(spark, sf):
@@ -54,7 +65,7 @@ def test_whole_table(spark, sf):
 
 def test_shorter_line_between_two_longer_ones_of_a_block(spark, documents):
     """The whole line is in another block, after one and before another line that has a character more."""
-    blocks = int(spark.conf.get("spark.sql.shuffle.partitions")) * 6
+    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def block(i):
         x = xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42)
