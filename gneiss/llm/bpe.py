@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gneiss.llm.common import MOST_TASKS, TASK_BYTES, framed, n_parts, pack, staged, trimmed, unframed, unpack, worker_cache
+from gneiss.llm.common import MOST_TASKS, TASK_BYTES, chunks, n_parts, pack, trimmed, unframed, unpack, with_block, worker_cache
 
-#: Characters of text whose pre-tokens are a unit, or one text if that is longer.
-UNIT_BYTES = 2 << 20
+#: Bytes of text of a block, and the blocks whose words are as many as a bucket's.
+BLOCK_BYTES, NEIGHBOURS = 3 << 20, 9
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -35,6 +35,27 @@ def piece_encoder(path: str, pattern: str):
     return cache["encoding", path].encode_ordinary
 
 
+def by_bucket(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted unsigned 64-bit keys, which fall into buckets by their size."""
+    if not len(keys):
+        return []
+    width = (1 << 64) // buckets + 1
+    edges = np.searchsorted(keys, np.array([i * width for i in range(1, buckets)], np.uint64))
+    edges = [0, *edges.tolist(), len(keys)]
+    return [(i, edges[i], edges[i + 1]) for i in range(buckets) if edges[i] < edges[i + 1]]
+
+
+def in_order(words: list[str], buckets: int) -> tuple[list[str], np.ndarray, list[tuple[int, int, int]]]:
+    """Different words by their hash; their places before; (bucket, from, to). The order depends on the words alone."""
+    import xxhash
+
+    keys = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    order = np.argsort(keys, kind="stable")
+    if (np.diff(keys[order]) == 0).any():
+        order = np.array(sorted(order.tolist(), key=lambda k: (keys[k], words[k])), np.int64)
+    return [words[k] for k in order.tolist()], order, by_bucket(keys[order], buckets)
+
+
 class Words(dict):
     """Numbers the distinct pre-tokens of texts as they come."""
 
@@ -43,95 +64,116 @@ class Words(dict):
         return n
 
 
+class Exchange:
+    """Texts in blocks by a hash of their id, and the messages between blocks and buckets of words.
+
+    Blocks hold BLOCK_BYTES of text on average and buckets the words of NEIGHBOURS blocks, whatever the corpus and
+    spark.sql.shuffle.partitions. Both looks at the texts are groupings of one plan, so Spark shuffles the texts once. A block's
+    words for a bucket are one message, and so is a bucket's reply; where a corpus has more buckets than a block has words, that
+    is a row for each word of a block.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+        spark = docs.sparkSession
+        size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("binary")))).first()[0] or 0
+        self.blocks = max(n_parts(spark), -(-size // BLOCK_BYTES))
+        self.buckets = -(-self.blocks // NEIGHBOURS)
+        self.tasks = max(n_parts(spark), min(MOST_TASKS, -(-size // TASK_BYTES)))
+        own = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").cast("binary").alias("t"))
+        self.rows = with_block(own, "i", "t", self.blocks).mapInArrow(chunks, "_block int, chunk binary").repartition(self.tasks, "_block")
+
+    def __getstate__(self) -> dict:
+        """What functions on executors need of it."""
+        return {k: v for k, v in self.__dict__.items() if k != "rows"}
+
+    def ask(self, f, schema: str, replies: DataFrame | None = None) -> DataFrame:
+        """f(number, rows[, replies]) of each block, where replies has `_block`."""
+
+        def whole(table: pa.Table) -> pa.Table:
+            return pa.concat_tables(unframed(x) for x in table["chunk"].to_pylist())
+
+        groups = self.rows.groupBy("_block")
+        if replies is None:
+            return groups.applyInArrow(lambda key, t: trimmed(f(key[0].as_py(), whole(t))), schema)
+        return groups.cogroup(replies.groupBy("_block")).applyInArrow(lambda key, t, r: trimmed(f(key[0].as_py(), whole(t), r)), schema)
+
+    def answer(self, asked: DataFrame, f) -> DataFrame:
+        """asked: (bucket, block, payload). f(arrays of each block that asks) gives each block's reply: (_block, bucket, payload)."""
+
+        def by_whole_bucket(batches):
+            held = {}
+            for batch in batches:
+                for bucket, block, payload in zip(*(batch[n].to_pylist() for n in ("bucket", "block", "payload")), strict=True):
+                    held.setdefault(bucket, []).append((block, payload))
+            for bucket in list(held):
+                own = held.pop(bucket)
+                replies = [pack(*reply) for reply in f([unpack(p) for _, p in own])]
+                yield trimmed(pa.record_batch({"_block": pa.array([b for b, _ in own], pa.int32()), "bucket": pa.array([bucket] * len(own), pa.int32()), "payload": pa.array(replies, pa.binary())}))
+
+        # Dealt by block here, so that replies are made once.
+        return asked.repartitionById(max(1, min(self.buckets, self.tasks)), F.col("bucket") % max(1, min(self.buckets, self.tasks))).mapInArrow(by_whole_bucket, "_block int, bucket int, payload binary").repartition(self.tasks, "_block")
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): every whole text's token ids as little-endian unsigned 32-bit integers; `ids_array` makes an array.
 
-    Texts are cut into pre-tokens once. The pre-tokens of some UNIT_BYTES of text are a unit: its distinct words, and for
-    each position the number of the word that stands there. Units send their distinct words, one row each, to the task of
-    the word, which encodes a distinct word once and sends the ids back; a unit then puts them at all positions. So words and
-    positions are shuffled, never texts; a word as common as " the" is a row for each unit; and what a task holds is a
-    unit, whatever the corpus. Units are staged, as their numbers depend on how the input was read.
+    Texts meet in blocks. A block sends each distinct pre-token once to the bucket of the word's hash; the bucket encodes
+    a distinct word once and sends the ids to the blocks that have the word; a block then puts the ids at all positions
+    of the word. So what is shuffled besides the texts are distinct words of blocks, and a word as common as " the" is one
+    entry for each block.
 
     Null and empty texts have no ids. Rows with equal ids or equal texts each give a row, and ids may be of any type. Other
     columns are not read.
     """
-    from pyspark import TaskContext
-
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    texts, kind = Exchange(docs, id_col, text_col), docs.schema[id_col].dataType.simpleString()
 
-    def units(batches):
+    def words_of(block: int, table: pa.Table) -> pa.Table:
         import regex
 
-        cut, part, number = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
-        words, arrays, ids, size = Words(), [], [], 0
-
-        def unit():
-            held = [len(w.encode("utf-8", "replace")) for w in words]
-            blob = np.frombuffer("".join(words).encode("utf-8", "replace"), np.uint8)
-            numbers = np.concatenate([*arrays, np.zeros(0, np.uint32)])
-            numbers = numbers.astype(np.uint16) if len(words) < 1 << 16 else numbers
-            packed = pack(np.array(held, np.uint32), blob, np.array([len(a) for a in arrays], np.uint32), numbers)
-            return pa.record_batch({"unit": pa.array([part << 32 | number], pa.int64()), "words": pa.array([packed], pa.binary()), "ids": pa.array([framed(pa.table({"id": pa.concat_arrays(ids)}))], pa.binary())})
+        cut, words = regex.compile(pattern).findall, set()
+        for text in table["t"]:
+            words.update(cut((text.as_py() or b"").decode("utf-8", "replace")))
+        ordered, _, buckets = in_order(list(words), texts.buckets)
+        out = []
+        for _, a, b in buckets:
+            raw = [w.encode() for w in ordered[a:b]]
+            out.append(pack(np.array([len(x) for x in raw], np.uint32), np.frombuffer(b"".join(raw), np.uint8)))
+        return pa.table({"bucket": pa.array([x for x, _, _ in buckets], pa.int32()), "block": pa.array([block] * len(out), pa.int32()), "payload": pa.array(out, pa.binary())})
+
+    def encode_words(asked: list[list[np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        encode_piece, known, out = piece_encoder(ranks_path, pattern), {}, []
+        for sizes, blob in asked:
+            blob, ends, ids, counts = blob.tobytes(), np.cumsum(sizes, dtype=np.int64).tolist(), [], []
+            for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                word = blob[a:b]
+                if (own := known.get(word)) is None:
+                    own = known[word] = encode_piece(word.decode())
+                ids += own
+                counts.append(len(own))
+            out.append((np.array(counts, np.uint32), np.array(ids, np.uint32)))
+        return out
+
+    def assemble(block: int, table: pa.Table, replies: pa.Table) -> pa.Table:
+        import regex
 
-        for batch in batches:
-            at = 0
-            for k, text in enumerate(batch["text"].to_pylist()):
-                found = cut(text or "")
-                arrays.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
-                size += len(text or "")
-                if size >= UNIT_BYTES:
-                    ids.append(batch["id"].slice(at, k + 1 - at))
-                    yield unit()
-                    number, at = number + 1, k + 1
-                    words, arrays, ids, size = Words(), [], [], 0
-            ids.append(batch["id"].slice(at))
-        if arrays:
-            yield unit()
-
-    def words_of(batches):
-        for batch in batches:
-            for unit, packed in zip(batch["unit"].to_pylist(), batch["words"], strict=True):
-                held, blob, _, _ = unpack(packed.as_py())
-                ends = np.concatenate([[0], np.cumsum(held, dtype=np.int64)]).astype(np.int32)
-                words = pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(blob.tobytes())])
-                yield pa.record_batch({"unit": pa.array(np.full(len(held), unit, np.int64)), "place": pa.array(np.arange(len(held), dtype=np.int32)), "word": words})
-
-    def encode_words(batches):
-        encode_piece, last, ids = piece_encoder(ranks_path, pattern), None, b""
-        for batch in batches:
-            out = []
-            for word in batch["word"].to_pylist():
-                if word != last:
-                    last, ids = word, np.array(encode_piece(word.decode()), "<u4").tobytes()
-                out.append(ids)
-            yield pa.record_batch({"unit": batch["unit"], "place": batch["place"], "word_ids": pa.array(out, pa.binary())})
-
-    def assemble(unit: pa.Table, found: pa.Table) -> pa.Table:
-        row = unit.to_pylist()[0]
-        held, _, sizes, numbers = unpack(row["words"])
-        whole = found["word_ids"].combine_chunks()
-        if len(whole) != len(held):
-            raise RuntimeError(f"unit {row['unit']} got ids for {len(whole)} of {len(held)} words")
-        place = np.empty(len(held), np.int64)
-        place[found["place"].to_numpy()] = np.arange(len(held))
-        ends = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset : whole.offset + len(whole) + 1].astype(np.int64) // 4 if len(whole) else np.zeros(1, np.int64)
-        every = np.frombuffer(whole.buffers()[2], "<u4", int(ends[-1])) if len(whole) and ends[-1] else np.zeros(0, "<u4")
-        out, at = [], 0
-        for n in sizes.tolist():
-            own = place[numbers[at : at + n]]
-            at += n
-            counts = ends[own + 1] - ends[own]
-            stops = np.cumsum(counts)
-            out.append(every[np.arange(stops[-1] if n else 0) + np.repeat(ends[own] - stops + counts, counts)].tobytes())
-        return trimmed(pa.table({"id": unframed(row["ids"])["id"], "ids": pa.array(out, pa.binary())}))
-
-    made = staged(own.mapInArrow(units, "unit long, words binary, ids binary"), "units")
-    tasks = max(n_parts(spark), min(MOST_TASKS, made.count() * UNIT_BYTES // TASK_BYTES))
-    asked = made.select("unit", "words").mapInArrow(words_of, "unit long, place int, word binary")
-    told = asked.repartition(tasks, "word").sortWithinPartitions("word").mapInArrow(encode_words, "unit long, place int, word_ids binary")
-    out = made.repartition(tasks, "unit").groupBy("unit").cogroup(told.repartition(tasks, "unit").groupBy("unit")).applyInArrow(assemble, f"id {kind}, ids binary")
-    return out.withColumnRenamed("id", id_col)
+        cut, words, places = regex.compile(pattern).findall, Words(), []
+        for text in table["t"]:
+            own = cut((text.as_py() or b"").decode("utf-8", "replace"))
+            places.append(np.fromiter(map(words.__getitem__, own), np.uint32, len(own)))
+        _, order, _ = in_order(list(words), texts.buckets)
+        order, ids_of, at = order.tolist(), [b""] * len(words), 0
+        for _, payload in sorted(zip(replies["bucket"].to_pylist(), replies["payload"].to_pylist(), strict=True)):
+            counts, ids = unpack(payload)
+            raw, ends = ids.tobytes(), (np.cumsum(counts, dtype=np.int64) * 4).tolist()
+            for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                ids_of[order[at]] = raw[a:b]
+                at += 1
+        if at != len(words):
+            raise RuntimeError(f"block {block} got ids for {at} of {len(words)} words")
+        return pa.table({"i": table["i"], "ids": pa.array((b"".join(map(ids_of.__getitem__, x.tolist())) for x in places), pa.binary())})
+
+    replies = texts.answer(texts.ask(words_of, "bucket int, block int, payload binary"), encode_words)
+    return texts.ask(assemble, f"i {kind}, ids binary", replies).withColumnRenamed("i", id_col)
 
 
 def ids_array(ids: bytes) -> list[int]:
