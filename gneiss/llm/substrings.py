@@ -13,6 +13,8 @@ from gneiss.llm.common import Blocks, mix, pack, places_of, staged, unframed, un
 
 #: Odd bases of the two window hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Windows of a stretch that is looked up as a whole, on average.
+STRETCH = 64
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -87,56 +89,76 @@ class Windows:
 
     def __init__(self, held: bytes, min_words: int):
         ids, known, self.sizes, numbers, hashes = unpack(held)
-        self.h = hashes[numbers]
+        self.h, self.min_words = hashes[numbers], min_words
         ends = np.repeat(np.cumsum(self.sizes), self.sizes)
         self.at = np.flatnonzero((np.arange(len(self.h)) + min_words <= ends) & np.repeat(known, self.sizes))
-        self.doc = np.repeat(ids, self.sizes)[self.at]
-        self.min_words = min_words
-
-    def first_level(self, length: int):
-        """For each window the least hash of the windows of this length in it; distinct ones sorted, with the ids' extremes.
-
-        Equal windows have equal least parts, so a window whose least part no other document has cannot repeat; and only
-        one part in about half as many as a window has needs to be looked up.
-        """
-        least = sliding_min(mix(rolling(self.h, length, BASES[0])), self.min_words - length + 1)[self.at] if len(self.at) else np.zeros(0, np.uint64)
-        return extremes(least, self.doc)
+        self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)[self.at]
+        self.doc = ids[self.row]
+
+    def least_parts(self, length: int) -> np.ndarray:
+        """For each window the least hash of the windows of this length in it. Equal windows have equal least parts, so a window
+        whose least part no other document has cannot repeat; and windows side by side mostly share theirs, so only one
+        part in about half as many as a window has needs to be looked up."""
+        if not len(self.at):
+            return np.zeros(0, np.uint64)
+        return sliding_min(mix(rolling(self.h, length, BASES[0])), self.min_words - length + 1)[self.at]
+
+    def survivors(self, replies: pa.Table | None, lengths: list[int]) -> np.ndarray:
+        """The windows whose least parts of these lengths other documents have too."""
+        chosen = np.arange(len(self.at))
+        for k, length in enumerate(lengths):
+            found = replies.filter(pa.compute.equal(replies["level"], k))["key"].to_numpy().view(np.uint64)
+            chosen = chosen[np.isin(self.least_parts(length)[chosen], found)] if len(found) else chosen[:0]
+        return chosen
 
-    def level(self, length: int, chosen: np.ndarray):
-        """The same for all windows of this length side by side in each chosen window; places has a row for each."""
+    def segments(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, more, segment of each chosen window): stretches of chosen windows that begin where a run of them or, as the
+        words there decide, about every STRETCH windows, and 96 bits of the hash of all the words of a stretch's windows."""
+        if not len(chosen):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        at, row = self.at[chosen], self.row[chosen]
+        new = mix(rolling(self.h, min(4, self.min_words), BASES[1]) ^ np.uint64(1))[at] % np.uint64(STRETCH) == 0
+        new[0] = True
+        new[1:] |= (np.diff(at) != 1) | (np.diff(row) != 0)
+        starts = np.flatnonzero(new)
+        first, end = at[starts], at[np.append(starts[1:], len(at)) - 1] + self.min_words
+        keys = []
+        for h, base in ((self.h, BASES[0]), (mix(self.h), BASES[1])):
+            power, back = np.full(len(h), base, np.uint64), np.full(len(h), pow(base, -1, 1 << 64), np.uint64)
+            power[0] = back[0] = 1
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * np.cumprod(power))])
+            keys.append(mix((sums[end] - sums[first]) * np.cumprod(back)[first] ^ mix((end - first).astype(np.uint64))))
+        return keys[0], keys[1].astype(np.uint32), np.cumsum(new) - 1
+
+    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, more, the window itself): 96 bits of the hash of each chosen window's words."""
         at = self.at[chosen]
-        steps = sorted({*range(0, self.min_words - length + 1, length), self.min_words - length})
-        own = mix(rolling(self.h, length, BASES[0]))[(at[:, None] + np.array(steps)).reshape(-1)] if len(at) else np.zeros(0, np.uint64)
-        keys, which, low, high = extremes(own, np.repeat(self.doc[chosen], len(steps)))
-        return keys, which.reshape(-1, len(steps)), low, high
-
-    def full_level(self, chosen: np.ndarray):
-        """Distinct 96-bit hashes of the chosen windows, sorted, with each window's place among them and the least id."""
-        at, doc = self.at[chosen], self.doc[chosen]
         key = mix(rolling(self.h, self.min_words, BASES[1]))[at] if len(at) else np.zeros(0, np.uint64)
-        more = (mix(rolling(mix(self.h), self.min_words, BASES[0]))[at] if len(at) else np.zeros(0, np.uint64)).astype(np.uint32)
-        order = np.lexsort((more, key))
-        new = np.ones(len(order), bool)
-        new[1:] = (np.diff(key[order]) != 0) | (np.diff(more[order]) != 0)
-        which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
-        first = order[new]
-        low = np.full(len(first), np.iinfo(np.int64).max)
-        np.minimum.at(low, which, doc)
-        return key[first], more[first], which, low
-
-    def survivors(self, replies: pa.Table | None, levels: list[int]) -> np.ndarray:
-        """Which windows have all their parts of these lengths in common with another document."""
-        chosen = np.ones(len(self.at), bool)
-        for k, length in enumerate(levels):
-            keys, places, _, _ = self.first_level(length) if k == 0 else self.level(length, chosen)
-            found = replies.filter(pa.compute.equal(replies["level"], k))["key"].to_numpy().view(np.uint64)
-            held = np.isin(keys, found)
-            if k == 0:
-                chosen = held[places]
-            else:
-                chosen[chosen] = held[places].all(axis=1)
-        return chosen
+        more = mix(rolling(mix(self.h), self.min_words, BASES[0]))[at] if len(at) else np.zeros(0, np.uint64)
+        return key, more.astype(np.uint32), np.arange(len(chosen))
+
+    def later(self, chosen: np.ndarray, found, replies: pa.Table, level: int) -> np.ndarray:
+        """Which chosen windows, or all in a segment of them, a document with a smaller id has: by what the block itself has, and
+        what the replies of a level say."""
+        key, more, which = found
+        first, place, low = earliest(key, more, which, self.doc[chosen])
+        ahead = replies.filter(pa.compute.equal(replies["level"], level))
+        at = places_of(key[first], more[first], ahead["key"].to_numpy().view(np.uint64), ahead["more"].to_numpy().view(np.uint32))
+        low[at >= 0] = ahead["low"].to_numpy()[at[at >= 0]]
+        return low[place[which]] < self.doc[chosen]
+
+
+def earliest(key: np.ndarray, more: np.ndarray, which: np.ndarray, doc: np.ndarray):
+    """(first, place, low): of each distinct (key, more) one entry, each entry's place among these, and the least id of the
+    windows (`which` entry each belongs to, and id) of each."""
+    order = np.lexsort((more, key))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(key[order]) != 0) | (np.diff(more[order]) != 0)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    low = np.full(int(new.sum()), np.iinfo(np.int64).max)
+    np.minimum.at(low, place[which], doc)
+    return order[new], place, low
 
 
 ASKED = "_block int, level int, key long, more int, low long, high long"
@@ -152,45 +174,45 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id
 
     A word goes if a window of min_words consecutive words covers it whose words also stand in a row with a smaller id.
     Windows are judged on the input. Lengths double from level to level, from `shortest` or a little more: what another
-    document has at one length alone is looked up at the next. Levels end as soon as nothing survives, or at min_words:
-    a longer repeat is windows of that length side by side, so longer ones would remove no word more. At the
-    first level a window is looked up by the least hash among its parts, at others by all parts side by side. A block
-    asks once for a key however often it has it, and is told of keys that other documents have too; keys in very many
-    documents are one row a block.
+    document has at one length alone is looked up at the next, by the least hash among a window's parts of that
+    length. Levels end as soon as nothing survives. Of the full length, stretches of surviving windows are looked up
+    first, all their words at once: one that a document with a smaller id has goes as a whole, so of copies, and near
+    copies, only the first is looked up window by window. Longer windows would remove no word more, as they are windows of
+    the full length side by side. A block asks once for a key however often it has it, and is told of keys that other
+    documents have too; a key in very many documents is one row a block.
 
     Words are split at ASCII white space. White space between kept words stays as it is, or becomes one space each
     without keep_space. Null texts stay null and have no words; rows without an id stay whole and are no witnesses; rows with
     equal ids don't witness against each other. Ids may be of any type that has an order. Columns of the documents named
     n_words or n_removed are replaced.
     """
-    blocks, levels = Blocks(docs, id_col, text_col, digest), levels_of(min_words, shortest)
-    last = len(levels) - 1
+    blocks, lengths = Blocks(docs, id_col, text_col, digest), levels_of(min_words, shortest)[:-1]
+    whole, single = len(lengths), len(lengths) + 1
 
-    def look(k: int):
+    def look(level: int):
         def ask(block: int, row: dict, replies: pa.Table | None = None) -> pa.Table:
             windows = Windows(row["digest"], min_words)
-            if k == 0:
-                keys, _, low, high = windows.first_level(levels[0])
-                return requests(block, k, keys, np.zeros(len(keys), np.uint32), low, high)
-            chosen = windows.survivors(replies, levels[:k])
-            if k < last:
-                keys, _, low, high = windows.level(levels[k], chosen)
-                return requests(block, k, keys, np.zeros(len(keys), np.uint32), low, high)
-            keys, more, _, low = windows.full_level(chosen)
-            return requests(block, k, keys, more, low, low)
+            chosen = windows.survivors(replies, lengths[:level])
+            if level < whole:
+                keys, _, low, high = extremes(windows.least_parts(lengths[level])[chosen], windows.doc[chosen])
+                return requests(block, level, keys, np.zeros(len(keys), np.uint32), low, high)
+            found = windows.segments(chosen)
+            if level == single:
+                chosen = chosen[~windows.later(chosen, found, replies, whole)]
+                found = windows.windows(chosen)
+            first, _, low = earliest(*found, windows.doc[chosen])
+            return requests(block, level, found[0][first], found[1][first], low, low)
 
         return ask
 
     def cut(block: int, row: dict, replies: pa.Table) -> pa.Table:
         table, windows = unframed(row["rows"]), Windows(row["digest"], min_words)
-        ahead = replies.filter(pa.compute.equal(replies["level"], last))
         gone = np.zeros(len(windows.h), bool)
         if len(replies):
-            chosen = windows.survivors(replies, levels[:last])
-            keys, more, which, least = windows.full_level(chosen)
-            place = places_of(keys, more, ahead["key"].to_numpy().view(np.uint64), ahead["more"].to_numpy().view(np.uint32))
-            least[place >= 0] = ahead["low"].to_numpy()[place[place >= 0]]
-            gone_at = windows.at[chosen][least[which] < windows.doc[chosen]]
+            chosen = windows.survivors(replies, lengths)
+            later = windows.later(chosen, windows.segments(chosen), replies, whole)
+            left = chosen[~later]
+            gone_at = windows.at[np.concatenate([chosen[later], left[windows.later(left, windows.windows(left), replies, single)]])]
             steps = np.zeros(len(windows.h) + 1, np.int64)
             np.add.at(steps, gone_at, 1)
             np.add.at(steps, gone_at + min_words, -1)
@@ -207,14 +229,14 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id
         return blocks.out(table, texts, _words=pa.array(windows.sizes, pa.int64()), _removed=pa.array(removed, pa.int64()))
 
     found = docs.sparkSession.createDataFrame([], "_block int, level int, key long, more int, low long")
-    for k in range(len(levels)):
-        asked = blocks.ask(look(k), ASKED, None if k == 0 else found, ("digest",)).repartition(blocks.tasks, "key", "more")
+    for level in range(single + 1):
+        asked = blocks.ask(look(level), ASKED, None if level == 0 else found, ("digest",)).repartition(blocks.tasks, "key", "more")
         key = Window.partitionBy("key", "more")
         met = asked.select("_block", "level", "key", "more", "low", F.min("low").over(key).alias("_least"), F.max("high").over(key).alias("_most"))
-        told = met.where(F.col("_least") < F.col("low") if k == last else F.col("_least") < F.col("_most"))
-        told = staged(told.select("_block", "level", "key", "more", F.col("_least").alias("low")), f"level-{levels[k]}")
+        told = met.where(F.col("_least") < (F.col("_most") if level < whole else F.col("low")))
+        told = staged(told.select("_block", "level", "key", "more", F.col("_least").alias("low")), f"level-{[*lengths, 'stretches', min_words][level]}")
         found = found.union(told)
-        if told.isEmpty():
+        if level < whole and told.isEmpty():
             break
     out = blocks.ask(cut, blocks.schema("_words long, _removed long"), found, ("rows", "digest"))
     return blocks.restore(out, {"_words": "n_words", "_removed": "n_removed"})

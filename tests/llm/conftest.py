@@ -23,3 +23,18 @@ def odd(documents):
     """Nulls in any column, empty and long texts, ties and repeated rows."""
     long = passage(3, 4000)
     return documents([(1, None), (2, ""), (3, " \n\t "), (None, passage(1, 60)), (5, long), (6, long), (7, passage(1, 60)), (7, passage(1, 60)), (8, "é\u2003\U0001f600 x\x00y \u00a0"), (9, "word"), (-4, passage(2, 55)), (10, passage(2, 55) + "\n" + passage(2, 55))])
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    """Writes rows as a table of a folder, and gives the folder and a connection that has the table as a view."""
+    import duckdb
+
+    c = duckdb.connect()
+
+    def make(name, rows, schema):
+        spark.createDataFrame(rows, schema).coalesce(2).write.parquet(f"{tmp_path}/{name}.parquet")
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+        return str(tmp_path), c
+
+    return make
