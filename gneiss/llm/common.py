@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gneiss.common import SALTS, look_up, new_path, numbered, release, salt, shared_dir, staged
+from gneiss.common import SALTS, bucketed, look_up, new_path, numbered, release, salt, shared_dir, staged
 
-__all__ = ["SALTS", "look_up", "new_path", "numbered", "release", "salt", "shared_dir", "staged"]
+__all__ = ["SALTS", "bucketed", "look_up", "new_path", "numbered", "release", "salt", "shared_dir", "staged"]
 
 #: Bytes of text of a block, and of a task's blocks; the number of tasks that Spark allows a bucketed table by default.
 BLOCK_BYTES, TASK_BYTES, MOST_TASKS = 2 << 20, 16 << 20, 100_000
@@ -209,10 +209,7 @@ class Blocks:
 
         dealt = with_block(own, "i", "t", self.blocks).mapInArrow(chunks, "_block int, chunk binary").repartition(self.tasks, "_block")
         merged = dealt.groupBy("_block").applyInArrow(merge, "_block int, rows binary, digest binary")
-        path = new_path(spark, "blocks")
-        name = path.rpartition("/")[2].replace("-", "_")
-        merged.write.format("parquet").option("compression", "uncompressed").bucketBy(self.tasks, "_block").sortBy("_block").option("path", path).saveAsTable(name)
-        self.table = spark.table(name)
+        self.table = bucketed(merged, "blocks", self.tasks, "_block")
 
     def ask(self, f, schema: str, replies: DataFrame | None = None, columns: tuple[str, ...] = ("rows",)) -> DataFrame:
         """f(number, row[, replies]) of each block: row has the columns of the block's row; replies have `_block`."""

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import mix
+from gneiss.llm.common import mix, staged
 
 #: Hashed n-gram features, and the lengths of n-grams in characters.
 FEATURES = 1 << 14
@@ -16,15 +16,23 @@ LENGTHS = (1, 2, 3)
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
     """A codeword of -1 and 1 for each of n languages: all different splits for up to five languages, else random
-    balanced bits, so many that codewords differ in a good part of them."""
+    balanced bits, of several draws those whose nearest codewords are furthest apart: a quarter of the bits at least."""
     if n == 1:
         return np.ones((1, 1), np.int8)
     if n <= 5:
         bits = [[1, *(1 if k >> j & 1 else -1 for j in range(n - 1))] for k in range(2 ** (n - 1) - 1)]
         return np.array(bits, np.int8).T
-    rng = np.random.default_rng(seed)
-    columns = [rng.permutation([1 if k < (n + 1) // 2 else -1 for k in range(n)]) for _ in range(max(15, int(10 * np.ceil(np.log2(n)))))]
-    return np.array(columns, np.int8).T
+    rng, size, best = np.random.default_rng(seed), max(15, int(10 * np.ceil(np.log2(n)))), (-1, None)
+    draws = 0
+    while draws < 20 or best[0] < size // 4:
+        draws += 1
+        codes = np.array([rng.permutation([1 if k < (n + 1) // 2 else -1 for k in range(n)]) for _ in range(size)], np.int16).T
+        apart = (size - codes @ codes.T) // 2
+        np.fill_diagonal(apart, size)
+        if apart.min() > best[0]:
+            best = (int(apart.min()), codes.astype(np.int8))
+        size += draws % 20 == 0  # more bits if so many draws were not enough
+    return best[1]
 
 
 def features(text: str, chunk: int = 1 << 20) -> np.ndarray:
@@ -50,11 +58,12 @@ def has_letter(text: str | None) -> bool:
     return text is not None and regex.search(r"\p{L}", text) is not None
 
 
-def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", smooth: float = 0.5) -> dict:
+def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", smooth: float = 0.5, most_languages: int = 1000) -> dict:
     """A model from all rows that have a language and a letter: {languages, codes, weights, bias, trust}.
 
     Each row's n-gram counts are summed by language, first in each task and then over all, so what comes to the driver
-    is FEATURES numbers a language however many rows there are. From these sums each bit of the code gets a binary
+    is FEATURES numbers a language however many rows there are, and more than most_languages different values of the column are an
+    error: it holds something else then. From these sums each bit of the code gets a binary
     classifier: the log odds of an n-gram among the languages with the bit set against the others. A bit's trust, the
     weight of its loss, is how far the two sides' n-grams differ (their Jensen-Shannon divergence).
     """
@@ -70,7 +79,10 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", smoot
             at = np.flatnonzero(counts)
             yield pa.record_batch({"lang": pa.array([lang] * len(at), pa.string()), "feature": pa.array(at, pa.int32()), "n": pa.array(counts[at], pa.int64())})
 
-    rows = own.mapInArrow(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).collect()
+    sums = staged(own.mapInArrow(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")), "features")
+    if sums.select("lang").distinct().limit(most_languages + 1).count() > most_languages:
+        raise ValueError(f"there are more than {most_languages} languages")
+    rows = sums.collect()
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return {"languages": []}

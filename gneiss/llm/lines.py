@@ -179,7 +179,7 @@ def of_kind(table: pa.Table, kind: int) -> pa.Table:
     return table.filter(pa.compute.equal(table["kind"], kind))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", min_exact: int | None = None, bound: int = 1) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", min_exact: int | None = None, bound: int = 1, prefix: str = "") -> DataFrame:
     """The documents' rows and columns, the text without near-repeated lines, and n_lines, n_removed_lines (long).
 
     A line, stripped of ASCII white space, with at least min_chars characters goes if an earlier such line, by
@@ -187,7 +187,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", te
     on the input. Shorter lines stay, as do rows without an id or a text. With min_exact, shorter lines with at least so
     many characters (1: all that aren't blank) go if an earlier line is equal. Ids may be of any type that has an order; rows
     with one id are in no order among themselves, but lines count by their number. Columns of the documents named n_lines or
-    n_removed_lines are replaced.
+    n_removed_lines are replaced; these names begin with prefix.
 
     1. Equal lines meet by their hash: a block asks once for each distinct line and is told the earliest. Of lines
     within one edit one half is equal, so it asks for halves too, and is told those that two lines have. 2. The
@@ -284,7 +284,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", te
         local = near.where(F.col("kind") == LOCAL).select("_block", "doc", "line").union(verified)
         told = told.union(local.select("_block", F.lit(LOCAL).alias("kind"), *nothing, "doc", "line"))
     out = blocks.ask(cut, blocks.schema("_lines long, _removed long"), told)
-    return blocks.restore(out, {"_lines": "n_lines", "_removed": "n_removed_lines"})
+    return blocks.restore(out, {"_lines": prefix + "n_lines", "_removed": prefix + "n_removed_lines"})
 
 
 def texts_of(rows: bytes, wanted: set[int]) -> dict[tuple[int, int], list[str]]:

@@ -44,17 +44,6 @@ def text_rules(text: Column) -> Column:
     return let(by_words, lambda b: F.struct(b["n_words"].cast("long").alias("n_words"), b["word_chars"].cast("long").alias("word_chars"), (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"), dup_lines.cast("long").alias("n_dup_lines"), b["n_repeat_words"].cast("long").alias("n_repeat_words")))
 
 
-def line_counts(docs: DataFrame, host: str, text: str) -> DataFrame:
-    """(host, line, n_texts, host_texts): in how many different texts of a host each normalised line stands.
-
-    A line is its words in lower case, as a hash. Exact copies of a text count once: copying is no sign of boilerplate.
-    """
-    lines = F.transform(F.filter(F.split(F.lower(text), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), line_hash)
-    each = docs.select(F.col(host).alias("host"), F.xxhash64(text).alias("content"), F.explode(F.array_distinct(lines)).alias("line"))
-    counts = each.distinct().groupBy("host", "line").agg(F.count("*").alias("n_texts"))
-    return counts
-
-
 def line_hash(line: Column) -> Column:
     return F.xxhash64(F.array_join(words_of(line), " "))
 
@@ -65,28 +54,37 @@ def without(text: Column, gone: Column) -> Column:
     return F.when(gone.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 10, max_repeat_percent: int = 20, min_texts: int = 20, max_share: float = 0.1, min_left: float = 0.5, enough_texts: int | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 10, max_repeat_percent: int = 20, min_texts: int = 20, max_share: float = 0.1, min_left: float = 0.5, enough_texts: int | None = None, prefix: str = "") -> DataFrame:
     """The documents' columns and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_words (long),
     base_failed, kept (boolean).
 
     base_failed: fewer than min_words words, or more than max_repeat_percent of them in 5-word windows found twice. A
     line that stands in more than min_texts and more than max_share of the different texts of its host is removed from
-    the text, as is one in more than enough_texts of them, if that is given, however many texts the host has; and a document of whose words less than min_left are left is rejected, so kept is false. The other values
-    are of the text as it was. Null hosts are one host. A null text has no words and fails. Line counts cover all
-    documents; per host and line they are summed before and after the shuffle, and a frequent line is joined by SALTS
-    tasks. Documents that lose words are joined as a broadcast up to a counted number of lines, by a shuffle beyond.
-    The documents' own columns keep their names.
+    the text, as is one in more than enough_texts of them, if that is given, however many texts the host has; and a document
+    of whose words less than min_left are left is rejected, so kept is false. The other values are of the text as it was. A line
+    is its words in lower case. Exact copies of a text count once: copying is no sign of boilerplate. Null hosts are one
+    host. A null text has no words and fails. Rows with one id and text are judged alike.
+
+    Texts are read twice: once for their lines, staged as narrow rows of hashes from which all counts come, and once for
+    the rules and the cut. Line counts cover all documents; per host and line they are summed before and after the shuffle, and a
+    frequent line is joined by SALTS tasks. Documents that lose words are joined as a broadcast up to a counted
+    number of lines, by a shuffle beyond. The documents' own columns keep their names and come first, but for those that have
+    the name of a result, which are replaced; results' names begin with prefix.
     """
-    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_d"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit("")).alias("_host"), F.col(f"`{host_col}`").isNull().alias("_no_host"))
-    marked = marked.withColumn("_key", F.xxhash64("_id", "_text")).withColumn("_host", F.struct("_no_host", "_host"))
-    lines = marked.select("_key", "_id", "_host", F.explode(F.transform(F.filter(F.split(F.lower("_text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: let(words_of(x), lambda w: F.struct(F.xxhash64(F.array_join(w, " ")).alias("line"), F.size(w).alias("n"))))).alias("l"))
-    lines = lines.select("_key", "_id", "_host", "l.line", "l.n", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).alias("_salt"))
-    counts = line_counts(marked.select("_host", "_text"), "_host", "_text").where(F.col("n_texts") > min_texts)
-    texts = marked.select("_host", F.xxhash64("_text").alias("content")).distinct().groupBy("_host").agg(F.count("*").alias("host_texts"))
-    frequent = counts.join(texts, counts["host"] == texts["_host"]).where((F.col("n_texts") > max_share * F.col("host_texts")) | (F.col("n_texts") > enough_texts if enough_texts is not None else F.lit(False)))
-    frequent = frequent.select("_host", "line", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
-    removed = lines.join(frequent, ["_host", "line", "_salt"]).groupBy("_key", "_id").agg(F.sum("n").alias("_removed"), F.collect_set("line").alias("_gone"))
-    copies = marked.groupBy("_key", "_id").agg(F.count("*").alias("_copies"))
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_d"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit("")).alias("_name"), F.col(f"`{host_col}`").isNull().alias("_no_host"))
+    marked = marked.withColumn("_content", F.xxhash64("_text")).withColumn("_key", F.xxhash64("_id", "_text"))
+    line_of = lambda x: let(words_of(x), lambda w: F.struct(F.xxhash64(F.array_join(w, " ")).alias("line"), F.size(w).alias("n")))
+    own_lines = F.transform(F.filter(F.split(F.lower("_text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), line_of)
+    rows = marked.select("_key", "_id", "_name", "_no_host", "_content", F.posexplode_outer(own_lines).alias("_at", "_l"))
+    lines = staged(rows.select("_key", "_id", "_name", "_no_host", "_content", F.coalesce("_at", F.lit(0)).alias("_at"), "_l.line", "_l.n"), "lines")
+    host = ["_name", "_no_host"]
+    texts = lines.where("_at = 0").select(*host, "_content").distinct().groupBy(*host).agg(F.count("*").alias("host_texts"))
+    counts = lines.where("line IS NOT NULL").select(*host, "line", "_content").distinct().groupBy(*host, "line").agg(F.count("*").alias("n_texts")).where(F.col("n_texts") > min_texts)
+    frequent = counts.join(texts, host).where((F.col("n_texts") > max_share * F.col("host_texts")) | (F.col("n_texts") > enough_texts if enough_texts is not None else F.lit(False)))
+    frequent = frequent.select(*host, "line", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
+    salted = lines.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)))
+    removed = salted.join(frequent, [*host, "line", "_salt"]).groupBy("_key", "_id").agg(F.sum("n").alias("_removed"), F.collect_set("line").alias("_gone"))
+    copies = lines.where("_at = 0").groupBy("_key", "_id").agg(F.count("*").alias("_copies"))
     removed = removed.join(copies, (removed["_key"] == copies["_key"]) & removed["_id"].eqNullSafe(copies["_id"]), "left").select(removed["_key"], removed["_id"], (F.col("_removed") / F.col("_copies")).cast("long").alias("_removed"), "_gone")
     removed = staged(removed, "removed")
     if (removed.agg(F.sum(F.size("_gone"))).first()[0] or 0) <= BROADCAST_ROWS:
@@ -96,8 +94,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     both = rules.join(removed, (rules["_key"] == removed["_key"]) & rules["_id"].eqNullSafe(removed["_id"]), "left")
     failed = (F.col("_r.n_words") < min_words) | (100 * F.col("_r.n_repeat_words") > max_repeat_percent * F.col("_r.n_words"))
     gone = F.coalesce("_removed", F.lit(0).cast("long"))
-    own = [without(F.col(f"_d.`{c}`"), F.col("_gone")).alias(c) if c == text_col else F.col(f"_d.`{c}`") for c in docs.columns]
-    return both.select(*own, "_r.*", gone.alias("n_removed_words"), failed.alias("base_failed"), (~failed & (F.col("_r.n_words") - gone >= min_left * F.col("_r.n_words"))).alias("kept"))
+    made = {**{c: F.col(f"_r.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}, "n_removed_words": gone, "base_failed": failed, "kept": ~failed & (F.col("_r.n_words") - gone >= min_left * F.col("_r.n_words"))}
+    made = {prefix + n: c for n, c in made.items()}
+    own = {c: without(F.col(f"_d.`{c}`"), F.col("_gone")) if c == text_col else F.col(f"_d.`{c}`") for c in docs.columns if c not in made}
+    return both.select(*(c.alias(n) for n, c in {**own, **made}.items()))
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

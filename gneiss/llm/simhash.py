@@ -15,6 +15,8 @@ PARTS = 4
 HOME, GUESTS = 8192, 1 << 18
 #: Numbers of 64 bits in the SimHash of a set.
 WIDE = 4
+#: Sets of a group of candidates that one task verifies against as many others.
+VERIFIED = 2048
 
 
 def fingerprint(text: bytes | None, shingle: int, chunk: int = 1 << 16) -> int:
@@ -256,16 +258,17 @@ def near_set_links(distinct: DataFrame, least: float) -> DataFrame:
     return dealt.repartition(n_parts(spark), "band", "h", "g").groupBy("band", "h", "g").applyInArrow(compare, "a long, b long")
 
 
-def similar_sets(nodes: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+def similar_sets(nodes: list[int], sets: list[np.ndarray], least: float, second: list[bool] | None = None) -> list[tuple[int, int]]:
     """(node, root) of the nodes that links of an exact Jaccard similarity of least or more join to a smaller one. Pairs that
-    are joined already are not verified."""
+    are joined already are not verified, and with second, which says what half a node is in, neither are pairs of one half."""
     order = np.argsort(np.array(nodes, np.int64))
     nodes, sets = [nodes[k] for k in order], [sets[k] for k in order]
+    half = None if second is None else np.array(second)[order]
     size, s, low = np.array([len(x) for x in sets]), np.stack([sketch(x) for x in sets]).T, np.arange(len(nodes))
     for k in range(len(nodes)):
         _, near = near_sketches(s[:, k : k + 1], size[k : k + 1], s[:, k + 1 :], size[k + 1 :], least)
         for j in (near + k + 1).tolist():
-            if low[k] == low[j]:
+            if low[k] == low[j] or half is not None and half[k] == half[j]:
                 continue
             both = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
             if both >= least * (size[k] + size[j] - both):
@@ -278,9 +281,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col
     more; component_id is the smallest id that can be reached, the row's own included.
 
     Equal sets are one node. Wide SimHashes of the sets are compared at a radius that pairs with a similarity of least
-    exceed once in some ten thousand; what they join is a group of candidates. A group's sets meet in one task,
-    which verifies near pairs by their exact similarity, so memory there is as large as the largest such group's
-    different sets, at 8 bytes a shingle.
+    exceed once in some ten thousand; what they join is a group of candidates. A group's sets are dealt into parts of
+    VERIFIED sets at most on average, and each pair of parts meets in a task, which verifies near pairs by their exact
+    similarity: so a task holds two parts, at 8 bytes a shingle, however large the group.
     """
     names = [f"s{k}" for k in range(WIDE)]
     kind = docs.schema[id_col].dataType.simpleString()
@@ -303,19 +306,19 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col
             yield pa.record_batch({"node": pa.array([node_of(x) for x in sets], pa.int64()), "set": pa.array([x.tobytes() for x in sets], pa.binary())})
 
     def verify(batches):
-        group, held = None, {}
+        unit, held = None, {}
         for batch in batches:
-            for top, node, raw in zip(batch["top"].to_pylist(), batch["node"].to_pylist(), batch["set"], strict=True):
-                if top != group and held:
-                    yield linked(held)
+            for top, x, y, g, node, raw in zip(*(batch[c].to_pylist() for c in ("top", "x", "y", "g", "node")), batch["set"], strict=True):
+                if (top, x, y) != unit and held:
+                    yield linked(held, unit)
                     held = {}
-                group = top
-                held[node] = np.frombuffer(raw.as_py(), np.uint64)
+                unit = top, x, y
+                held[node] = g != x, np.frombuffer(raw.as_py(), np.uint64)
         if held:
-            yield linked(held)
+            yield linked(held, unit)
 
-    def linked(held):
-        out = similar_sets(list(held), list(held.values()), least)
+    def linked(held, unit):
+        out = similar_sets(list(held), [s for _, s in held.values()], least, None if unit[1] == unit[2] else [h for h, _ in held.values()])
         return pa.record_batch({"node": pa.array([a for a, _ in out], pa.int64()), "root": pa.array([b for _, b in out], pa.int64())})
 
     own = staged(texts.mapInArrow(compute, f"_id {kind}, node long, n int, " + ", ".join(f"{x} long" for x in names)), "sketches")
@@ -324,8 +327,14 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col
     candidates = components(near_set_links(distinct, least)).withColumnRenamed("root", "top")
     wanted = staged(distinct.join(candidates, "node").select("node", "top", F.col("low").alias("_id")), "candidates")
     sets = texts.join(small(wanted.select("_id").distinct()), "_id", "left_semi").mapInArrow(whole, "node long, set binary")
-    groups = sets.join(small(wanted.select("node", "top")), "node")
-    found = staged(groups.repartition(n_parts(docs.sparkSession), "top").sortWithinPartitions("top").mapInArrow(verify, "node long, root long"), "similar")
+    sizes = wanted.groupBy("top", salt("node").alias("_salt")).count().groupBy("top").agg(F.ceil(F.sum("count") / VERIFIED).cast("int").alias("parts"))
+    dealt = look_up(wanted.select("node", "top"), "top", sizes, "node").withColumn("g", F.pmod(F.xxhash64(F.lit("part"), "node"), "parts").cast("int"))
+    dealt = staged(dealt.select("node", "top", "g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")), "parts")
+    groups = sets.join(small(dealt.select("node", "top", "g", F.least("g", "other").alias("x"), F.greatest("g", "other").alias("y"))), "node")
+    unit = ["top", "x", "y"]
+    found = staged(groups.repartition(n_parts(docs.sparkSession), *unit).sortWithinPartitions(*unit).mapInArrow(verify, "node long, root long"), "similar")
+    if not dealt.where("g <> other").isEmpty():  # parts of a group know some of its links each
+        found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     roots = distinct.join(found, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     least_id = roots.groupBy("root").agg(F.min("low").alias("component_id"))
     table = roots.join(least_id, "root").select("node", "component_id")

@@ -169,7 +169,7 @@ def requests(block: int, level: int, keys: np.ndarray, more: np.ndarray, low: np
     return pa.table({"_block": np.full(n, block, np.int32), "level": np.full(n, level, np.int32), "key": keys.view(np.int64), "more": more.view(np.int32), "low": low, "high": high})
 
 
-def dedup_substrings(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", keep_space: bool = True, shortest: int = 7) -> DataFrame:
+def dedup_substrings(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", keep_space: bool = True, shortest: int = 7, prefix: str = "") -> DataFrame:
     """The documents' rows and columns, the text without repeated passages, and n_words and n_removed (long).
 
     A word goes if a window of min_words consecutive words covers it whose words also stand in a row with a smaller id.
@@ -184,7 +184,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id
     Words are split at ASCII white space. White space between kept words stays as it is, or becomes one space each
     without keep_space. Null texts stay null and have no words; rows without an id stay whole and are no witnesses; rows with
     equal ids don't witness against each other. Ids may be of any type that has an order. Columns of the documents named
-    n_words or n_removed are replaced.
+    n_words or n_removed are replaced; these names begin with prefix.
     """
     blocks, lengths = Blocks(docs, id_col, text_col, digest), levels_of(min_words, shortest)[:-1]
     whole, single = len(lengths), len(lengths) + 1
@@ -239,7 +239,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id
         if level < whole and told.isEmpty():
             break
     out = blocks.ask(cut, blocks.schema("_words long, _removed long"), found, ("rows", "digest"))
-    return blocks.restore(out, {"_words": "n_words", "_removed": "n_removed"})
+    return blocks.restore(out, {"_words": prefix + "n_words", "_removed": prefix + "n_removed"})
 
 
 def without(text: bytes, gone: np.ndarray) -> bytes:

@@ -8,6 +8,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +29,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 COMPRESSED = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 100
+#: Records of an archive, its first one that describes it included; after so many the next archive begins.
+ARCHIVE_RECORDS = 1024
 
 
 def header_value(text: str | None, missing: str = "-") -> str:
@@ -47,8 +50,9 @@ def arc_start(version: int, name: str, date: str) -> bytes:
 
 
 def parse_arc(data: bytes) -> Iterator[dict]:
-    """The records of an ARC file after its version block, which says what fields a header line has. The declared
-    length, the last field, says where a record ends; so lines in the content are never taken for headers."""
+    """The version block of an ARC file, which says what fields a header line has, and its records. The declared
+    length, the last field, says where a record ends; so lines in the content are never taken for headers. Each has `at`, its
+    place in the file."""
     at, fields = 0, None
     while at < len(data):
         end = data.find(b"\n", at)
@@ -63,11 +67,12 @@ def parse_arc(data: bytes) -> Iterator[dict]:
             version, fields = int(said[0].split()[0]), said[1].split()
             if " ".join(fields) != ARC_FIELDS.get(version):
                 raise ValueError(f"not an ARC version block: {said[:2]}")
+            yield dict(zip(fields, values if len(values) == len(fields) else [*values[:4], *[""] * (len(fields) - 5), values[-1]], strict=True)) | {"version": version, "content": content, "at": at}
             at = end + 1 + len(content)
             continue
         if len(values) != len(fields):
             raise ValueError(f"an ARC header line of version {version} has {len(fields)} fields, not {len(values)}")
-        record = dict(zip(fields, values, strict=True)) | {"version": version}
+        record = dict(zip(fields, values, strict=True)) | {"version": version, "at": at}
         size = int(record["Archive-length"])
         record["content"] = data[end + 1 : end + 1 + size]
         if len(record["content"]) != size:
@@ -110,29 +115,34 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "20240101000000") -> None:
-    """Writes ARC files, one for each partition, those of even partitions in version 1 and of odd ones in version 2.
-    A record is an HTTP response with the html in UTF-8, and the id in a header of its own. Null html is empty."""
+    """Writes ARC files of ARCHIVE_RECORDS records each, those of even partitions in version 1 and of odd ones in version 2.
+    A record is an HTTP response with the html in UTF-8, and the id, of any type, as text in a header of its own. Null
+    html is empty, and a null id has no header. Version 2 says where in its file a record begins."""
     from pyspark import TaskContext
 
     def records(batches):
-        part = TaskContext.get().partitionId()
-        version = part % 2 + 1
-        name = f"part-{part}.arc"
-        yield pa.record_batch({"value": pa.array([arc_start(version, name, date).decode().removesuffix("\n")])})
+        part, at, number = TaskContext.get().partitionId(), 0, 0
+        version, name, offset = part % 2 + 1, "", 0
         for batch in batches:
             out = []
             for who, url, html in zip(*(batch[c].to_pylist() for c in ("id", "url", "html")), strict=True):
+                if at % ARCHIVE_RECORDS == 0:  # the sink begins a file with this row
+                    name, offset, number, at = f"part-{part}-{number}.arc", 0, number + 1, at + 1
+                    out.append(arc_start(version, name, date).removesuffix(b"\n"))
+                    offset += len(out[-1]) + 1
                 body = (html or "").encode()
-                http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\nX-Page-Id: {'' if who is None else who}\r\n\r\n".encode() + body
-                out.append(arc_record(version, header_value(url), "0.0.0.0", date, "text/html", http, name).decode())
-            yield pa.record_batch({"value": pa.array(out, pa.string())})
+                mark = b"" if who is None else f"X-Page-Id: {quote(who, safe='')}\r\n".encode()
+                http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n".encode() + mark + b"\r\n" + body
+                out.append(arc_record(version, header_value(url), "0.0.0.0", date, "text/html", http, name, offset))
+                offset, at = offset + len(out[-1]) + 1, at + 1
+            yield pa.record_batch({"value": pa.array([x.decode() for x in out], pa.string())})
 
-    own = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
-    own.mapInArrow(records, "value string").write.options(**COMPRESSED, lineSep="\n").text(path)
+    own = pages.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
+    own.mapInArrow(records, "value string").write.options(**COMPRESSED, lineSep="\n", maxRecordsPerFile=ARCHIVE_RECORDS).text(path)
 
 
 def files(spark, path: str) -> DataFrame:
-    """The bytes of each file; files are as large as the partitions that wrote them."""
+    """The bytes of each file; files have ARCHIVE_RECORDS records at most."""
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
@@ -158,37 +168,47 @@ def rows_of(parse, schema: pa.Schema, rows: int = 256):
     return run
 
 
-ARC_SCHEMA = pa.schema({"url": pa.string(), "ip": pa.string(), "date": pa.string(), "kind": pa.string(), "version": pa.int32(), "page": pa.int64(), "size": pa.int64(), "payload_digest": pa.string(), "content": pa.binary()})
+ARC_SCHEMA = pa.schema({"url": pa.string(), "ip": pa.string(), "date": pa.string(), "kind": pa.string(), "version": pa.int32(), "file": pa.string(), "at": pa.int64(), "page": pa.string(), "size": pa.int64(), "payload_digest": pa.string(), "content": pa.binary()})
+FILEDESC = "filedesc://"
 
 
 def read_arc(spark, path: str, packed: bool = False) -> DataFrame:
-    """(url, ip, date, kind, version, page, size, payload_digest, content): the records of ARC files; content is the HTTP
-    response, as a zstd frame if packed, page its X-Page-Id, size and payload_digest those of its body."""
+    """(url, ip, date, kind, version, file, at, page, size, payload_digest, content): the records of ARC files, version blocks
+    among them; file is the name that the version block gives, and at the place in it. content is the HTTP response, as
+    a zstd frame if packed, page its X-Page-Id as text, size and payload_digest those of its body."""
 
     def parse(data: bytes):
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=1).compress if packed else bytes
+        pack, file = zstandard.ZstdCompressor(level=1).compress if packed else bytes, None
         for r in parse_arc(data):
-            head, body = http_parts(r["content"])
-            page = re.search(rb"(?i)\r\nX-Page-Id: ?(-?\d+)", head)
-            yield (r["URL"], r["IP-address"], r["Archive-date"], r["Content-type"], r["version"], int(page[1]) if page else None, len(body), hashlib.sha256(body).hexdigest(), pack(r["content"]))
+            about = r["URL"].startswith(FILEDESC)
+            file = r["URL"].removeprefix(FILEDESC) if about else file
+            head, body = (b"", r["content"]) if about else http_parts(r["content"])
+            page = re.search(rb"(?i)\r\nX-Page-Id:[ ]?([^\r\n]*)", head)
+            yield (r["URL"], r["IP-address"], r["Archive-date"], r["Content-type"], r["version"], file, r["at"], unquote(page[1].decode()) if page else None, len(body), hashlib.sha256(body).hexdigest(), pack(r["content"]))
 
-    return files(spark, path).mapInArrow(rows_of(parse, ARC_SCHEMA), "url string, ip string, date string, kind string, version int, page long, size long, payload_digest string, content binary")
+    return files(spark, path).mapInArrow(rows_of(parse, ARC_SCHEMA), "url string, ip string, date string, kind string, version int, file string, at long, page string, size long, payload_digest string, content binary")
 
 
-def arc_to_warc(arc: DataFrame, path: str) -> None:
+def arc_to_warc(arc: DataFrame, path: str, page_type: str = "long") -> None:
     """Writes the WARC equivalents of ARC records (the columns of read_arc, packed).
 
-    The record id, date, types and digests, which ARC lacks, are made from the record. Of records with equal payloads
-    of at least LEAST_REVISIT bytes the one with the smallest X-Page-Id stays a response, and the others become
-    revisits that refer to it and keep the HTTP header alone. Digests are grouped before the shuffle and joined
-    by several tasks for a digest, so a payload in very many records is no task's alone. Records without a page id come
-    after all others.
+    The record id, date, types and digests, which ARC lacks, are made from the record and its place. A version block becomes
+    a warcinfo record, which the records of its file refer to. Of records with equal payloads of at least LEAST_REVISIT
+    bytes the one with the smallest X-Page-Id, taken as a page_type, stays a response, and the others become revisits that
+    refer to it and keep the HTTP header alone; records with the same page id as that one are responses as well.
+    Records without a page id come after all others; if all lack one, the one first by url, date, file and place is the
+    response, and the others revisit it. Digests are grouped before the shuffle and joined by several tasks for a digest,
+    so a payload in very many records is no task's alone.
     """
-    slim = arc.where(F.col("size") >= LEAST_REVISIT).select("payload_digest", "page", "url", "date")
-    firsts = slim.groupBy("payload_digest").agg(F.min(F.struct(F.col("page").isNull().alias("none"), "page", "url", "date")).alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "first")
-    marked = look_up(arc, "payload_digest", firsts, "page")
+    whose = F.struct(F.col("page").isNull().alias("none"), F.col("page").cast(page_type).alias("order"), "page", "url", "date", "file", "at")
+    slim = arc.where((F.col("size") >= LEAST_REVISIT) & ~F.col("url").startswith(FILEDESC)).select("payload_digest", whose.alias("first"))
+    firsts = slim.groupBy("payload_digest").agg(F.min("first").alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "first")
+    marked = look_up(arc.withColumn("_place", F.xxhash64("file", "at")), "payload_digest", firsts, "_place")
+
+    def identity(r: dict, digest: str) -> str:
+        return warc_id(r["url"], r["date"], r["file"], str(r["at"]), digest)
 
     def records(batches):
         import zstandard
@@ -197,46 +217,60 @@ def arc_to_warc(arc: DataFrame, path: str) -> None:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                date, first = warc_date(r["date"]), r["first"]
-                revisit = first is not None and r["size"] >= LEAST_REVISIT and first["page"] != r["page"]
-                whole = unpacked(r["content"])
+                date, first, whole = warc_date(r["date"]), r["first"], unpacked(r["content"])
+                info = warc_id(FILEDESC, r["file"])
+                if r["url"].startswith(FILEDESC):
+                    head = [WARC_VERSION, "WARC-Type: warcinfo", f"WARC-Record-ID: {info}", f"WARC-Date: {date}", f"WARC-Filename: {r['file']}", f"Content-Type: {r['kind']}", f"WARC-Block-Digest: sha256:{hashlib.sha256(whole).hexdigest()}", f"Content-Length: {len(whole)}"]
+                    out.append("\r\n".join(head) + END + whole.decode())
+                    continue
+                same = first is not None and (first["page"] == r["page"] if r["page"] is not None else (first["file"], first["at"]) == (r["file"], r["at"]))
+                revisit = first is not None and r["size"] >= LEAST_REVISIT and not same
                 block = http_parts(whole)[0] if revisit else whole
-                head = [WARC_VERSION, f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {warc_id(r['url'], r['date'], str(r['page']), r['payload_digest'])}", f"WARC-Date: {date}", f"WARC-Target-URI: {r['url']}", f"WARC-IP-Address: {r['ip']}", "Content-Type: application/http; msgtype=response", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", f"WARC-Payload-Digest: sha256:{r['payload_digest']}", f"Content-Length: {len(block)}"]
+                head = [WARC_VERSION, f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {identity(r, r['payload_digest'])}", f"WARC-Warcinfo-ID: {info}", f"WARC-Date: {date}", f"WARC-Target-URI: {r['url']}", f"WARC-IP-Address: {r['ip']}", "Content-Type: application/http; msgtype=response", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", f"WARC-Payload-Digest: sha256:{r['payload_digest']}", f"Content-Length: {len(block)}"]
                 if revisit:
-                    head += [f"WARC-Refers-To: {warc_id(first['url'], first['date'], str(first['page']), r['payload_digest'])}", f"WARC-Refers-To-Target-URI: {first['url']}", f"WARC-Refers-To-Date: {warc_date(first['date'])}", f"WARC-Profile: {REVISIT_PROFILE}", f"X-Refers-To-Page-Id: {first['page']}"]
+                    head += [f"WARC-Refers-To: {identity(first, r['payload_digest'])}", f"WARC-Refers-To-Target-URI: {first['url']}", f"WARC-Refers-To-Date: {warc_date(first['date'])}", f"WARC-Profile: {REVISIT_PROFILE}", *([] if first["page"] is None else [f"X-Refers-To-Page-Id: {quote(first['page'], safe='')}"])]
                 out.append("\r\n".join(head) + END + block.decode())
             yield pa.record_batch({"value": pa.array(out, pa.string())})
 
-    marked.select("url", "ip", "date", "content", "payload_digest", "page", "size", "first").mapInArrow(records, "value string").write.options(**COMPRESSED, lineSep=END).text(path)
+    own = marked.select("url", "ip", "date", "kind", "file", "at", "content", "payload_digest", "page", "size", F.col("first").dropFields("order").alias("first"))
+    own.mapInArrow(records, "value string").write.options(**COMPRESSED, lineSep=END, maxRecordsPerFile=ARCHIVE_RECORDS).text(path)
 
 
-WARC_SCHEMA = pa.schema({"record_id": pa.string(), "record_type": pa.string(), "url": pa.string(), "date": pa.string(), "page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()})
+WARC_SCHEMA = pa.schema({"record_id": pa.string(), "record_type": pa.string(), "url": pa.string(), "date": pa.string(), "page_id": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to": pa.string(), "payload": pa.binary(), "warcinfo": pa.string()})
 
 
 def read_warc(spark, path: str, payloads: bool = True) -> DataFrame:
-    """(record_id, record_type, url, date, page_id, payload_bytes, payload_digest, refers_to, payload): the records of
+    """(record_id, record_type, url, date, page_id, payload_bytes, payload_digest, refers_to, payload, warcinfo): the records of
     WARC files; a revisit has no payload, and its length is that of its HTTP header. Every payload is checked against its
-    digest; without payloads the column is null."""
+    digest; without payloads the column is null. Of a warcinfo record url is the name of the archive that it describes, and payload
+    its text. Records that another program wrote may lack page ids, digests and HTTP lengths, which are null then."""
 
     def parse(data: bytes):
         for h, block in parse_warc(data):
+            kind = h["warc-type"]
+            if kind == "warcinfo":
+                yield (h["warc-record-id"], kind, h.get("warc-filename"), h["warc-date"], None, len(block), None, None, block if payloads else None, None)
+                continue
             head, body = http_parts(block)
             http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
-            whole, digest, refers = h["warc-type"] == "response", h["warc-payload-digest"].removeprefix("sha256:"), h.get("x-refers-to-page-id")
-            if whole and hashlib.sha256(body).hexdigest() != digest:
+            whole, digest, refers = kind == "response", h.get("warc-payload-digest", "").removeprefix("sha256:") or None, h.get("x-refers-to-page-id")
+            if whole and digest and hashlib.sha256(body).hexdigest() != digest:
                 raise ValueError(f"the payload of {h['warc-record-id']} isn't what its digest says")
-            yield (h["warc-record-id"], h["warc-type"], h["warc-target-uri"], h["warc-date"], int(http["x-page-id"]) if http.get("x-page-id") else None, len(body) if whole else int(http["content-length"]), digest, int(refers) if refers and refers != "None" else None, body if whole and payloads else None)
+            size = len(body) if whole else int(http["content-length"]) if "content-length" in http else None
+            yield (h["warc-record-id"], kind, h.get("warc-target-uri"), h["warc-date"], unquote(http["x-page-id"]) if "x-page-id" in http else None, size, digest, None if refers is None else unquote(refers), body if whole and payloads else None, h.get("warc-warcinfo-id"))
 
-    return files(spark, path).mapInArrow(rows_of(parse, WARC_SCHEMA), "record_id string, record_type string, url string, date string, page_id long, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    return files(spark, path).mapInArrow(rows_of(parse, WARC_SCHEMA), "record_id string, record_type string, url string, date string, page_id string, payload_bytes long, payload_digest string, refers_to string, payload binary, warcinfo string")
 
 
-def convert_pages(pages: DataFrame, payloads: bool = True, **columns: str) -> DataFrame:
-    """Pages to ARC files, these to WARC files, and what read_warc finds in them. The files are in the shared folder."""
-    spark = pages.sparkSession
+def convert_pages(pages: DataFrame, payloads: bool = True, id_col: str = "page_id", **columns: str) -> DataFrame:
+    """Pages to ARC files, these to WARC files, and the responses and revisits that read_warc finds in them, with page_id and
+    refers_to of the id's type. The files are in the shared folder."""
+    spark, kind = pages.sparkSession, pages.schema[id_col].dataType.simpleString()
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
-    write_arc(pages, arc, **columns)
-    arc_to_warc(read_arc(spark, arc, packed=True), warc)
-    return read_warc(spark, warc, payloads)
+    write_arc(pages, arc, id_col, **columns)
+    arc_to_warc(read_arc(spark, arc, packed=True), warc, kind)
+    out = read_warc(spark, warc, payloads).where("record_type <> 'warcinfo'")
+    return out.withColumn("page_id", F.col("page_id").cast(kind)).withColumn("refers_to", F.col("refers_to").cast(kind))
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:

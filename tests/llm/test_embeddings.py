@@ -37,5 +37,38 @@ def test_random_vectors_with_copies_and_a_hot_label(spark):
         assert found(spark, rows, 0.93, tile=tile) == brute([(i, np.array(v, "float32").tolist(), l) for i, v, l in rows], 0.93)
 
 
+def test_repeated_rows_and_ids_of_another_type(spark):
+    rows = [("b", [1.0, 0.0], 1), ("b", [1.0, 0.0], 1), ("a", [2.0, 0.1], 1), ("c", [0.0, 1.0], 1), ("c", [1.0, 0.0], 1), ("d", [1e-200, 0.0], 1), ("e", [0.0, 1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>, label int")
+    out = sorted(tuple(r) for r in near_embeddings(df).collect())
+    assert out == [("a", 3, "a", True), ("b", 3, "a", False), ("b", 3, "a", False), ("c", 1, "c", True), ("c", 3, "a", False), ("d", 3, "a", False), ("e", 1, "c", False)]
+
+
+def test_pairs_around_the_threshold(spark):
+    """Vectors of one plane a fraction of a degree apart: most cosines are within what int8 leaves open."""
+    rng, turn = np.random.default_rng(5), np.arccos(0.93)
+    rows = []
+    for k in range(240):
+        angle = turn * (k % 3) + rng.normal() * 1e-4
+        v = np.zeros(16)
+        v[k % 2 * 5], v[k % 2 * 5 + 1] = np.cos(angle), np.sin(angle)
+        rows.append((k, (v * rng.uniform(0.1, 9)).astype("float32").tolist(), 1))
+    for tile in (50, 2048):
+        out = found(spark, rows, 0.93, tile=tile)
+        assert out == brute([(i, np.array(v, "float32").tolist(), l) for i, v, l in rows], 0.93)
+    assert len({r[1] for r in out}) > 20
+
+
+def test_table_with_links(spark, tables):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(5, 12))
+    rows = [(k, (centres[k % 5] + rng.normal(size=12) * 0.3).astype("float32").tolist(), k % 3 or None) for k in range(150)]
+    rows += [(200 + k, rows[k][1], rows[k][2]) for k in range(40)]
+    folder, c = tables("embeddings", rows, "vec_id long, embedding array<float>, label int")
+    out = op9_embeddings(spark, folder)
+    same(out, c, OP9_SQL)
+    assert out.where("n_links > 3").count() > 50 and out.where("NOT kept").count() > 50
+
+
 def test_whole_table(spark, sf):
     same(op9_embeddings(spark, sf), connection(sf), OP9_SQL)

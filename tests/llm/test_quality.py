@@ -49,6 +49,23 @@ def test_frequent_lines_are_cut_from_the_text(spark, tmp_path):
     assert stage == {k: (now[k], len(now[k])) for k in (*range(60), *range(200, 205), *range(300, 350), 403)}
 
 
+def test_clashing_names_and_ids_of_another_type(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([("a", text, "h", 3, True, 7), ("b", "x", "h", 1, True, 7)], "doc_id string, text string, source string, n_words long, kept boolean, n_chars long")
+    out = quality_rules(docs)
+    assert len(set(out.columns)) == len(out.columns) and {(r["doc_id"], r["n_words"], r["kept"]) for r in out.collect()} == {("a", 20, True), ("b", 1, False)}
+    stage = corpus_pipeline.quality(spark, docs, "")
+    assert stage.columns == docs.columns and [(r["doc_id"], r["n_words"], r["n_chars"]) for r in stage.collect()] == [("a", 3, len(text))]
+
+
+def test_one_scan_for_lines_and_one_for_rules(spark, tmp_path):
+    docs = spark.read.parquet(table(spark, tmp_path) + "/documents.parquet")
+    plan = quality_rules(docs)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("text:string") == 1 and "Python" not in plan and "InArrow" not in plan
+
+
 def test_whole_table(spark, sf):
     same(op5_quality(spark, sf), connection(sf), OP5_SQL)
 

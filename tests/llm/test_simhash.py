@@ -61,7 +61,9 @@ def test_links_join_all_pairs_within_the_radius(spark, monkeypatch, home, guests
     assert roots(links) == roots(true)
 
 
-def test_similar_groups_reach_all_similar_texts(documents):
+@pytest.mark.parametrize("verified", [2048, 3])
+def test_similar_groups_reach_all_similar_texts(documents, monkeypatch, verified):
+    monkeypatch.setattr(simhash, "VERIFIED", verified)
     rng, rows = random.Random(9), []
     for k in range(40):
         words = [f"w{rng.randrange(500)}" for _ in range(rng.choice((12, 40, 150, 700)))]

@@ -1,6 +1,10 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from gneiss.llm.urls import OP7_SQL, RULES, filter_urls, op7_urls
+from tests.llm.test_common import roots
 from tests.oracle import connection, same
 
 
@@ -40,5 +44,37 @@ def test_rules_and_aliases(spark):
     assert blocked["verdict"] == "block" and blocked["component"] == "http://e.info/"
 
 
+def link_graph(seed):
+    """Pages that name others as canonical: chains, cycles, stars, with allowed, blocked and other URLs in one component."""
+    rng = random.Random(seed)
+    urls = [f"http://h{k}.{rng.choice(['info', 'info', 'example.com', 'com', 'net', 'org', 'example.net'])}/{rng.choice(['en/7', 'en/1', 'de/8', 'de/2', 'es/1', 'x'])}/{k}" for k in range(60)]
+    links = [(k, (k + 1) % 6) for k in range(6)] + [(k, 10) for k in range(11, 16)]
+    links += [(rng.randrange(60), rng.randrange(60)) for _ in range(rng.randrange(10, 50))]
+    pages = [(k, u, "".join(f'<link rel="canonical" href="{urls[b]}">' for a, b in links if a == k)) for k, u in enumerate(urls)]
+    return pages, links
+
+
+def plain_rule(url):
+    host, _, path = url.partition("://")[2].partition("/")
+    fits = [(len(h + p), h + p, v) for h, p, v in RULES if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+    return max(fits)[1:] if fits else (None, None)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_random_link_graphs(spark, tables, seed):
+    pages, links = link_graph(seed)
+    folder, c = tables("pages", pages, "page_id long, url string, html string")
+    out = op7_urls(spark, folder)
+    same(out, c, OP7_SQL)
+    root, verdicts = roots([x for x in links if x[0] != x[1]]), {}
+    for k, url, _ in pages:
+        verdicts.setdefault(root.get(k, k), set()).add(plain_rule(url)[1])
+    for r in out.collect():
+        rule, verdict = plain_rule(pages[r["page_id"]][1])
+        around = verdicts[root.get(r["page_id"], r["page_id"])]
+        assert (r["rule"], r["verdict"]) == (rule, verdict or ("allow" if "allow" in around else "block" if "block" in around else "allow"))
+    assert any(v >= {"allow", "block"} for v in verdicts.values())
+
+
 def test_whole_table(spark, sf):
     same(op7_urls(spark, sf), connection(sf), OP7_SQL)
