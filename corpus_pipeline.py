@@ -15,6 +15,8 @@ from gneiss.llm.substrings import dedup_substrings
 
 #: A line in more different texts of a host than this is boilerplate, however large the host.
 ENOUGH_TEXTS = 40
+#: What the names of the operators' results begin with, so that no column of the documents is taken for one.
+OWN = "_stage_"
 
 
 def columns(docs: DataFrame) -> list[str]:
@@ -29,13 +31,13 @@ def as_documents(out: DataFrame, docs: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without lines that are frequent on their host. Empty input gives empty
     output, here and below."""
-    return as_documents(quality_rules(docs, enough_texts=ENOUGH_TEXTS).where("kept"), docs)
+    return as_documents(quality_rules(docs, enough_texts=ENOUGH_TEXTS, prefix=OWN).where(f"{OWN}kept"), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without lines that an earlier line is within one edit of; lines under 20 characters go if an
     earlier one is equal, and blank ones stay."""
-    return as_documents(dedup_lines(docs, min_exact=1), docs)
+    return as_documents(dedup_lines(docs, min_exact=1, prefix=OWN), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +50,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without passages of 50 words or more that a document with a smaller id has."""
-    return as_documents(dedup_substrings(docs), docs)
+    return as_documents(dedup_substrings(docs, prefix=OWN), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where the pieces of the documents go in sequences of 2048 tokens."""
+    """Where the pieces of the documents go in sequences of 2048 tokens; null texts are empty, and empty input gives none."""
     import public_tokenizers
 
     return pack_best_fit(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)

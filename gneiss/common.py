@@ -47,6 +47,8 @@ def delete(spark: SparkSession, path: str) -> bool:
 def release(spark: SparkSession) -> None:
     """Deletes what this process has staged in the shared folder. Only when no result that was made from it is read any
     more; operators can't know when that is."""
+    for table in _held.pop("tables", []):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     for path in _held.pop("paths", []):
         delete(spark, path)
 
@@ -58,6 +60,16 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, what: str, buckets: int, key: str) -> DataFrame:
+    """The same as a table with a file for each bucket of a key: joins and groupings by it don't shuffle these rows again. df is
+    already dealt by the key to as many partitions, and its rows are compressed."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, what)
+    name = path.rpartition("/")[2].replace("-", "_")
+    _held.setdefault("tables", []).append(name)
+    df.write.format("parquet").option("compression", "uncompressed").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def salt(column: str | Column, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(F.lit("salt"), column), F.lit(salts)).cast("int")
 

@@ -75,23 +75,22 @@ class Catalog:
     def parts(self, name: str) -> list[str]:
         """The folders of the complete inserts; those of a snapshot that was loaded are the snapshot's own."""
         folder = f"{self._folder(name)}/rows"
-        linked = json.loads(self._read_text(f"{self._folder(name)}/_table.json"))["parts"]
         own = [f"{folder}/{n}" for n in self._list(folder)]
-        return [*linked, *(p for p in own if self._fs(x := self._path(p, "_SUCCESS")).exists(x))]
+        return [*self._linked(name), *(p for p in own if self._fs(x := self._path(p, "_SUCCESS")).exists(x))]
 
     # Definition
 
-    def create(self, table: str | TableSpec, parts: list[str] | None = None) -> TableSpec:
+    def create(self, table: str | TableSpec, parts: list[str] | None = None, index: str | None = None) -> TableSpec:
         spec = parse_ddl(table) if isinstance(table, str) else table.check()
         path = f"{self._folder(spec.name)}/_table.json"
         if self._read_text(path) is not None:
             raise CatalogError(f"{spec.name} already exists")
-        self._write_text(path, self._said(spec, parts or []))
+        self._write_text(path, self._said(spec, parts or [], index))
         return spec
 
     @staticmethod
-    def _said(spec: TableSpec, parts: list[str]) -> str:
-        return json.dumps({"name": spec.name, "schema": spec.schema.jsonValue(), "options": spec.options, "parts": parts})
+    def _said(spec: TableSpec, parts: list[str], index: str | None = None) -> str:
+        return json.dumps({"name": spec.name, "schema": spec.schema.jsonValue(), "options": spec.options, "parts": parts, "index": index})
 
     def drop(self, name: str) -> None:
         """Forgets a table and deletes its files."""
@@ -268,10 +267,21 @@ class Catalog:
         return counts.agg(F.sum("total").alias("total"), F.sum("indexed").alias("indexed"))
 
     def build_index(self, name: str, **how) -> vectors.CellIndex:
-        """An inverted file over a table's vectors, written beside its rows."""
+        """An inverted file over a table's vectors, written beside its rows, in place of one that the table had."""
         spec = self.spec(name)
         index = vectors.CellIndex(self.table(name), vector=self._column(spec), tie=spec.schema.names[0], metric=spec.metric, **how)
-        return index.write(f"{self._folder(name)}/_index-{uuid.uuid4().hex}")
+        index.write(f"{self._folder(name)}/_index-{uuid.uuid4().hex}")
+        self._write_text(f"{self._folder(name)}/_table.json", self._said(spec, self._linked(name), index.path))
+        return index
+
+    def index(self, name: str) -> vectors.CellIndex | None:
+        """The table's index as it was built, or None. Rows inserted since are found after index.add(rows)."""
+        self.spec(name)
+        path = json.loads(self._read_text(f"{self._folder(name)}/_table.json"))["index"]
+        return None if path is None else vectors.CellIndex.open(self.spark, path)
+
+    def _linked(self, name: str) -> list[str]:
+        return json.loads(self._read_text(f"{self._folder(name)}/_table.json"))["parts"]
 
     def is_indexing(self, name: str) -> bool:
         """Never: every row is found as soon as it is in."""
@@ -281,17 +291,20 @@ class Catalog:
     # Snapshots
 
     def save(self, path: str) -> None:
-        """All tables to path, in the layout they have here; the manifest is written last, so a folder without one is no
-        snapshot."""
+        """All tables and their indexes to path, in the layout they have here; the manifest is written last, so a folder without
+        one is no snapshot."""
         path, saved = path.rstrip("/"), []
         for name in self.names():
             spec, to = self.spec(name), f"{path}/{quote(name, safe='')}/rows/_insert={uuid.uuid4().hex}"
             self._write(spec, self.table(name), to)
-            saved.append(json.loads(self._said(spec, [to.removeprefix(f"{path}/")])))
+            index = self.index(name)
+            kept = None if index is None else index.write(f"{path}/{quote(name, safe='')}/_index-{uuid.uuid4().hex}").path
+            saved.append(json.loads(self._said(spec, [to.removeprefix(f"{path}/")], kept and kept.removeprefix(f"{path}/"))))
         self._write_text(f"{path}/_manifest.json", json.dumps(saved))
 
     def load(self, path: str) -> None:
-        """The tables of a snapshot, in place of those here. Their rows are read where they are: none is copied."""
+        """The tables and indexes of a snapshot, in place of those here. They are read where they are: nothing is copied, and no
+        index is built anew."""
         path = path.rstrip("/")
         text = self._read_text(f"{path}/_manifest.json")
         if text is None:
@@ -299,7 +312,7 @@ class Catalog:
         for name in self.names():
             self.drop(name)
         for said in json.loads(text):
-            self.create(TableSpec(said["name"], T.StructType.fromJson(said["schema"]), said["options"]), [f"{path}/{p}" for p in said["parts"]])
+            self.create(TableSpec(said["name"], T.StructType.fromJson(said["schema"]), said["options"]), [f"{path}/{p}" for p in said["parts"]], said["index"] and f"{path}/{said['index']}")
 
 
 def rename(e, names: dict[str, str]):

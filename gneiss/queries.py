@@ -12,7 +12,7 @@ from gneiss.functions import geo, keys, lists, strings
 from gneiss.functions.registry import Functions, Scripts, evaluate
 from gneiss.operators import counters, ranked, sets, sorting, vectors
 from gneiss.plans.filters import RS, parse_filter, select_list, to_column
-from gneiss.sources.rows import from_text, segment_id, segment_runs
+from gneiss.sources.rows import batch_to_json, from_ipc, from_text, segment_id, segment_runs, to_ipc, to_json, to_markdown
 from gneiss.streaming import logs
 from gneiss.streaming.groups import sessions, windowed
 
@@ -78,7 +78,7 @@ query("filter_timestamp", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TI
 query("segment_scan", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'", lambda t: in_segments(t.orders, ["o_orderstatus"], "o_orderkey, o_orderstatus", "o_orderstatus = 'F'"))
 query("segment_prune_multi", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '2-HIGH' AND o_totalprice > 100000", lambda t: in_segments(t.orders, ["o_orderstatus", "o_orderpriority"], "o_orderkey", "o_orderstatus = 'O' AND o_orderpriority = '2-HIGH' AND o_totalprice > 100000"))
 query("segment_ids", "SELECT concat_ws(chr(30), o_orderstatus, o_orderpriority) AS segment_id, count(*)::BIGINT AS n FROM orders GROUP BY ALL", lambda t: t.orders.groupBy(segment_id(["o_orderstatus", "o_orderpriority"]).alias("segment_id")).agg(F.count("*").alias("n")))
-query("segment_runs", "SELECT l_orderkey, l_linenumber, sum(c) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey)::BIGINT AS run FROM (SELECT *, CASE WHEN lag(l_returnflag) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) IS DISTINCT FROM l_returnflag AND row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) > 1 THEN 1 ELSE 0 END AS c FROM lineitem)", lambda t: segment_runs(t.lineitem, ["l_returnflag"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], F.floor(F.col("l_orderkey") / 256)).select("l_orderkey", "l_linenumber", "run"))
+query("segment_runs", "SELECT l_orderkey, l_linenumber, sum(c) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey)::BIGINT AS run FROM (SELECT *, CASE WHEN lag(l_returnflag) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) IS DISTINCT FROM l_returnflag AND row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) > 1 THEN 1 ELSE 0 END AS c FROM lineitem)", lambda t: segment_runs(t.lineitem, ["l_returnflag"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "run"))
 query("row_text", "SELECT n_nationkey::BIGINT AS id, n_name AS name, [n_name, 'x'] AS tags FROM nation", lambda t: rows_of_text(t))
 query("indexed_count", "SELECT count(*)::BIGINT AS total, count(embedding)::BIGINT AS indexed FROM embeddings", lambda t: vector_table(t).indexed_count("vectors"))
 query("indexed_count_of_nodes", "SELECT count(*)::BIGINT AS total, count(embedding)::BIGINT AS indexed FROM embeddings", lambda t: vector_nodes(t).indexed_counts(["n0", "n1", "n2"]))
@@ -218,7 +218,15 @@ query("set_ismember", f"SELECT c_custkey AS member, (c_custkey IN ({P_}))::INTEG
 query("set_add_remove", f"({F_} UNION {P_}) EXCEPT SELECT c_custkey FROM customer WHERE c_custkey < 100", lambda t: sets.remove(sets.add(customers(t, "F"), customers(t, "P")), t.customer.where("c_custkey < 100").select(F.col("c_custkey").alias("member"))))
 query("set_move", f"SELECT member FROM ({P_}) UNION SELECT member FROM ({F_}) WHERE member < 200", lambda t: sets.move(customers(t, "F"), customers(t, "P"), t.customer.where("c_custkey < 200").select(F.col("c_custkey").alias("member")))[1])
 query("set_scan_match", "SELECT DISTINCT p_name AS member FROM part WHERE regexp_matches(p_name, '^[a-g].*e$')", lambda t: sets.members(t.part, "p_name").where(sets.matches("member", "[a-g]*e")))
-query("set_random_members", None, lambda t: sets.random_members(customers(t, "F"), 10))
+query("set_random_members", f"SELECT 10::BIGINT AS n, 10::BIGINT AS different, 10::BIGINT AS members FROM ({F_}) HAVING count(DISTINCT member) > 10", lambda t: drawn_members(t, 10))
+query("set_random_repeats", f"SELECT (2 * count(DISTINCT member))::BIGINT AS n, (2 * count(DISTINCT member))::BIGINT AS members FROM ({F_})", lambda t: drawn_members(t, -2 * customers(t, "F").count()).drop("different"))
+
+
+def drawn_members(t: Tables, n: int) -> DataFrame:
+    """(rows, different members, rows that are members) of a sample."""
+    return sets.random_members(customers(t, "F"), n).join(customers(t, "F").withColumn("is", F.lit(1)), "member", "left").agg(F.count("*").alias("n"), F.count_distinct("member").alias("different"), F.count("is").alias("members"))
+
+
 query("set_pop_left", f"SELECT count(DISTINCT member)::BIGINT - 5 AS n FROM ({F_})", lambda t: sets.card(sets.pop(customers(t, "F"), 5)[1]))
 
 # Ranked sets
@@ -283,8 +291,7 @@ query("zremrangebyscore", f"SELECT member, score FROM {PARTS} WHERE NOT (score >
 query("zremrangebyrank", f"SELECT member, score FROM {RANKED} WHERE NOT rank BETWEEN 10 AND 29", lambda t: ranked.remove_by_rank(parts(t), 10, 29))
 query("zremrangebylex", f"SELECT member, score FROM {PARTS} WHERE NOT (member >= 'p1' AND member < 'p2')", lambda t: ranked.remove_by_lex(parts(t), "[p1", "(p2"))
 query("zrem", f"SELECT member, score FROM {PARTS} WHERE member NOT IN ('p1', 'p77', 'p150', 'none')", lambda t: ranked.remove(parts(t), asked(t)))
-query("zrandmember", None, lambda t: ranked.random_members(parts(t), 10))
-query("zrandmember_valid", f"SELECT 10::BIGINT AS n, 10::BIGINT AS different, 10::BIGINT AS members FROM {PARTS} HAVING count(*) > 10", lambda t: drawn(t, 10))
+query("zrandmember", f"SELECT 10::BIGINT AS n, 10::BIGINT AS different, 10::BIGINT AS members FROM {PARTS} HAVING count(*) > 10", lambda t: drawn(t, 10))
 query("zrandmember_repeats", f"SELECT (2 * count(*))::BIGINT AS n, (2 * count(*))::BIGINT AS members FROM {PARTS}", lambda t: drawn(t, -2 * t.part.count()).drop("different"))
 query("zadd_lt", f"SELECT member, CASE WHEN old IS NULL OR new < old THEN new ELSE old END AS score FROM {BOTH}", lambda t: ranked.add(parts(t), dearer(t), bound="lt"))
 query("zadd_changed", f"SELECT count(*) FILTER (old IS NULL OR new <> old)::BIGINT AS n FROM {BOTH} WHERE new IS NOT NULL", lambda t: ranked.add_count(parts(t), dearer(t), changed=True))
@@ -363,8 +370,13 @@ query("str_setrange", "SELECT p_partkey, substr(p_name, 1, 2) || 'XY' || substr(
 query("str_getrange_bytes", "SELECT p_partkey, substr(hex(encode('é' || p_name)), 3, 6) AS a, right(hex(encode(p_name || 'é')), 2) AS b FROM part", lambda t: t.part.select("p_partkey", F.hex(strings.getrange(F.concat(F.lit("é"), "p_name"), 1, 3)).alias("a"), F.hex(strings.getrange(F.concat("p_name", F.lit("é")), -1, -1)).alias("b")))
 query("str_setrange_bytes", "SELECT p_partkey, 'C358' || substr(hex(encode('é' || p_name)), 5) AS a, hex(encode(p_brand)) || repeat('00', 20 - strlen(p_brand)::INTEGER) || '78' AS b FROM part", lambda t: t.part.select("p_partkey", F.hex(strings.setrange(F.concat(F.lit("é"), "p_name"), 1, "X")).alias("a"), F.hex(strings.setrange(F.col("p_brand"), 20, "x")).alias("b")))
 query("str_append_len", "SELECT p_partkey, p_name || p_brand AS v, strlen(p_name)::INTEGER AS n FROM part", lambda t: t.part.select("p_partkey", strings.append(F.col("p_name"), F.col("p_brand")).alias("v"), strings.strlen(F.col("p_name")).alias("n")))
-query("lcs_len", None, lambda t: t.part.select("p_partkey", F.length(strings.lcs(F.col("p_name"), F.col("p_type"))).alias("n")))
-query("lcs_idx", None, lambda t: t.part.select("p_partkey", strings.lcs_idx(F.col("p_name"), F.col("p_type"), 2).alias("matches")))
+#: Row by row of the table of lengths: each is the running maximum of the one before and of matches one further.
+LCS = """WITH RECURSIVE p AS (SELECT DISTINCT p_name AS a, lower(p_type) AS b FROM part),
+r AS (SELECT a, b, 0 AS i, list_transform(range(length(b) + 1), lambda j: 0) AS l FROM p
+UNION ALL SELECT a, b, i + 1, list_transform(range(length(b) + 1), lambda j: list_max(list_transform(range(j + 1), lambda m: CASE WHEN m > 0 AND a[i + 1] = b[m] THEN l[m] + 1 ELSE l[m + 1] END))) FROM r WHERE i < length(a))
+SELECT p_partkey, list_max(l)::INTEGER AS n FROM part JOIN r ON a = p_name AND b = lower(p_type) WHERE i = length(a)"""
+query("lcs_len", LCS, lambda t: t.part.select("p_partkey", F.length(strings.lcs(F.col("p_name"), F.lower("p_type"))).alias("n")))
+query("lcs_idx", None, lambda t: t.part.select("p_partkey", strings.lcs_idx(F.col("p_name"), F.lower("p_type"), 2).alias("matches")))
 query("str_tokens", "SELECT p_partkey, list_filter(string_split(p_name, 'e'), lambda x: x <> '') AS tokens, coalesce(string_split(p_name, 'e')[2], '') AS second, trim(p_name) AS trimmed, array_to_string(list_filter(string_split(p_name, 'e'), lambda x: x <> ''), '-') AS joined FROM part", lambda t: t.part.select("p_partkey", strings.tokens(F.col("p_name"), "e").alias("tokens"), strings.token(F.col("p_name"), "e", 1).alias("second"), strings.trim(F.concat(F.lit(" "), "p_name", F.lit("  "))).alias("trimmed"), strings.join(strings.tokens(F.col("p_name"), "e"), "-").alias("joined")))
 
 # Key spaces
@@ -538,7 +550,9 @@ query("geo_roundtrip", f"SELECT member, lon, lat FROM {PLACES}", lambda t: place
 query("geosearch_store", f"SELECT member, round({FROM_ROME} / 1000, 3) AS score FROM {PLACES} WHERE {FROM_ROME} <= 3000000", lambda t: geo.search_store(places(t), 12.5, 41.9, store_dist=True, radius=3000, unit="km").select("member", F.round("score", 3).alias("score")))
 query("geosearch_store_hash", f"SELECT member, lon, lat FROM {PLACES} WHERE {FROM_ROME} <= 3000000", lambda t: geo.search_store(places(t), 12.5, 41.9, radius=3000, unit="km").select("member", geo.position(F.col("score").cast("long")).alias("p")).select("member", (F.round("p.lon", 3) + 0.0).alias("lon"), (F.round("p.lat", 3) + 0.0).alias("lat")))
 query("geosearch_withcoord", f"SELECT member, round({FROM_ROME} / 1000, 3) AS dist, lon AS x, lat AS y FROM {PLACES} WHERE {FROM_ROME} <= 3000000", lambda t: geo.search(places(t), 12.5, 41.9, radius=3000, unit="km", with_coord=True, with_hash=True).where("hash IS NOT NULL").select("member", F.round("dist", 3).alias("dist"), (F.round("coord.lon", 3) + 0.0).alias("x"), (F.round("coord.lat", 3) + 0.0).alias("y")))
-query("geohash_text", None, lambda t: places(t).select("member", geo.geohash(geo.geohash_bits(F.col("lon"), F.col("lat"))).alias("hash")))
+CELL = "least(floor(({c} + {limit}) / {size} * 67108864), 67108863)::BIGINT"
+HASHED = f"(SELECT member, {CELL.format(c='lon', limit=180.0, size=360.0)} AS x, {CELL.format(c='((' + CELL.format(c='lat', limit=85.05112878, size=170.10225756) + ' + 0.5) / 67108864 * 170.10225756 - 85.05112878)', limit=90.0, size=180.0)} AS y FROM {PLACES})"
+query("geohash_text", f"SELECT member, array_to_string(list_transform(range(10), lambda j: substr('{geo.BASE32}', ('0b0' || substr(b, (5 * j + 1)::INTEGER, 5))::INTEGER + 1, 1)), '') || '0' AS hash FROM (SELECT member, array_to_string(list_transform(range(26), lambda k: ((x >> (25 - k)::INTEGER) & 1)::VARCHAR || ((y >> (25 - k)::INTEGER) & 1)::VARCHAR), '') AS b FROM {HASHED})", lambda t: places(t).select("member", geo.geohash(geo.geohash_bits(F.col("lon"), F.col("lat"))).alias("hash")))
 
 # Logs
 
@@ -659,6 +673,17 @@ def imported(t: Tables, form: str) -> DataFrame:
     return catalog.table("nations")
 
 
+def resumed_index(t: Tables) -> DataFrame:
+    """What the index of a table finds after a snapshot is loaded, with all cells probed."""
+    from gneiss.plans.catalog import Catalog
+
+    first, second, path = vector_table(t), Catalog(t.spark), folder(t)
+    first.build_index("vectors", cells=8)
+    first.save(path)
+    second.load(path)
+    return rounded(second.index("vectors").search(one(t), 10, ef=80), "vec_id", "label")
+
+
 def snapshot(t: Tables) -> DataFrame:
     from gneiss.plans.catalog import Catalog
 
@@ -763,6 +788,79 @@ def group_read(t: Tables) -> DataFrame:
     return group.pending().select("ms", "seq", "consumer")
 
 
+def from_json_text(t: Tables, text: str, name: str) -> DataFrame:
+    """The rows of a result that was written as JSON."""
+    import json
+
+    rows_ = json.loads(text)[name]
+    flat = [r for x in rows_ for r in (x if isinstance(x, list) else [x])]
+    return t.spark.createDataFrame([tuple(r.values()) for r in flat], list(flat[0]))
+
+
+def from_markdown(t: Tables, text: str) -> DataFrame:
+    head, _, *body = ([c.strip() for c in line.strip("|").split("|")] for line in text.splitlines())
+    return t.spark.createDataFrame(body, head)
+
+
+def debugged(t: Tables) -> DataFrame:
+    from gneiss.plans.catalog import Catalog
+
+    catalog = Catalog(t.spark)
+    catalog.create(NATIONS)
+    catalog.batch_insert("nations", t.nation)
+    return from_markdown(t, catalog.debug_scan("nations", "n_name, n_regionkey", "n_regionkey < 2"))
+
+
+def refused(t: Tables) -> DataFrame:
+    """Whether each of these is refused with an error of its own."""
+    from gneiss.plans.catalog import Catalog, CatalogError
+    from gneiss.plans.ddl import DdlError
+    from gneiss.plans.filters import FilterError
+    from gneiss.sources.rows import SchemaError
+
+    catalog = Catalog(t.spark)
+    catalog.create(NATIONS)
+    tries = {
+        "column against column": (FilterError, lambda: catalog.scan("nations", "*", "n_nationkey = n_regionkey")),
+        "like without percent": (FilterError, lambda: catalog.scan("nations", "*", wire("n_name", "x", "like"))),
+        "unknown column": (FilterError, lambda: catalog.scan("nations", "nope")),
+        "columns of other types": (SchemaError, lambda: catalog.batch_insert("nations", t.nation.select("n_name", "n_name", "n_name"))),
+        "too few columns": (SchemaError, lambda: catalog.batch_insert("nations", t.nation.select("n_nationkey"))),
+        "a table twice": (CatalogError, lambda: catalog.create(NATIONS)),
+        "no such table": (CatalogError, lambda: catalog.scan("none")),
+        "unknown type": (DdlError, lambda: catalog.create("CREATE TABLE x (a JSON)")),
+    }
+
+    def fails(kind, run) -> bool:
+        try:
+            run()
+        except kind:
+            return True
+        return False
+
+    return t.spark.createDataFrame([(what, fails(*how)) for what, how in tries.items()], "what string, refused boolean")
+
+
+def embedded(t: Tables) -> DataFrame:
+    from gneiss.functions.registry import embedder
+
+    return t.part.select("p_partkey", embedder(lambda texts: [[float(len(x)), float(x.count("e"))] for x in texts])(F.col("p_name")).alias("v")).select("p_partkey", F.col("v")[0].cast("double").alias("a"), F.col("v")[1].cast("double").alias("b"))
+
+
+def batches(t: Tables) -> DataFrame:
+    """Rows that are in memory as Arrow batches, scanned like a table."""
+    return scan(from_ipc(t.spark, to_ipc(t.nation)), "n_name, n_regionkey", "n_regionkey > 2")
+
+
+query("sink_ipc", "SELECT n_nationkey, n_name FROM nation", lambda t: from_ipc(t.spark, to_ipc(t.nation.select("n_nationkey", "n_name"))))
+query("sink_json", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation", lambda t: from_json_text(t, to_json(t.nation.select("n_nationkey", "n_name")), "data"))
+query("sink_json_batch", f"SELECT rank::BIGINT AS rank, vec_id, distance FROM ({batch_sql(L2)})", lambda t: from_json_text(t, batch_to_json(rounded(vectors.batch_ann(t.embeddings, asking(t), 5), "qid", "rank", "vec_id")), "data_list"))
+query("sink_markdown", "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name FROM nation", lambda t: from_markdown(t, to_markdown(t.nation.select("n_nationkey", "n_name"))))
+query("debug_scan", "SELECT n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation WHERE n_regionkey < 2", debugged)
+query("batch_source", "SELECT n_name, n_regionkey FROM nation WHERE n_regionkey > 2", batches)
+query("refused", "SELECT unnest(['column against column', 'like without percent', 'unknown column', 'columns of other types', 'too few columns', 'a table twice', 'no such table', 'unknown type']) AS what, true AS refused", refused)
+query("text_embedding", "SELECT p_partkey, length(p_name)::DOUBLE AS a, (length(p_name) - length(replace(p_name, 'e', '')))::DOUBLE AS b FROM part", embedded)
+query("filter_to_text", "SELECT '(a >= 3 OR NOT (b = 1 AND c LIKE ''x%''))' AS text, '((a < \"3\") AND (b Is null))' AS wire", lambda t: t.spark.createDataFrame([(str(parse_filter("a>=3 or not(b=1 and c like 'x%')")), parse_filter(wire("a", "3", ">=", "b", "isnotnull", "or", "not")).wire())], "text string, wire string"))
 query("catalog_list", "SELECT * FROM (VALUES ('a'), ('b')) t(name)", listed)
 query("catalog_describe", "SELECT * FROM (VALUES (0, 'n_nationkey', 'int', false, false), (1, 'n_name', 'string', false, false), (2, 'n_regionkey', 'int', false, true)) t(position, name, type, nullable, is_segment)", described)
 query("catalog_ddl_of_parquet", "SELECT 'CREATE TABLE nation (n_nationkey INT, n_name TEXT, n_regionkey INT) WITH ( ... write metadata ... );' AS ddl", ddl_of)
@@ -772,6 +870,7 @@ query("import_json_rows", "SELECT n_nationkey, n_name, n_regionkey FROM nation W
 query("insert_statistics", "SELECT count(*)::BIGINT AS inserted FROM nation", lambda t: inserted(t))
 query("table_dropped", "SELECT 'a' AS name", lambda t: dropped(t))
 query("ddl_types", "SELECT * FROM (VALUES (0, 'a', 'bigint', 'INT UNSIGNED'), (1, 'b', 'array<array<int>>', 'ARRAY<ARRAY<INT>>'), (2, 'c', 'array<array<float>>', 'ARRAY<FLOAT[3]>'), (3, 'd', 'decimal(12,3)', 'DECIMAL(12,3)'), (4, 'e', 'array<string>', 'ARRAY<VARCHAR>'), (5, 'f', 'timestamp_ntz', 'TIMESTAMP'), (6, 'g', 'decimal(20,0)', 'BIGINT UNSIGNED'), (7, 'h', 'array<float>', 'FLOAT[4]')) t(position, name, type, declared)", lambda t: types_of(t))
+query("snapshot_index_resumed", nearest_sql(L2), resumed_index)
 query("snapshot_load", "SELECT * FROM nation WHERE n_regionkey < 3", snapshot)
 query("catalog_batch_ann", f"SELECT qid, rank, vec_id, distance FROM ({batch_sql(IP)})", lambda t: rounded(batch_of_table(t), "qid", "rank", "vec_id"))
 query("stream_window_counts", "SELECT time_bucket(INTERVAL 1 day, ts) AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL", lambda t: streamed(t, windowed(stream_of(t, "events"), "ts", ["event_type"], "1 day", late="60 days")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n"))

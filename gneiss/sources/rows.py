@@ -8,10 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gneiss.common import numbered
 from gneiss.plans.ddl import UNSIGNED, TableSpec
 from gneiss.plans.filters import GS, RS
 
 
+#: Rows of a chunk in which runs are counted.
+RUN_ROWS = 1 << 16
+
+
 class SchemaError(ValueError):
     """Rows that do not fit the table."""
 
@@ -101,13 +106,16 @@ def segment_id(spec_or_columns: TableSpec | list[str]) -> Column:
     return F.concat_ws(RS, *(F.col(f"`{n}`").cast("string") for n in names)) if names else F.lit("")
 
 
-def segment_runs(df: DataFrame, segment_columns: list[str], order: list[str], chunk: Column) -> DataFrame:
+def segment_runs(df: DataFrame, segment_columns: list[str], order: list[str], chunk: Column | None = None) -> DataFrame:
     """Numbers, as `run` from 0, the stretches of consecutive rows in whose segment columns nothing changes.
 
-    chunk is a number that rises with the order, many rows to a value: runs are counted within each chunk, and a table
-    with one row for each chunk says how many began before it and whether the first row goes on with the last run. So
+    chunk is a number that rises with the order, many rows to a value; without one rows are numbered by the order, which
+    then has no ties, and each RUN_ROWS of them are a chunk. Runs are counted within each chunk, and a table with one row for each chunk says how many began before it and whether the first row goes on with the last run. So
     no task sorts all rows; only the chunks' table is in one order.
     """
+    if chunk is None:
+        df = numbered(df, [F.col(c) for c in order], "_place")
+        chunk, order = F.floor(F.col("_place") / RUN_ROWS), ["_place"]
     own = df.withColumn("_chunk", chunk).withColumn("_segment", F.struct(*(F.col(c) for c in segment_columns)))
     within = Window.partitionBy("_chunk").orderBy(*order)
     before = F.lag("_segment").over(within)
@@ -119,7 +127,7 @@ def segment_runs(df: DataFrame, segment_columns: list[str], order: list[str], ch
     chunks = chunks.withColumn("turn", (last.isNotNull() & ~last.eqNullSafe(F.col("first"))).cast("long"))
     chunks = chunks.select("_chunk", (F.sum(F.col("new") + F.col("turn")).over(across) - F.col("new")).alias("_base"))
     own = own.withColumn("_at", F.sum("_new").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    return own.join(chunks, "_chunk").withColumn("run", F.col("_base") + F.col("_at")).drop("_chunk", "_segment", "_new", "_at", "_base")
+    return own.join(chunks, "_chunk").withColumn("run", F.col("_base") + F.col("_at")).drop("_chunk", "_segment", "_new", "_at", "_base", "_place")
 
 
 def to_json(df: DataFrame, name: str = "data") -> str:

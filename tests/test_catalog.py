@@ -142,6 +142,19 @@ def test_snapshot(spark, filled, tmp_path):
         other.load(f"file://{tmp_path}")
 
 
+def test_index_of_a_table_is_resumed(spark, catalog, tmp_path):
+    catalog.create("CREATE TABLE p (id INT, v FLOAT[2]) WITH (ann_column_id='1')")
+    catalog.batch_insert("p", spark.createDataFrame([(k, [float(k), 0.0]) for k in range(50)], "id int, v array<float>"))
+    assert catalog.index("p") is None
+    catalog.build_index("p", cells=4)
+    catalog.save(f"file://{tmp_path}/snap")
+    other = Catalog(spark)
+    other.load(f"file://{tmp_path}/snap")
+    for own in (catalog, other):
+        index = own.index("p")
+        assert (index.centres == catalog.index("p").centres).all() and [r["id"] for r in index.search([7.2, 0.0], 2, ef=8).collect()] == [7, 8]
+
+
 def test_files(spark, catalog, tmp_path):
     catalog.create("CREATE TABLE f (id INT, seg TEXT, v FLOAT[2]) WITH (segment_id_info='[seg]')")
     df = spark.createDataFrame([(1, "A", [1.0, 2.0]), (2, "B", [3.0, 4.0])], "id int, seg string, v array<float>")
