@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import SALTS, components, local_forest, look_up, n_parts, salt, staged
+from gneiss.llm.common import SALTS, components, local_forest, look_up, n_parts, salt, small, staged
 
 #: Vectors of one label that a task multiplies with as many others.
 TILE = 2048
@@ -100,10 +100,13 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     own = own.withColumn("_v", F.transform("_v", lambda x: x + F.lit(0.0)))
     valid = F.col("_id").isNotNull() & F.col("_label").isNotNull() & F.col("_v").isNotNull() & F.coalesce(finite, F.lit(False))
     own = own.withColumn("_class", F.when(valid, F.concat(F.hex(F.xxhash64("_label", "_v")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "_v", "_label")))))
-    own = staged(own, "vectors")
-    named = own.where(F.col("_class").isNotNull()).groupBy("_class", "_id").agg(F.first("_label").alias("_label"), F.first("_v").alias("_v"))
-    parts = named.groupBy("_class", salt("_id").alias("_salt")).agg(F.min("_id").alias("low"), F.count("*").alias("n"), F.first("_label").alias("_label"), F.first("_v").alias("_v"))
-    classes = staged(parts.groupBy("_class").agg(F.min("low").alias("rep"), F.sum("n").alias("n"), F.first("_label").alias("_label"), F.first("_v").alias("_v")).withColumn("_size", F.size("_v")), "classes")
+    own = staged(own.withColumn("_row", F.monotonically_increasing_id()), "vectors")
+    named = own.where(F.col("_class").isNotNull()).select("_class", "_id", "_row", "_label", F.size("_v").alias("_size"))
+    named = named.groupBy("_class", "_id").agg(F.min("_row").alias("_row"), F.first("_label").alias("_label"), F.first("_size").alias("_size"))
+    first = F.min(F.struct("_id", "_row")).alias("first")
+    parts = named.groupBy("_class", salt("_id").alias("_salt")).agg(first, F.count("*").alias("n"), F.first("_label").alias("_label"), F.first("_size").alias("_size"))
+    classes = parts.groupBy("_class").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.first("_label").alias("_label"), F.first("_size").alias("_size"))
+    classes = staged(classes.select("_class", F.col("first._id").alias("rep"), F.col("first._row").alias("_row"), "n", "_label", "_size"), "classes")
     sizes = classes.groupBy("_label", "_size", salt("_class").alias("_salt")).count().groupBy("_label", "_size").agg(F.ceil(F.sum("count") / tile).cast("int").alias("groups"))
     spread = classes.withColumn("_salt", salt("_class")).join(sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["_label", "_size", "_salt"])
     spread = spread.withColumn("g", F.pmod(F.xxhash64(F.lit("group"), "_class"), "groups").cast("int"))
@@ -122,6 +125,7 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
             yield pa.record_batch([*(batch[c] for c in ("_label", "_size", "_class", "n", "g", "groups")), pa.array(q, pa.binary()), *map(pa.array, more)], names=["_label", "_size", "_class", "n", "g", "groups", "q", "scale", "held", "missed"])
 
     label = vectors.schema[label_col].dataType.simpleString()
+    spread = own.select("_row", "_v").join(small(staged(spread.select("_row", "_label", "_size", "_class", "n", "g", "groups"), "groups")), "_row")
     codes = staged(spread.select("_label", "_size", "_class", "n", "g", "groups", "_v").mapInArrow(quantise, f"_label {label}, _size int, _class string, n long, g int, groups int, q binary, scale double, held double, missed double"), "codes")
     PAIR = ["_label", "_size", "x", "y"]
     pairs = codes.select("*", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("other")).withColumn("x", F.least("g", "other")).withColumn("y", F.greatest("g", "other")).drop("other", "groups")
@@ -161,7 +165,8 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     schema = f"_label {label}, _size int, x int, y int, rep string, links long, to string, open boolean"
     sure = staged(pairs.repartition(n_parts(spark), *PAIR).groupBy(*PAIR).applyInArrow(compare, schema), "sure-links")
     wanted = sure.where("open").select(*PAIR, F.col("rep").alias("_class"))
-    whole = wanted.join(classes.select("_class", "_v", "n"), "_class").join(codes.select("_class", "g"), "_class")
+    whole = wanted.join(classes.select("_class", "_row", "n"), "_class").join(codes.select("_class", "g"), "_class")
+    whole = own.select("_row", "_v").join(small(staged(whole, "open")), "_row")
     exact = whole.select(*PAIR, "g", "_class", "n", "_v").repartition(n_parts(spark), *PAIR).groupBy(*PAIR).applyInArrow(recompute, "rep string, links long, to string")
     found = staged(sure.select("rep", "links", "to").union(exact), "links")
     roots = components(found.where("rep <> to").select(F.col("rep").alias("a"), F.col("to").alias("b")))

@@ -72,7 +72,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the name of a result, which are replaced; results' names begin with prefix.
     """
     marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_d"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit("")).alias("_name"), F.col(f"`{host_col}`").isNull().alias("_no_host"))
-    marked = marked.withColumn("_content", F.xxhash64("_text")).withColumn("_key", F.xxhash64("_id", "_text"))
+    marked = marked.withColumn("_content", F.xxhash64(F.coalesce("_text", F.lit("")))).withColumn("_key", F.xxhash64("_id", "_text"))
     line_of = lambda x: let(words_of(x), lambda w: F.struct(F.xxhash64(F.array_join(w, " ")).alias("line"), F.size(w).alias("n")))
     own_lines = F.transform(F.filter(F.split(F.lower("_text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), line_of)
     rows = marked.select("_key", "_id", "_name", "_no_host", "_content", F.posexplode_outer(own_lines).alias("_at", "_l"))

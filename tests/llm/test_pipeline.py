@@ -106,7 +106,7 @@ def plain_near(rows):
     return sorted((i, t) for i, t in rows if root.get(i, i) == i)
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_each_stage_against_brute_force(spark, seed):
     rows = corpus(seed)
     stage = lambda name, rows: sorted((r["doc_id"], r["text"]) for r in STAGE[name](spark, spark.createDataFrame([(i, t, "en", h, 0) for i, t, h in rows], COLUMNS), "").collect())
